@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most bits in a membership filter: 2**26 bits are 8 MB, whatever the input's size.
 FILTER_BITS = 1 << 26
+#: Most keys that a lookup broadcasts.
+HOT_KEYS = 4096
 #: Positions that one row of Spark's bitmap aggregate covers.
 BITMAP_ROW = 32768
 
@@ -66,24 +68,24 @@ class KeyFilter:
         position = self._position(F.col(column))
         self.table = (
             keys.select(position.alias("p"))
-            .groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bitmap"))
+            .groupBy(F.bitmap_bucket_number("p").alias("__bucket__"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bitmap__"))
         )
 
     def _position(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.bits)) + F.lit(1)
 
     def split(self, df: DataFrame, column: str) -> DataFrame:
-        """``df`` with a boolean column ``_maybe``: false where the key is surely not among the filter's."""
+        """``df`` with a boolean column ``__maybe__``: false where the key is surely not among the filter's."""
         position = self._position(F.col(column))
         bit = F.bitmap_bit_position(position)
-        byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+        byte = F.conv(F.hex(F.expr("substring(__bitmap__, cast(__bit__ div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit__ % 8 as int))")) != 0
         return (
-            df.withColumns({"_bucket": F.bitmap_bucket_number(position), "_bit": bit})
-            .join(F.broadcast(self.table), "_bucket", "left")
-            .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-            .drop("_bucket", "_bit", "_bitmap")
+            df.withColumns({"__bucket__": F.bitmap_bucket_number(position), "__bit__": bit})
+            .join(F.broadcast(self.table), "__bucket__", "left")
+            .withColumn("__maybe__", F.coalesce(hit, F.lit(False)))
+            .drop("__bucket__", "__bit__", "__bitmap__")
         )
 
 
@@ -94,11 +96,24 @@ def discard(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     """
     screen = KeyFilter(dropped.select(key), key, dropped.count())
     split = screen.split(docs, key)
-    sure = split.where(~F.col("_maybe")).drop("_maybe")
-    unsure = split.where(F.col("_maybe")).drop("_maybe")
+    sure = split.where(~F.col("__maybe__")).drop("__maybe__")
+    unsure = split.where(F.col("__maybe__")).drop("__maybe__")
     return sure.unionByName(unsure.join(dropped.select(key), key, "left_anti").select(*docs.columns))
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has each key once and in ``weight`` how many rows hold it.
+
+    A key that more than one row in HOT_KEYS holds is hot; there can be at most HOT_KEYS such keys, so that part of the
+    table may be broadcast whatever the input's size, and the shuffled rest has no key with a large share of the rows.
+    """
+    hot = F.col(weight) > max(1, n_rows // HOT_KEYS)
+    own = [c for c in table.columns if c != key]
+    first = rows.join(F.broadcast(table.where(hot).withColumn("__hot__", F.lit(True))), key, "left")
+    rest = first.where("__hot__ is null").drop("__hot__", *own).join(table.where(~hot), key, "left")
+    return first.where("__hot__").drop("__hot__").unionByName(rest)
+
+
 def _contract(pairs):
     """Spanning stars of a batch's links: each node with the smallest node that the batch connects it to."""
     for frame in pairs:

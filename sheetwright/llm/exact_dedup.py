@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, parallelism
+from .common import KeyFilter, Scratch, look_up, parallelism
 
 #: Slots of the fingerprint range for each row: one false suspect in so many rows.
 SLOTS_PER_ROW = 256
@@ -62,13 +62,13 @@ def _digests(batches):
     for batch in batches:
         texts = batch.column("_text").to_pylist()
         sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass").lower()).hexdigest() for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("_id"), pa.array(sha, pa.string())], names=["uid", "id", "sha"])
+        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("__id__"), pa.array(sha, pa.string())], names=["uid", "id", "sha"])
 
 
 def _lowered(batches):
     for batch in batches:
         texts = [x.encode("utf-8", "surrogatepass").lower() for x in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.binary())], names=["id", "norm"])
+        yield pa.RecordBatch.from_arrays([batch.column("__id__"), pa.array(texts, pa.binary())], names=["id", "norm"])
 
 
 def _slots(sha: pa.ChunkedArray, bits: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def _slots(sha: pa.ChunkedArray, bits: int) -> np.ndarray:
 def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id_col, keep_id, group_size, kept, text_sha256)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = docs.select(F.col(id_col).alias("__id__"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     prints = scratch.table(
         text.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(_digests, f"uid long, id {id_type}, sha string"),
@@ -139,7 +139,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
 
     # Byte verification: only the suspects' texts are moved, one row a text and task.
     screen = KeyFilter(suspects.select("id"), "id", suspects.count())
-    moved = screen.split(text, "_id").where("_maybe").select("_id", "_text").mapInArrow(_lowered, f"id {id_type}, norm binary")
+    moved = screen.split(text, "__id__").where("__maybe__").select("__id__", "_text").mapInArrow(_lowered, f"id {id_type}, norm binary")
     classes = moved.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     classes = classes.select(F.sha2("norm", 256).alias("sha"), "group_size")
     stays = suspects.groupBy("sha").agg(
@@ -150,7 +150,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     single = marked.where("not suspect").select(
         F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    grouped = suspects.join(classes, "sha", "left").select(
+    grouped = look_up(suspects, classes, "sha", "group_size", n).select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -166,10 +166,10 @@ def drop_exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_
     gone = verdicts.where("not kept").select(id_col)
     screen = KeyFilter(gone, id_col, gone.count())
     split = screen.split(docs, id_col)
-    sure = split.where(~F.col("_maybe")).drop("_maybe")
-    stay = screen.split(verdicts.where("kept"), id_col).where("_maybe").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sure = split.where(~F.col("__maybe__")).drop("__maybe__")
+    stay = screen.split(verdicts.where("kept"), id_col).where("__maybe__").select(F.col(id_col).alias("__id__"), F.col("text_sha256").alias("__sha__")).distinct()
     # A kept row's twin with the same id and text has the same digest, so equal (id, digest) rows are merged.
-    unsure = split.where(F.col("_maybe")).drop("_maybe")
-    tagged = unsure.withColumn("_sha", F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    rest = tagged.join(stay, (F.col(id_col).eqNullSafe(F.col("_id"))) & (tagged["_sha"] == stay["_sha"]), "left_semi")
-    return sure.unionByName(rest.dropDuplicates([id_col, "_sha"]).select(*docs.columns))
+    unsure = split.where(F.col("__maybe__")).drop("__maybe__")
+    tagged = unsure.withColumn("__sha__", F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
+    rest = tagged.join(stay, (F.col(id_col).eqNullSafe(F.col("__id__"))) & (tagged["__sha__"] == stay["__sha__"]), "left_semi")
+    return sure.unionByName(rest.dropDuplicates([id_col, "__sha__"]).select(*docs.columns))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Scratch
 from .exact_dedup import exact_duplicates
+from .simhash import near_duplicates
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +20,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
+
+
 ORACLE = {
     "op1_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
         from d window w as (partition by norm)
     """,
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        f as (select page_id, h, strlen(h) as payload_bytes, min(page_id) over (partition by h) as first from p),
+        r as (select *, payload_bytes >= 100 and page_id <> first as again from f)
+        select page_id, payload_bytes, sha256(h) as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to from r
+    """,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
