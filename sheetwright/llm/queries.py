@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch
 from .exact_dedup import exact_duplicates
+from .langid import fit, identify
+from .packing import pack_documents
 from .simhash import near_duplicates
 from .warc import round_trip
 
@@ -20,10 +23,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def with_languages(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Language predictions from the labelled documents that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "lang", "text", "doc_id")
+    return identify(docs.withColumn("held_out", held_out), model, [*keep, "held_out"])
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents packed by the public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    return pack_documents(docs, scratch, *files, public_tokenizers.PATTERN)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
 
@@ -44,7 +70,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
