@@ -11,6 +11,7 @@ from .common import Scratch
 from .exact_dedup import exact_duplicates
 from .langid import fit, identify
 from .packing import pack_documents
+from .quality import judge
 from .simhash import near_duplicates
 from .warc import round_trip
 
@@ -38,6 +39,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
 def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Documents packed by the public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
@@ -70,7 +75,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op6_quality, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
