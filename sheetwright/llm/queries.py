@@ -13,6 +13,7 @@ from .langid import fit, identify
 from .packing import pack_documents
 from .quality import judge
 from .simhash import near_duplicates
+from .url_filter import judge_urls
 from .warc import round_trip
 
 
@@ -39,6 +40,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+#: The rules of the URL query: host and path prefix, and what they decide.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
@@ -75,7 +84,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op6_quality, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op5_url_filter, op6_quality, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
