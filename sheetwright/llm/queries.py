@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .exact_dedup import exact_duplicates
 from .langid import fit, identify
+from .line_dedup import line_report
 from .packing import pack_documents
 from .quality import judge
 from .simhash import near_duplicates
@@ -52,6 +53,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def packed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Documents packed by the public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
@@ -84,7 +89,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op5_url_filter, op6_quality, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op5_url_filter, op6_quality, op8_line_dedup, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
