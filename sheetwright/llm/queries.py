@@ -11,6 +11,7 @@ from .common import Scratch
 from .exact_dedup import exact_duplicates
 from .langid import fit, identify
 from .line_dedup import line_report
+from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
 from .simhash import near_duplicates
@@ -26,6 +27,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+#: Shares of all tokens that the mixing query aims at.
+TARGETS = {"clean": 0.94, "junk": 0.04, "toxic": 0.02}
+
+
+def mixed(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rates for the domains of the labels: toxic, else junk or clean by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return mix(docs, labels.select("doc_id", domain.alias("domain")), TARGETS, scratch)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op2"))
+
+
 def with_languages(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Language predictions from the labelled documents that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -89,7 +104,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_langid, op4_simhash, op5_url_filter, op6_quality, op8_line_dedup, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op8_line_dedup, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
