@@ -15,6 +15,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
 from .simhash import near_duplicates
+from .tool_chat import link
 from .url_filter import judge_urls
 from .warc import round_trip
 
@@ -68,6 +69,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
 
 
+#: What the chat query validates: a call asks with the user's text and says at which turn.
+TOOLS = {"answer": {"prompt": ("string", True, 1, 400), "turn": ("integer", True, 0, 99)}}
+
+
+def op7_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn calls the tool ``answer``; the assistant's turn after it is the result, under the call's identifier."""
+    turns = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
+    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").cast("string").alias("turn")))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = link(calls, results, TOOLS, Scratch(spark, "op7"))
+    return linked.select("conv_id", "turn", "kind", "call_id", "status", F.array_join("errors", "; ").alias("errors"), "due", "level", "json")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
@@ -89,6 +105,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = {
+    "op7_chat_tools": """
+        with calls as (
+            select conv_id, turn, 't' || turn as call_id, coalesce(text, '') as prompt,
+                   '{"arguments":{"prompt":' || to_json(coalesce(text, ''))::varchar || ',"turn":"' || turn || '"},"id":"t' || turn || '","name":"answer"}' as j
+            from conversations where role = 'user'),
+        firsts as (select conv_id, call_id, min(j) as first_json, min(turn) as first_turn from calls group by all),
+        results as (select conv_id, turn, 't' || (turn - 1) as call_id, text from conversations where role = 'assistant'),
+        answers as (select conv_id, call_id, count(*) as n from results group by all)
+        select c.conv_id, c.turn, 'call' as kind, c.call_id, case when c.j <> f.first_json then 'repeated' when a.n > 0 then 'linked' else 'unanswered' end as status,
+               concat_ws('; ', case when length(prompt) < 1 then 'prompt: too small' when length(prompt) > 400 then 'prompt: too large' end, case when c.turn > 99 then 'turn: too large' end) as errors,
+               c.turn as due, cast(0 as bigint) as level, c.j as json
+        from calls c join firsts f using (conv_id, call_id) left join answers a using (conv_id, call_id)
+        union all
+        select r.conv_id, r.turn, 'result', r.call_id, case when f.call_id is null then 'orphan' else 'linked' end, '', coalesce(f.first_turn, r.turn), 0,
+               '{"content":' || coalesce(to_json(r.text)::varchar, 'null') || ',"id":"' || r.call_id || '"}'
+        from results r left join firsts f using (conv_id, call_id)
+    """,
     "op1_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
@@ -104,7 +137,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op8_line_dedup, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
