@@ -21,6 +21,9 @@ comes before all others; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, Scratch, components, discard, look_up
 
-TAU, LEAST, CROWD = 2, 30, 400
+TAU, LEAST, CROWD = 2, 30, 128
 SEED = 42
 INDEX, PROBE = 0, 1
 
@@ -84,37 +87,36 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), s) for k, s in enumerate(sizes)]
 
 
-def signatures(line: str, tau: int, salt: int = 0, places: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """(key, role, number, start, size) of a line's index entries and probes, each key once a role (or once a place)."""
-    n, out, seen = len(line), [], set()
-
-    def file(role: int, length: int, k: int, start: int, size: int) -> None:
-        key = xxhash.xxh64_intdigest(f"{length} {k} {salt} {line[start : start + size]}", seed=SEED) - (1 << 63)
-        if (mark := (key, role, start * places)) not in seen:
-            seen.add(mark)
-            out.append((key, role, k, start, size))
+@lru_cache(1 << 12)
+def layout(n: int, tau: int) -> list[tuple[int, int, int, int, int]]:
+    """(role, number, start, size, seed) of the index entries and probes of a line of n characters.
 
-    own = segments(n, tau)
-    for k, (start, size) in enumerate(own):
-        file(INDEX, n, k, start, size)
+    The seed stands for (length, number) in the key's hash.
+    """
+    out = [(INDEX, k, start, size, (n * (tau + 1) + k) & 0xFFFFFFFF) for k, (start, size) in enumerate(segments(n, tau))]
     for length in range(max(0, n - tau), n + 1):
         more = n - length
         for k, (start, size) in enumerate(segments(length, tau)):
             low = max(0, start - k, start + more - (tau - k))
             high = min(n - size, start + k, start + more + (tau - k))
-            for at in range(low, high + 1):
-                if more or at != start:  # else it is the index entry, which other lines of this length share
-                    file(PROBE, length, k, at, size)
+            # Where neither length nor place differs, it is the index entry, which other lines of this length share.
+            out += [(PROBE, k, at, size, (length * (tau + 1) + k) & 0xFFFFFFFF) for at in range(low, high + 1) if more or at != start]
     return out
 
 
+def signatures(line: str, tau: int, salt: int = 0) -> list[tuple[int, int, int, int, int]]:
+    """(key, role, number, start, size) of a line's index entries and probes."""
+    hashed = xxhash.xxh64_intdigest
+    return [(hashed(line[at : at + size], seed ^ salt & 0xFFFFFFFFFFFFFFFF) - (1 << 63), role, k, at, size) for role, k, at, size, seed in layout(len(line), tau)]
+
+
 def crowd_signatures(line: str, key: int, role: int, tau: int) -> list[tuple[int, int]]:
     """(finer key, role) for a line in a crowded group: segments of what stands right of the shared one, or left of it.
 
     Where segment k is the shared one, at most k edits lie left of it and tau - k right of it.
     """
     out = []
-    for _, _, k, start, size in (s for s in signatures(line, tau, places=True) if s[0] == key and s[1] == role):
+    for _, _, k, start, size in (s for s in signatures(line, tau) if s[0] == key and s[1] == role):
         edits, rest = (tau - k, line[start + size :]) if k <= tau // 2 else (k, line[:start])
         if len(rest) <= edits:
             out.append((xxhash.xxh64_intdigest(f"short {key}", seed=SEED) - (1 << 63), role))
@@ -135,14 +137,18 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _entries(lines: DataFrame, tau: int) -> DataFrame:
     def work(batches):
+        hashed = xxhash.xxh64_intdigest
         for batch in batches:
-            keys, lids, roles = [], [], []
-            for lid, line in zip(batch.column("lid").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                for key, role, *_ in signatures(line, tau):
-                    keys.append(key)
-                    lids.append(lid)
-                    roles.append(role)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lids, pa.int64()), pa.array(roles, pa.int8())], names=["key", "lid", "role"])
+            keys, roles, times = [], [], []
+            texts = batch.column("line").to_pylist()
+            for line in texts:
+                plan = layout(len(line), tau)
+                keys += [hashed(line[at : at + size], seed) for _, _, at, size, seed in plan]
+                roles += [p[0] for p in plan]
+                times.append(len(plan))
+            lids = np.repeat(batch.column("lid").to_numpy(), times)
+            signed = (np.array(keys, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(lids, pa.int64()), pa.array(roles, pa.int8())], names=["key", "lid", "role"])
 
     return lines.select("lid", "line").mapInArrow(work, "key long, lid long, role byte")
 
