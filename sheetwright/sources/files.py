@@ -68,7 +68,7 @@ def statement_records(cells: DataFrame) -> DataFrame:
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """Sectioned statement CSV files to cells; lines are numbered within a file, whose size bounds the group."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     return parse_statement_lines(text)
 
 
