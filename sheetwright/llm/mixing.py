@@ -5,15 +5,17 @@ tokens of a domain are then the sum over documents of posterior times tokens tim
 squares finds nonnegative rates for which these totals match the targets.
 
 Classifier: naive Bayes on the distinct hashed words of a text.  A word's weight for a domain is the logarithm of how
-often the domain's documents hold it against how often they would by chance, both raised by ``SHRINK`` so that rare
-words weigh little.  It is fitted on about ``LABELLED`` labelled documents chosen by hash, a documented bound; the rows
-of that sample are the only thing but the fixed table of weights that is broadcast.
+often the domain's documents hold it against how often they would by chance, both raised by a share ``SHRINK`` of the
+sample's documents so that rare words, and those of a few near copies, weigh little.  Words count only where that ratio is at least e**LEAST_WEIGHT either way: else the very many words
+that say a little about a language or a subject, not about a domain, would add up.  Documents with and without such
+words have priors of their own.  It is fitted on about ``LABELLED`` labelled documents chosen by hash, copies of one
+text counted once, a documented bound; that sample's ids and the table of weights (at most BUCKETS rows) are broadcast.
 
 Fit: the gradient of a rate is the document's posterior times the residual of the domain totals, measured in tokens, so
 a rate depends on the posterior alone.  Posteriors are rounded to a grid, the documents' tokens are summed by grid cell
 (at most ``CELLS ** (domains - 1)`` rows, whatever the corpus), and each step is one aggregate over the cells.  A document's rate is the same steps applied to its own posterior.
 
-Defined results: a null or empty text has no tokens, the domains' shares as posterior, and a rate like any other;
+Defined results: a null or empty text has no tokens, the prior of texts without telling words as posterior, and a rate;
 rows are judged each, repeated or not; labels of unknown ids, null labels and repeated labels of one id are harmless
 (the smallest domain name counts); with no labels every rate is 1; other columns are ignored.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .quality import words_of
 
-LABELLED, BUCKETS, SHRINK = 20_000, 1 << 14, 20.0
+LABELLED, BUCKETS, SHRINK, LEAST_SHRINK, LEAST_WEIGHT = 20_000, 1 << 18, 0.003, 5.0, 0.7
 MOST_DOMAINS, CELLS = 12, 256
 STEPS, PRECISION = 40, 1e-5
 
@@ -39,29 +41,39 @@ def hashed_words(text: Column) -> Column:
 
 
 class Classifier:
-    """Weights of hashed words by domain: a table of at most BUCKETS rows, and the domains' shares."""
+    """Weights of telling hashed words by domain: a table of at most BUCKETS rows; and the domains' priors."""
 
     def __init__(self, docs: DataFrame, labelled: DataFrame, scratch: Scratch, id_col: str, text_col: str, domain_col: str, most: int = LABELLED):
         known = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(domain_col).alias("domain"))
         known = scratch.table(known, "known")
-        sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(MOST_DOMAINS + 1).collect()}
-        if len(sizes) > MOST_DOMAINS:
+        names = [r["domain"] for r in known.select("domain").distinct().limit(MOST_DOMAINS + 1).collect()]
+        if len(names) > MOST_DOMAINS:
             raise ValueError(f"more than {MOST_DOMAINS} domains")
-        self.domains, total = sorted(sizes), sum(sizes.values())
-        self.shares = {d: sizes[d] / total for d in self.domains}
-        if not total:
-            return
-        picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, most / total) * (1 << 30)))
+        share = min(1.0, most / max(1, known.count()))
+        picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-        counts = texts.select("domain", F.explode(hashed_words(F.col("text"))).alias("bucket")).groupBy("bucket", "domain").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        counts = scratch.table(counts, "counts")
+        sample = texts.select("domain", F.xxhash64("text").alias("h"), hashed_words(F.col("text")).alias("buckets")).dropDuplicates(["domain", "h"])
+        sample = scratch.table(sample, "sample")
+        sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.domains = sorted(sizes)
+        if not self.domains:
+            return
+        words = sample.select("domain", "h", F.explode("buckets").alias("bucket"))
+        counts = scratch.table(words.groupBy("bucket", "domain").agg(F.count(F.lit(1)).cast("double").alias("c")), "counts")
+        shrink = max(LEAST_SHRINK, SHRINK * sum(sizes.values()))
         sums = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("c").alias("n")).collect()}
         whole = sum(sums.values()) or 1.0
         wide = counts.groupBy("bucket").pivot("domain", self.domains).agg(F.sum("c"))
         own = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0.0)) for d in self.domains}
         every = sum(own.values(), F.lit(0.0))
-        weights = [F.log((own[d] + SHRINK) / (every * (sums.get(d, 0.0) / whole) + SHRINK)).alias(f"w{k}") for k, d in enumerate(self.domains)]
-        self.weights = scratch.table(wide.select("bucket", *weights), "weights")
+        weights = [F.log((own[d] + shrink) / (every * (sums.get(d, 0.0) / whole) + shrink)).alias(f"w{k}") for k, d in enumerate(self.domains)]
+        names = [f"w{k}" for k in range(len(self.domains))]
+        telling = wide.select("bucket", *weights).select("bucket", *(F.when(F.abs(w) >= LEAST_WEIGHT, F.col(w)).otherwise(0.0).alias(w) for w in names))
+        self.weights = scratch.table(telling.where(" or ".join(f"{w} <> 0" for w in names)), "weights")
+        told = words.join(F.broadcast(self.weights.select("bucket")), "bucket").groupBy("domain").agg(F.countDistinct("h").alias("n"))
+        found = {r["domain"]: r["n"] for r in told.collect()}
+        with_, without = [found.get(d, 0) + 0.5 for d in self.domains], [sizes[d] - found.get(d, 0) + 0.5 for d in self.domains]
+        self.priors = {True: [math.log(n / sum(with_)) for n in with_], False: [math.log(n / sum(without)) for n in without]}
 
     def posteriors(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, n_tokens, p0, p1, ...): posteriors on a grid of 1 / CELLS, in the order of the domains."""
@@ -71,8 +83,8 @@ class Classifier:
             return words.select("id", "n_tokens")
         spread = words.select("uid", "id", "n_tokens", F.explode_outer("buckets").alias("bucket")).join(F.broadcast(self.weights), "bucket", "left")
         k = range(len(self.domains))
-        scored = spread.groupBy("uid", "id", "n_tokens").agg(*(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
-        scores = [F.col(f"s{i}") + math.log(self.shares[d]) for i, d in enumerate(self.domains)]
+        scored = spread.groupBy("uid", "id", "n_tokens").agg(F.count("w0").alias("told"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
+        scores = [F.col(f"s{i}") + F.when(F.col("told") > 0, self.priors[True][i]).otherwise(self.priors[False][i]) for i in k]
         best = F.greatest(*scores) if len(scores) > 1 else scores[0]
         parts = [F.exp(s - best) for s in scores]
         grid = [F.round(p / sum(parts, F.lit(0.0)) * CELLS) / CELLS for p in parts]
