@@ -784,3 +784,98 @@ def distractor_context(spark, d):
 def ordinal_rank(spark, d):
     order = F.array(*map(F.lit, ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]))
     return star.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select("o_orderpriority", F.array_position(order, F.col("o_orderpriority")).cast("long").alias("rank"), "n")
+
+
+# ---- expressions as rows ---------------------------------------------------------------------------------------
+
+FORM_SQL = f"""{SHEET}, forms as (select entity, period, '{{"op":"diff","left":{{"leaf":"' || entity || '_' || period || '_list_sales"}},"right":{{"leaf": "' || entity || '_' || (case when period % 2 = 0 then period else period + 1 end) || '_' || (case when period % 3 = 0 then 'list_sales' else 'taxes' end) || '"}}}}' as form from sheet)"""
+
+
+def forms(spark, d) -> DataFrame:
+    """A bound expression in JSON for each row: some mix periods, some use a fact twice."""
+    other = F.when(F.col("period") % 2 == 0, F.col("period")).otherwise(F.col("period") + 1).cast("string")
+    concept = F.when(F.col("period") % 3 == 0, "list_sales").otherwise("taxes")
+    left = F.concat_ws("_", "entity", F.col("period").cast("string"), F.lit("list_sales"))
+    form = F.concat(F.lit('{"op":"diff","left":{"leaf":"'), left, F.lit('"},"right":{"leaf": "'), F.concat_ws("_", F.col("entity"), other, concept), F.lit('"}}'))
+    return sheet_of(spark, d).select("entity", "period", form.alias("form"))
+
+
+def leaf_keys(form: Column) -> Column:
+    return F.regexp_extract_all(form, F.lit('"leaf":\\s*"([A-Za-z0-9_]+)"'), F.lit(1))
+
+
+@query(f"""with {FORM_SQL} select entity, period, unnest(regexp_extract_all(form, '"leaf":\\s*"([A-Za-z0-9_]+)"', 1)) as key from forms""")
+def leaf_keys_regex(spark, d):
+    return forms(spark, d).select("entity", "period", F.explode(leaf_keys(F.col("form"))).alias("key"))
+
+
+@query(f"""with {FORM_SQL}, k as (select *, regexp_extract_all(form, '"leaf":\\s*"([A-Za-z0-9_]+)"', 1) as keys from forms), {CONCEPTS} select entity, period from k where len(keys) = len(list_distinct(keys)) and regexp_extract(keys[1], '_([0-9]{{4}})_', 1) = regexp_extract(keys[2], '_([0-9]{{4}})_', 1)""")
+def accepted_expressions(spark, d):
+    """Expressions without a repeated leaf and without mixed periods."""
+    keys = leaf_keys(F.col("form"))
+    period = F.transform(keys, lambda k: F.regexp_extract(k, "_([0-9]{4})_", 1))
+    return forms(spark, d).where((F.size(keys) == F.size(F.array_distinct(keys))) & (F.size(F.array_distinct(period)) == 1)).select("entity", "period")
+
+
+@query(f"""with {FORM_SQL}, {CONCEPTS}, longer as (select entity, period, concept, value from (select entity, period, list_sales, taxes from sheet) unpivot (value for concept in (list_sales, taxes))),
+    facts as (select entity || '_' || period || '_' || concept as key, value from longer), k as (select entity, period, regexp_extract_all(form, '"leaf":\\s*"([A-Za-z0-9_]+)"', 1) as keys from forms)
+    select k.entity, k.period, round(a.value - b.value, 4) as answer from k join facts a on a.key = keys[1] join facts b on b.key = keys[2] where abs(a.value - b.value) >= 1e-9""")
+def bound_evaluation(spark, d):
+    """Leaves looked up by key, in order, and degenerate answers dropped; unknown keys give no row."""
+    facts = star.atoms(sheet_of(spark, d), ["list_sales", "taxes"]).select("key", "value")
+    rows = forms(spark, d).select("entity", "period", F.posexplode(leaf_keys(F.col("form"))).alias("slot", "key")).join(facts, "key")
+    both = rows.groupBy("entity", "period").agg(F.max(F.when(F.col("slot") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("slot") == 1, F.col("value"))).alias("b"))
+    return both.select("entity", "period", F.round(F.col("a") - F.col("b"), 4).alias("answer")).where("abs(a - b) >= 1e-9")
+
+
+@query("with t as (select n_nationkey as id, 'How did ' || n_name || ' do?' as question from nation) select id, question, arg_min(n_name, n_nationkey) as mention from t join nation on contains(question, n_name) group by 1, 2")
+def company_mention(spark, d):
+    """The first name, in the order of the lookup table, that a question contains; the lookup is a small dimension."""
+    names = star.table(spark, d, "nation").select("n_nationkey", "n_name")
+    asked_ = names.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("How did "), "n_name", F.lit(" do?")).alias("question"))
+    return asked_.join(names, F.col("question").contains(F.col("n_name"))).groupBy("id", "question").agg(F.min_by("n_name", "n_nationkey").alias("mention"))
+
+
+@query(f"with {SHEET}, r as (select entity, period, row_number() over (partition by period order by entity <> 'NATION_3', {rank_sql(81, 'entity', 'period')}, entity) as n from sheet where entity <> 'NATION_0') select period, entity from r where n = 1")
+def preferred_row(spark, d):
+    """A row for each period: of the preferred entity if there is one, else a random other; one entity is excluded."""
+    order = Window.partitionBy("period").orderBy(F.col("entity") != "NATION_3", rank_key(81, F.col("entity"), F.col("period")), "entity")
+    return sheet_of(spark, d).where("entity <> 'NATION_0'").withColumn("n", F.row_number().over(order)).where("n = 1").select("period", "entity")
+
+
+@query("select count(distinct conv_id) as conversations, count(*) as turns, count(distinct case when role = 'system' then conv_id end) as with_system, count(case when text is null then 1 end) as errors, round(count(*) / count(distinct conv_id), 4) as mean_turns from conversations")
+def dataset_summary(spark, d):
+    rows = star.table(spark, d, "conversations")
+    n, convs = F.count(F.lit(1)), F.countDistinct("conv_id")
+    return rows.agg(convs.alias("conversations"), n.alias("turns"), F.countDistinct(F.when(F.col("role") == "system", F.col("conv_id"))).alias("with_system"), F.count_if(F.col("text").isNull()).alias("errors"), F.round(n / convs, 4).alias("mean_turns"))
+
+
+@query(f"with {SHEET}, v as (select entity, period, {{'Products': list_sales, 'Stock issued': taxes, 'Dividends': -discounts, 'NCI share': returned_sales}} as m from sheet) select entity, period, round(m['Products'] + m['Stock issued'] + m['Dividends'] + m['NCI share'], 2) as total, m['Stock issued'] as paid_in, m['Dividends'] as retained, m['NCI share'] as noncontrolling from v")
+def breakdown_maps(spark, d):
+    """Totals of a map of lines, and its lines routed to accounts by words in their names."""
+    from .sources.generate import map_total, roll_forward
+
+    lines = F.create_map(F.lit("Products"), F.col("list_sales"), F.lit("Stock issued"), F.col("taxes"), F.lit("Dividends"), -F.col("discounts"), F.lit("NCI share"), F.col("returned_sales"))
+    rows = sheet_of(spark, d).select("entity", "period", lines.alias("m"))
+    accounts = roll_forward(F.lit(0.0), F.col("m"))
+    return rows.select("entity", "period", F.round(map_total("m"), 2).alias("total"), *(accounts[k].alias(k) for k in ("paid_in", "retained", "noncontrolling")))
+
+
+@query(f"with {SHEET} select 'annual' as dataset, entity, cast(period as varchar) as period, list_sales as value from sheet union all select 'quarterly', entity, period, order_total from ({'with ' + QUARTERS + ' select * from quarters'})")
+def union_datasets(spark, d):
+    annual = sheet_of(spark, d).select(F.lit("annual").alias("dataset"), "entity", F.col("period").cast("string").alias("period"), F.col("list_sales").alias("value"))
+    return annual.unionByName(star.quarterly_sheet(spark, d).select(F.lit("quarterly").alias("dataset"), "entity", "period", F.col("order_total").alias("value")))
+
+
+@query(f"with {SHEET}, v as (select entity, case when list_sales > 9000000 then 2 when list_sales > 8000000 then 1 else 0 end as depth from sheet) select depth, case depth when 0 then 'Lookup' when 1 then 'Single Op' else 'Composed' end as label, count(*) as n from v group by 1, 2")
+def depth_labels(spark, d):
+    depth = F.when(F.col("list_sales") > 9e6, 2).when(F.col("list_sales") > 8e6, 1).otherwise(0)
+    label = F.element_at(F.create_map(F.lit(0), F.lit("Lookup"), F.lit(1), F.lit("Single Op"), F.lit(2), F.lit("Composed")), F.col("depth"))
+    return sheet_of(spark, d).select(depth.alias("depth")).groupBy("depth", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {SHEET} select s_name as entity, case when s_name like '%ss' then 'is' when lower(s_name) like '%s' then 'are' else 'is' end as copula, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') as snake from supplier")
+def label_words(spark, d):
+    from .sources.generate import snake_case
+
+    return star.table(spark, d, "supplier").select(F.col("s_name").alias("entity"), render.copula(F.col("s_name")).alias("copula"), snake_case(F.col("s_name")).alias("snake"))
