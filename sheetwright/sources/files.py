@@ -92,3 +92,31 @@ def wide_leaves(questions: DataFrame, slots: int = 9) -> DataFrame:
     fields = [f.name for f in questions.schema["leaves"].dataType.elementType.fields]
     leaf = lambda i, f: F.coalesce(F.get("leaves", F.lit(i))[f].cast("string"), F.lit("")).alias(f"leaf_{i + 1}_{f}")
     return questions.select(*(c for c in questions.columns if c != "leaves"), *(leaf(i, f) for i in range(max(slots, most)) for f in fields))
+
+
+def statement_text(facts: DataFrame, info: DataFrame) -> DataFrame:
+    """Sectioned statement text of each entity: (entity, text).
+
+    ``facts`` has entity, section, metric, year and value, ``info`` entity, field and value. An entity's statement is
+    small, and is the unit of the result.
+    """
+    cell = F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
+    row = facts.groupBy("entity", "section", "metric").agg(F.sort_array(F.collect_list(F.struct("year", cell.alias("cell")))).alias("cells"))
+    line = F.concat_ws(",", "metric", F.array_join(F.transform("cells", lambda c: c["cell"]), ","))
+    years = F.array_join(F.transform(F.first("cells"), lambda c: c["year"].cast("string")), ",")
+    section = row.groupBy("entity", "section").agg(F.concat_ws(",", F.first("section"), years).alias("head"), F.sort_array(F.collect_list(line)).alias("lines"))
+    body = section.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("section", F.concat_ws("\n", "head", F.array_join("lines", "\n")).alias("t")))).alias("parts"))
+    top = info.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "field", "value"))), "\n").alias("fields"))
+    return body.join(top, "entity").select("entity", F.concat(F.lit("Field,Value\n"), "fields", F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+def report_json(filings: DataFrame, key: str = "id") -> DataFrame:
+    """Each filing as a nested JSON document: (key, document)."""
+    return filings.select(key, F.to_json(F.struct(*filings.columns)).alias("document"))
+
+
+def report_text(filings: DataFrame, key: str = "id", width: int = 32) -> DataFrame:
+    """Each filing's amounts as fixed-width lines: (key, text)."""
+    amounts = [c for c, t in filings.dtypes if t == "double"]
+    line = lambda c: F.concat(F.rpad(F.lit(c.replace("_", " ")), width, " "), F.lpad(F.coalesce(F.format_number(c, 2), F.lit("-")), 20, " "))
+    return filings.select(key, F.concat_ws("\n", *map(line, amounts)).alias("text"))

@@ -153,3 +153,16 @@ def test_stream(spark, tmp_path):
     truths = spark.createDataFrame([(1, 5.0), (2, 5.0)], "id long, truth double")
     score_stream(arriving, truths, "id", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination(120)
     assert {r.id: r.correct for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {1: True, 2: False}
+
+
+def test_statement_and_report_texts(spark, tmp_path):
+    facts = spark.createDataFrame([("a", "Income", "Revenue", y, v) for y, v in ((2022, 5.0), (2023, 6.5))] + [("a", "Balance", "Cash", y, 1.0) for y in (2022, 2023)], "entity string, section string, metric string, year int, value double")
+    info = spark.createDataFrame([("a", "Ticker", "A")], "entity string, field string, value string")
+    text = files.statement_text(facts, info).first().text
+    assert text == "Field,Value\nTicker,A\n\nBalance,2022,2023\nCash,1,1\n\nIncome,2022,2023\nRevenue,5,6.5\n"
+    (tmp_path / "a.csv").write_text(text)
+    record = files.statement_records(files.read_statements(spark, f"file://{tmp_path}/a.csv")).first().record
+    assert record == {"ticker": "A", "cash_2022": "1", "cash_2023": "1", "revenue_2022": "5", "revenue_2023": "6.5"}
+    filing = generate.quarterly_filings(spark, 1)
+    assert '"revenues":{"Products":' in files.report_json(filing).first().document
+    assert "total revenues" in files.report_text(filing).first().text
