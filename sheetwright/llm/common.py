@@ -17,6 +17,13 @@ HOT_KEYS = 4096
 BITMAP_ROW = 32768
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices of at most ``rows`` rows, which bounds what is unpacked at once; slices share memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Scratch:
     """Tables written once under the shared folder in ``spark.checkpoint.dir`` and read back.
 

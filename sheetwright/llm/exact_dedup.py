@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, look_up, parallelism
+from .common import KeyFilter, Scratch, look_up, parallelism, sliced
 
 #: Slots of the fingerprint range for each row: one false suspect in so many rows.
 SLOTS_PER_ROW = 256
@@ -59,14 +59,14 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("_text").to_pylist()
         sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass").lower()).hexdigest() for x in texts]
         yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("__id__"), pa.array(sha, pa.string())], names=["uid", "id", "sha"])
 
 
 def _lowered(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [x.encode("utf-8", "surrogatepass").lower() for x in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("__id__"), pa.array(texts, pa.binary())], names=["id", "norm"])
 

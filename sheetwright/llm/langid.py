@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 ORDER = 3
 UNDETERMINED = "und"
 #: Bytes of the sample a language, and of the longest text in it.
@@ -205,10 +207,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     names = [*keep, "lang_pred", "score", "bits_per_byte"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double", "bits_per_byte double"])
 
+    own_text = text_col if text_col in keep else "__text__"
+
     def work(batches):
         own = shared.value  # a worker keeps its copy, and the code lengths it has met, between tasks
-        for batch in batches:
-            texts, letters = batch.column("__text__").to_pylist(), batch.column("__letter__").to_pylist()
+        for batch in sliced(batches):
+            texts, letters = batch.column(own_text).to_pylist(), batch.column("__letter__").to_pylist()
             data = [t.encode("utf-8", "surrogatepass") if t and ok else b"" for t, ok in zip(texts, letters, strict=True)]
             n = len(data)
             pred, score, rate = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
@@ -223,5 +227,5 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, F.col(text_col).alias("__text__"), letter.alias("__letter__")).mapInArrow(work, schema)
-
+    extra = [] if text_col in keep else [F.col(text_col).alias("__text__")]
+    return docs.select(*keep, *extra, letter.alias("__letter__")).mapInArrow(work, schema)

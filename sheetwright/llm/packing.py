@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -92,7 +92,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str,
     def work(batches):
         own, task = encoder(vocabulary, ranks, pattern), TaskContext.get().partitionId()
         made: dict[int, int] = defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for i, text in enumerate(batch.column("__text__").to_pylist()):
                 data = np.append(own.encode(text or ""), np.array([CLOSING_ID], dtype="<u4"))

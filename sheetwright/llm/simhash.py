@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, look_up
+from .common import Scratch, components, look_up, sliced
 
 SEED = 42
 SHINGLE = 3
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
 
     def work(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(x, shingle) for x in batch.column("_text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64), pa.int64())], names=["id", "fp"])
 
