@@ -33,7 +33,7 @@ from .quality import words_of
 
 LABELLED, BUCKETS, SHRINK, LEAST_SHRINK, LEAST_WEIGHT = 20_000, 1 << 18, 0.003, 5.0, 0.7
 MOST_DOMAINS, CELLS = 12, 256
-STEPS, PRECISION = 40, 1e-5
+STEPS, PRECISION, PATIENCE = 40, 1e-5, 5
 
 
 def hashed_words(text: Column) -> Column:
@@ -106,7 +106,8 @@ def fit_rates(cells: DataFrame, names: list[str], targets: list[float], most: in
 
     Residuals are weighed by the inverse of the domains' second-moment matrix over the documents whose rate is not
     zero, so that small or overlapping domains converge as fast as others; where the targets can be met, the minimum is
-    the same.  A step is shortened while the residual does not shrink.
+    the same.  A step is shortened while the residual does not shrink; the fit ends after PATIENCE steps that gain nothing,
+    as where the targets cannot be met.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
@@ -114,13 +115,14 @@ def fit_rates(cells: DataFrame, names: list[str], targets: list[float], most: in
     t = F.col("tokens") / total
     moments = {(p, q): F.sum(F.when(F.col("__rate__") > 0, F.col(p) * F.col(q) * t).otherwise(0.0)) for p in names for q in names}
     steps: list[list[float]] = []
-    least, length = math.inf, 1.0
+    least, length, stale = math.inf, 1.0, 0
     for _ in range(most):
         rated = cells.withColumn("__rate__", rate(steps, names))
         now = rated.agg(*(F.sum(F.col(p) * t * F.col("__rate__")).alias(p) for p in names), *(v.alias(f"{p}_{q}") for (p, q), v in moments.items())).first()
         residual = np.array([now[p] - x for p, x in zip(names, targets, strict=True)])
         size = float(np.abs(residual).max())
-        if size < PRECISION:
+        stale = 0 if size < 0.99 * least else stale + 1
+        if size < PRECISION or stale > PATIENCE:
             break
         length, least = (1.0 if size < 0.9 * least else max(0.1, length / 2)), min(least, size)
         weight = np.linalg.inv(np.array([[now[f"{p}_{q}"] for q in names] for p in names]) + 1e-6 * np.eye(len(names)))
