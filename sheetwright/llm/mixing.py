@@ -12,8 +12,9 @@ words have priors of their own.  It is fitted on about ``LABELLED`` labelled doc
 text counted once, a documented bound; that sample's ids and the table of weights (at most BUCKETS rows) are broadcast.
 
 Fit: the gradient of a rate is the document's posterior times the residual of the domain totals, measured in tokens, so
-a rate depends on the posterior alone.  Posteriors are rounded to a grid, the documents' tokens are summed by grid cell
-(at most ``CELLS ** (domains - 1)`` rows, whatever the corpus), and each step is one aggregate over the cells.  A document's rate is the same steps applied to its own posterior.
+a rate depends on the posterior alone.  Targets that no nonnegative rates meet are approached as closely as least squares
+allow, which can leave most rates zero and a few very high.  Posteriors are rounded to a grid, the documents' tokens are summed by grid cell
+(at most ``CELLS ** (domains - 1)`` rows, whatever the corpus), and each look at a step is one aggregate over the cells.  A document's rate is the same steps applied to its own posterior.
 
 Defined results: a null or empty text has no tokens, the prior of texts without telling words as posterior, and a rate;
 rows are judged each, repeated or not; labels of unknown ids, null labels and repeated labels of one id are harmless
@@ -23,6 +24,7 @@ rows are judged each, repeated or not; labels of unknown ids, null labels and re
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,8 @@ from .quality import words_of
 
 LABELLED, BUCKETS, SHRINK, LEAST_SHRINK, LEAST_WEIGHT = 20_000, 1 << 18, 0.003, 5.0, 0.7
 MOST_DOMAINS, CELLS = 12, 256
-STEPS, PRECISION, PATIENCE = 40, 1e-5, 5
+#: Most steps of the fit and of Newton's method within one, the residuals and slopes taken for zero, the gap, and the longest step.
+STEPS, NEWTON, PRECISION, FLAT, GAP, LONGEST = 40, 60, 1e-5, 1e-9, 1e-6, 1e8
 
 
 def hashed_words(text: Column) -> Column:
@@ -104,29 +107,52 @@ def rate(steps: list[list[float]], names: list[str]) -> Column:
 def fit_rates(cells: DataFrame, names: list[str], targets: list[float], most: int = STEPS) -> list[list[float]]:
     """Steps of projected gradient descent on the squared residual of the domain totals (as shares of all tokens).
 
-    Residuals are weighed by the inverse of the domains' second-moment matrix over the documents whose rate is not
-    zero, so that small or overlapping domains converge as fast as others; where the targets can be met, the minimum is
-    the same.  A step is shortened while the residual does not shrink; the fit ends after PATIENCE steps that gain nothing,
-    as where the targets cannot be met.
+    Each step takes its gradient where it ends, so that the squared residual never rises, however long the step is, and
+    the last rates are the best.  A step's end is found by Newton's method with a line search on a convex function of one
+    number a domain: its slope is the targets plus the step over its length, less the totals at its end.  Lengths grow
+    tenfold up to ``LONGEST``.  The fit ends when the targets are met or, where they cannot be, when the squared residual
+    is proven to be within GAP of its least: it exceeds that by no more than the residual times the totals, plus what a
+    posterior with a negative product with the residual could still gain.  Without that proof in ``most`` steps it warns.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return []
-    t = F.col("tokens") / total
-    moments = {(p, q): F.sum(F.when(F.col("__rate__") > 0, F.col(p) * F.col(q) * t).otherwise(0.0)) for p in names for q in names}
+    t, goal, one = F.col("tokens") / total, np.array(targets), F.col("__rate__")
+    moments = {(p, q): F.sum(F.when(one > 0, F.col(p) * F.col(q) * t).otherwise(0.0)) for p in names for q in names}
+    sums = [F.sum(t * one * one).alias("energy"), *(F.sum(F.col(p) * t * one).alias(p) for p in names), *(v.alias(f"{p}_{q}") for (p, q), v in moments.items())]
     steps: list[list[float]] = []
-    least, length, stale = math.inf, 1.0, 0
+    length = 1.0
+
+    def at(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float]:
+        """A step's value, slope and curvature, the totals at its end, and the least product with a cell's posterior."""
+        listed = F.split(F.lit(",".join(map(repr, step.tolist()))), ",").cast("array<double>")
+        along = sum((F.col(p) * F.get(listed, F.lit(i)) for i, p in enumerate(names)), F.lit(0.0))
+        now = cells.where("tokens > 0").withColumn("__rate__", rate([*steps, step.tolist()], names)).agg(*sums, F.min(along).alias("least")).first()
+        totals = np.array([now[p] for p in names])
+        curve = np.array([[now[f"{p}_{q}"] for q in names] for p in names]) + np.eye(len(names)) / length
+        return now["energy"] / 2 + step @ goal + step @ step / length / 2, goal + step / length - totals, curve, totals, now["least"]
+
     for _ in range(most):
-        rated = cells.withColumn("__rate__", rate(steps, names))
-        now = rated.agg(*(F.sum(F.col(p) * t * F.col("__rate__")).alias(p) for p in names), *(v.alias(f"{p}_{q}") for (p, q), v in moments.items())).first()
-        residual = np.array([now[p] - x for p, x in zip(names, targets, strict=True)])
-        size = float(np.abs(residual).max())
-        stale = 0 if size < 0.99 * least else stale + 1
-        if size < PRECISION or stale > PATIENCE:
-            break
-        length, least = (1.0 if size < 0.9 * least else max(0.1, length / 2)), min(least, size)
-        weight = np.linalg.inv(np.array([[now[f"{p}_{q}"] for q in names] for p in names]) + 1e-6 * np.eye(len(names)))
-        steps.append((length * (weight @ residual)).tolist())
+        length = min(LONGEST, length * 10)
+        step = np.zeros(len(names))
+        value, slope, curve, totals, least = at(step)
+        for _ in range(NEWTON):
+            if np.abs(totals - goal).max() < PRECISION and not step.any() or np.abs(slope).max() < FLAT:
+                break
+            move, share = -np.linalg.solve(curve, slope), 1.0
+            while True:
+                new = at(step + share * move)
+                if new[0] <= value + 1e-4 * share * (slope @ move) + 1e-12 * abs(value) or share < 1e-6:
+                    break
+                share /= 2
+            step, (value, slope, curve, totals, least) = step + share * move, new
+        residual = totals - goal
+        if step.any():
+            steps.append(step.tolist())
+        gap = abs(residual @ totals) + max(0.0, -least / length) * math.sqrt(len(names)) * float(np.linalg.norm(goal))
+        if np.abs(residual).max() < PRECISION or gap < GAP:
+            return steps
+    warnings.warn(f"rates not proven least within {most} steps: squared residual {residual @ residual:.3g}, gap up to {2 * gap:.3g}", stacklevel=2)
     return steps
 
 

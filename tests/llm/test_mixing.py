@@ -1,5 +1,6 @@
 """Mixing: the classifier on separable texts, and rates against a plain projected-gradient fit."""
 
+import itertools
 import random
 
 import numpy as np
@@ -29,6 +30,26 @@ def test_rates_meet_the_targets(spark):
     assert q.T @ (t * plain) / t.sum() == pytest.approx(q.T @ (t * r) / t.sum(), abs=3e-3)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_targets_out_of_reach_are_met_as_closely_as_least_squares_can(spark, seed):
+    rng = np.random.default_rng(seed)
+    p = np.round(np.concatenate([rng.dirichlet([6, 0.2, 1.5], size=11), [[0.87, 0, 0.13], [0.02, 0, 0.98], [0.3, 0.5, 0.2]]]) * 256) / 256
+    p[:, 2] = np.maximum(p[:, 2], 0.12 * p[:, 0])  # clean never comes without toxic
+    tokens = np.array([*rng.integers(1, 400, size=11), 50_000, 4000, 3])
+    cells = spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens, strict=True)], "p0 double, p1 double, p2 double, tokens long")
+    names, targets = ["p0", "p1", "p2"], np.array([0.94, 0.04, 0.02])
+    least = float(targets @ targets)
+    for k in (1, 2, 3):  # the least squares are those of some three posteriors at most
+        for rows in itertools.combinations(range(len(p)), k):
+            weights = np.linalg.lstsq(p[list(rows)].T, targets, rcond=None)[0]
+            if (weights >= 0).all():
+                least = min(least, float(((p[list(rows)].T @ weights - targets) ** 2).sum()))
+    assert least > 1e-4
+    r = np.array([(x.r, x.tokens, x.p0, x.p1, x.p2) for x in cells.withColumn("r", rate(fit_rates(cells, names, targets.tolist()), names)).collect()])
+    found = r[:, 2:].T @ (r[:, 0] * r[:, 1]) / r[:, 1].sum()
+    assert (r[:, 0] >= 0).all() and ((found - targets) ** 2).sum() == pytest.approx(least, abs=1e-5)
+
+
 def frame(spark, n=120):
     rng = random.Random(1)
     words = {"good": "tree river stone", "bad": "spam win cash"}
