@@ -2,12 +2,13 @@
 
 Base rules count words, symbols, repeated lines and words in repeated five-word windows.  The method's rule compares two
 histograms of a document with its language's reference by the Jensen-Shannon distance (base 2, 0 to 1): character
-classes, and the language's most common words against all others.  References are the sums of the documents' own counts
+classes, and the language's ``COMMON`` most common words, in ``TIERS`` by rank, against all others.  References are the sums of the documents' own counts
 over the whole table.  Which words count as common is chosen on a bounded sample: about ``SAMPLE`` documents a language;
 their frequencies are then taken over all documents.
 
 Short texts have histograms that say little, so each distance counts only from a least length on; below it the document
-passes.  A document of no known language is compared on character classes only, with the reference of all documents.
+passes.  A text without any common word has the same word distance whatever its length; a document fails from ``FAR`` of
+that of its language on.  A document of no known language is compared on character classes only, with the reference of all documents.
 
 Words are runs of characters other than ASCII white space.  Five-word windows are compared by their 64-bit hash.
 Defined results: a null text has no words and fails the base rules; repeated rows are judged each; other columns are
@@ -23,14 +24,16 @@ from .common import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-#: Documents a language that common words are chosen on, and how many words.
-SAMPLE, COMMON = 1500, 16
+#: Documents a language that common words are chosen on, how many words, and the ranks that end their tiers.
+SAMPLE, COMMON = 1500, 512
+TIERS = (4, 16, 64, 128, COMMON)
 MOST_LANGUAGES = 500
 #: Characters by class; what none of them matches is the last class.
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?'\"()-]"]
-#: Least characters and words for the two distances to count, and the distances from which a document fails.
+#: Least characters and words for the two distances to count, the class distance above which a document fails, and the
+#: share of the distance of a text without common words.
 LEAST_CHARS, LEAST_WORDS = 200, 50
-MOST_CLASSES, MOST_WORDS = 0.28, 0.4
+MOST_CLASSES, FAR = 0.28, 0.6
 
 
 def let(value: Column, body) -> Column:
@@ -109,17 +112,26 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0))))
 
 
+def tier_counts(words: str, best: list[str]) -> str:
+    """SQL of how many of an array's words are of each tier of ``best`` (letters only); sets are looked up by hash."""
+    made, inner = "", words
+    for k, end in reversed(list(enumerate(TIERS))):  # a tier's words are sought among those of the tier above
+        named = ", ".join(f"'{w}'" for w in best[:end])
+        made += f"element_at(transform(array(filter({inner}, x -> x in ({named}))), t{k} -> "
+        inner = f"t{k}"
+    counts = [f"cast(size(t{k}){f' - size(t{k - 1})' if k else ''} as double)" for k in range(len(TIERS))]
+    return f"{made}array({', '.join(counts)})" + "), 1)" * len(TIERS)
+
+
 def histograms(docs: DataFrame, text_col: str, lang_col: str, words: dict[str, list[str]]) -> DataFrame:
-    """``docs`` with ``__classes__`` (characters by class) and ``__common__`` (the language's common words, and the rest)."""
+    """``docs`` with ``__classes__`` (characters by class) and ``__found__`` (the language's common words by tier)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
     classes = let(F.array(*counts), lambda c: F.concat(c, F.array(F.char_length(text) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
-    lists = F.lit(None).cast("array<string>")
+    counts = F.lit(None).cast("array<double>")
     for lang, best in words.items():
-        lists = F.when(F.col(lang_col) == lang, F.array(*map(F.lit, best))).otherwise(lists)
-    spaced = F.concat(F.lit(" "), F.array_join(words_of(F.lower(text)), "  "), F.lit(" "))
-    found = let(spaced, lambda s: F.transform(lists, lambda w: (F.char_length(s) - F.char_length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.char_length(w) + 2)))
-    return docs.withColumns({"__classes__": classes, "__found__": found})
+        counts = F.when(F.col(lang_col) == lang, F.expr(tier_counts("__lower__", best))).otherwise(counts)
+    return docs.withColumns({"__classes__": classes, "__lower__": words_of(F.lower(text))}).withColumn("__found__", counts).drop("__lower__")
 
 
 def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -132,7 +144,7 @@ def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         F.col("__id__").alias("id"), lang.alias("lang"), "__base__.*", "n_symbols", "n_dup_lines", F.col("__classes__").alias("classes"), F.col("__found__").alias("found")
     )
     rows = scratch.table(rows, "features")
-    n_classes, n_common = len(CLASSES) + 1, max(map(len, words.values()), default=0)
+    n_classes, n_common = len(CLASSES) + 1, len(TIERS)
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("found", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
     own = rows.groupBy("lang").agg(*sums, F.sum("n_words").cast("double").alias("w"))  # at most MOST_LANGUAGES + 1 rows
     whole = own.agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes))).first()
@@ -148,9 +160,10 @@ def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     chars = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
     by_class = F.when(chars >= LEAST_CHARS, jensen_shannon(F.col("classes"), F.coalesce(F.col("ref_classes"), pooled)))
     by_word = F.when(F.col("n_words") >= LEAST_WORDS, jensen_shannon(rest(F.col("found"), F.col("n_words").cast("double")), rest(F.col("ref_found"), F.col("ref_words"))))
-    judged = joined.withColumns({"class_distance": by_class, "word_distance": by_word})
+    none = jensen_shannon(rest(F.transform("ref_found", lambda x: F.lit(0.0)), F.lit(1.0)), rest(F.col("ref_found"), F.col("ref_words")))
+    judged = joined.withColumns({"class_distance": by_class, "word_distance": by_word, "without": none})
     judged = judged.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORDS)
+    fits = (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR * F.coalesce("without", F.lit(1.0)))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "word_distance"
     )

@@ -67,3 +67,15 @@ def test_judge(spark):
     assert found[900].base_failed and found[901].base_failed and found[903].base_failed
     assert found[902].word_distance is None and found[901].class_distance is None
     assert quality.judge(frame.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_letters_without_common_words_fail(spark):
+    rng = random.Random(4)
+    spell = lambda lang: lang + "".join(rng.choice("abcdefghij") for _ in range(4))
+    usual = {lang: [spell(lang) for _ in range(40)] for lang in ("en", "de")}
+    text = lambda lang, share, n: " ".join(rng.choice(usual[lang]) if rng.random() < share else spell(lang) + spell("") for _ in range(n))
+    good = [(i, text(lang, 0.5, 60 + i), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    bad = [(200 + i, text(lang, share, 80), lang) for i, (lang, share) in enumerate([("en", 0), ("de", 0), ("en", 0.03), ("de", 0.03)])]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), Scratch(spark, "t")).collect()}
+    assert all(found[i].kept for i, _, _ in good)
+    assert not any(found[i].kept or found[i].base_failed for i, _, _ in bad)
