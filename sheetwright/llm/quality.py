@@ -3,8 +3,7 @@
 Base rules count words, symbols, repeated lines and words in repeated five-word windows.  The method's rule compares two
 histograms of a document with its language's reference by the Jensen-Shannon distance (base 2, 0 to 1): character
 classes, and the language's ``COMMON`` most common words, in ``TIERS`` by rank, against all others.  References are the sums of the documents' own counts
-over the whole table.  Which words count as common is chosen on a bounded sample: about ``SAMPLE`` documents a language;
-their frequencies are then taken over all documents.
+over the whole table, and common words are those most frequent in all of it.
 
 Short texts have histograms that say little, so each distance counts only from a least length on; below it the document
 passes.  A text without any common word has the same word distance whatever its length; a document fails from ``FAR`` of
@@ -24,8 +23,8 @@ from .common import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-#: Documents a language that common words are chosen on, how many words, and the ranks that end their tiers.
-SAMPLE, COMMON = 1500, 512
+#: How many words of a language count as common, and the ranks that end their tiers.
+COMMON = 512
 TIERS = (4, 16, 64, 128, COMMON)
 MOST_LANGUAGES = 500
 #: Characters by class; what none of them matches is the last class.
@@ -83,21 +82,16 @@ def base_features(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def common_words(docs: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE, most: int = COMMON) -> dict[str, list[str]]:
-    """The most frequent words of each language in a sample of about ``sample`` documents."""
+def common_words(docs: DataFrame, text_col: str, lang_col: str, most: int = COMMON) -> dict[str, list[str]]:
+    """The most frequent words of each language over all documents; of equally frequent ones the first by the alphabet."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
+    langs = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return {}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-    counted = picked.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).where(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", "word").count()
+    # Words are counted in each task before any is moved, and tested for letters once they are counted.
+    counted = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= most)
-    found: dict[str, list[str]] = {lang: [] for lang in sizes}
+    found: dict[str, list[str]] = {lang: [] for lang in langs}
     for r in sorted(best.collect(), key=lambda r: r["r"]):
         found[r["lang"]].append(r["word"])
     return {k: v for k, v in found.items() if v}

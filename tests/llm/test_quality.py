@@ -79,3 +79,13 @@ def test_letters_without_common_words_fail(spark):
     found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), Scratch(spark, "t")).collect()}
     assert all(found[i].kept for i, _, _ in good)
     assert not any(found[i].kept or found[i].base_failed for i, _, _ in bad)
+
+
+def test_common_words_are_those_of_all_documents(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(rng.choices(words, k=8)) for _ in range(4000)] + ["copied text of one kind 7x"] * 2500
+    frame = spark.createDataFrame([(t, "en") for t in texts] + [("null lang", None), (None, "en"), ("A, a", "de")], "text string, lang string")
+    counts = Counter(w for t in texts for w in t.split() if w.isalpha())
+    first = sorted(counts, key=lambda w: (-counts[w], w))
+    assert quality.common_words(frame, "text", "lang", most=30) == {"en": first[:30], "de": ["a"]}
