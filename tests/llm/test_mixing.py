@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheetwright.llm import queries
 from sheetwright.llm.common import Scratch
 from sheetwright.llm.mixing import fit_rates, mix, rate
 
@@ -77,3 +78,27 @@ def test_mix_without_labels_or_rows(spark):
     assert mix(docs.limit(0), labels, {"good": 1.0}, Scratch(spark, "t")).count() == 0
     one = mix(docs, labels.withColumn("domain", F.lit("only")), {"only": 2.0}, Scratch(spark, "t")).collect()
     assert {round(r.rate, 3) for r in one} == {1.0}
+
+
+def test_targets_on_the_tables(spark):
+    """Totals against brute-force nonnegative least squares over the posteriors that the query reports."""
+    rows = queries.op2_mixing(spark, "/root/testdata/sf0.001").toPandas()
+    names = [f"p_{d}" for d in sorted(queries.TARGETS)]
+    p, t, goal = rows[names].to_numpy(), (rows.n_tokens / rows.n_tokens.sum()).to_numpy(), np.array([queries.TARGETS[d] for d in sorted(queries.TARGETS)])
+    assert np.allclose(p.sum(axis=1), 1)
+    best, plain = p.T @ t, np.ones(len(p))
+    for _ in range(100_000):
+        plain = np.maximum(0, plain - p @ (p.T @ (t * plain) - goal))
+        best = p.T @ (t * plain)
+    found = p.T @ (t * rows.rate.to_numpy())
+    assert np.linalg.norm(found - goal) <= 1.01 * np.linalg.norm(best - goal) + 2e-3
+
+
+def test_posteriors_are_calibrated(spark):
+    """Expected tokens of the labelled documents by domain against their labels."""
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op2_mixing(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    toxic, junk = rows.toxic == 1, (rows.toxic == 0) & (rows.quality == 0)
+    t = rows.n_tokens / rows.n_tokens.sum()
+    assert (rows.p_toxic * t).sum() == pytest.approx(t[toxic].sum(), abs=0.05) and (rows.p_junk * t).sum() == pytest.approx(t[junk].sum(), abs=0.05)
+    assert (rows[~toxic & ~junk].p_clean > 0.5).mean() > 0.95
