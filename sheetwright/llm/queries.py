@@ -74,13 +74,20 @@ TOOLS = {"answer": {"prompt": ("string", True, 1, 400), "turn": ("integer", True
 
 
 def op7_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn calls the tool ``answer``; the assistant's turn after it is the result, under the call's identifier."""
+    """Each user turn calls the tool ``answer``; the assistant's turn after it is the result, under the call's identifier.
+
+    Turns of any other role, or none, are plain messages.  A call whose text's length is a multiple of four needs the next user turn's
+    call, so it waits for it, and chains of such calls wait for their last one.
+    """
     turns = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn").cast("string").alias("turn")))
-    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
+    prompt = F.coalesce("text", F.lit(""))
+    arguments = F.to_json(F.struct(prompt.alias("prompt"), F.col("turn")))
+    after = F.when(F.char_length(prompt) % 4 == 0, F.array(name(F.col("turn") + 2))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"), after.alias("after"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    linked = link(calls, results, TOOLS, Scratch(spark, "op7"))
+    others = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    linked = link(calls, results, TOOLS, Scratch(spark, "op7"), others)
     return linked.select("conv_id", "turn", "kind", "call_id", "status", F.array_join("errors", "; ").alias("errors"), "due", "level", "json")
 
 
@@ -108,19 +115,28 @@ ORACLE = {
     "op7_chat_tools": """
         with calls as (
             select conv_id, turn, 't' || turn as call_id, coalesce(text, '') as prompt,
-                   '{"arguments":{"prompt":' || to_json(coalesce(text, ''))::varchar || ',"turn":"' || turn || '"},"id":"t' || turn || '","name":"answer"}' as j
+                   '{"arguments":{"prompt":' || to_json(coalesce(text, ''))::varchar || ',"turn":' || turn || '},"id":"t' || turn || '","name":"answer"}' as j
             from conversations where role = 'user'),
-        firsts as (select conv_id, call_id, min(j) as first_json, min(turn) as first_turn from calls group by all),
+        firsts as (select conv_id, turn as first_turn, call_id, min(j) as first_json, arg_min(length(prompt), j) % 4 = 0 as waits from calls group by all),
+        chains as (
+            select f.conv_id, f.call_id, f.first_turn, f.first_json, f.waits and g.call_id is not null as goes_on
+            from firsts f left join firsts g on g.conv_id = f.conv_id and g.first_turn = f.first_turn + 2),
+        placed as (
+            select *, min(case when not goes_on then first_turn end) over (partition by conv_id, first_turn % 2 order by first_turn rows between current row and unbounded following) as due
+            from chains),
         results as (select conv_id, turn, 't' || (turn - 1) as call_id, text from conversations where role = 'assistant'),
         answers as (select conv_id, call_id, count(*) as n from results group by all)
         select c.conv_id, c.turn, 'call' as kind, c.call_id, case when c.j <> f.first_json then 'repeated' when a.n > 0 then 'linked' else 'unanswered' end as status,
                concat_ws('; ', case when length(prompt) < 1 then 'prompt: too small' when length(prompt) > 400 then 'prompt: too large' end, case when c.turn > 99 then 'turn: too large' end) as errors,
-               c.turn as due, cast(0 as bigint) as level, c.j as json
-        from calls c join firsts f using (conv_id, call_id) left join answers a using (conv_id, call_id)
+               f.due, cast((f.due - f.first_turn) // 2 as bigint) as level, c.j as json
+        from calls c join placed f using (conv_id, call_id) left join answers a using (conv_id, call_id)
         union all
-        select r.conv_id, r.turn, 'result', r.call_id, case when f.call_id is null then 'orphan' else 'linked' end, '', coalesce(f.first_turn, r.turn), 0,
+        select r.conv_id, r.turn, 'result', r.call_id, case when f.call_id is null then 'orphan' else 'linked' end, '', coalesce(f.due, r.turn), coalesce((f.due - f.first_turn) // 2, 0),
                '{"content":' || coalesce(to_json(r.text)::varchar, 'null') || ',"id":"' || r.call_id || '"}'
-        from results r left join firsts f using (conv_id, call_id)
+        from results r left join placed f using (conv_id, call_id)
+        union all
+        select conv_id, turn, 'message', null, 'plain', '', turn, 0, '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}'
+        from conversations where role is null or role not in ('user', 'assistant')
     """,
     "op1_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)

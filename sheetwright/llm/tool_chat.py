@@ -9,11 +9,17 @@ link to; the others are ``repeated``.  A result without a call is an ``orphan``;
 
 Order: a message's place is (due, level, turn).  A call is due at its turn, or later where a call that it depends on is
 due later; among calls due at one turn the level counts how many such dependencies stand before it.  Calls that only
-depend on earlier ones keep (turn, 0), so chains of any length cost nothing.  Places are raised in rounds, over the calls
-that depend on later ones only; calls on a cycle of such dependencies get level -1.  A result has its call's place.
+depend on earlier ones keep (turn, 0), so chains of any length cost nothing.  Others get their place in rounds; each round
+also replaces an edge to a call with a single dependency by one past it, so a chain of n calls takes about log2(n) rounds, and
+the rounds end as soon as only cycles, and what waits for them, are left: those calls get level -1.  A result has its
+call's place; plain messages, of whatever role, keep (turn, 0).
 
-Defined results: a null identifier links to nothing; null arguments count as ``{}``; JSON that does not parse fails with
-``not an object``; unknown tools fail with ``unknown tool``; other columns are ignored.
+Validation: arguments are parsed as JSON values with their types.  ``string``, ``integer`` (a number without fraction and exponent),
+``number`` and ``boolean`` must be just that; JSON null is missing; an object with a repeated name does not parse.
+
+Defined results: a null identifier links to nothing; null arguments count as ``{}``; JSON that does not parse, or is no
+object, fails with ``not an object``; unknown tools fail with ``unknown tool``; rows that repeat are each a message; an empty table gives no message; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from .common import Scratch, look_up
 #: A tool's arguments: name -> (type, required, least, most); sizes bound numbers, and the lengths of strings.
 Schema = dict[str, tuple[str, bool, float | None, float | None]]
 MOST_TOOLS = 1000
+#: The kinds of arguments, and the names of their JSON values' types.
+SHAPES = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$", "number": r"^(BIGINT|DECIMAL\([0-9,]+\)|DOUBLE)$", "boolean": "^BOOLEAN$"}
 
 
 def canonical_json(**parts: Column) -> Column:
@@ -45,51 +53,96 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, Schema]) -
     if len(tools) > MOST_TOOLS:
         raise ValueError(f"more than {MOST_TOOLS} tools")
     text = F.coalesce(arguments, F.lit("{}"))
+    parsed = F.try_parse_json(text)
+    whole = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
     members = F.json_object_keys(text)
     out = F.array(F.lit("unknown tool"))
     for tool, schema in tools.items():
         found = []
         for key, (kind, required, least, most) in sorted(schema.items()):
-            value = F.get_json_object(text, f"$.{key}")
-            missing = ~F.coalesce(F.array_contains(members, key), F.lit(False)) | value.isNull()
-            number = F.when(value.rlike(r"^-?[0-9]{1,18}$"), value.try_cast("bigint")) if kind == "integer" else value.try_cast("double")
-            size = F.char_length(value) if kind == "string" else number
-            wrong = F.lit(False) if kind == "string" else number.isNull()
+            path = f"$['{key}']"
+            shape = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+            missing = shape.isNull() | (shape == "VOID")
+            size = F.char_length(F.try_variant_get(parsed, path, "string")) if kind == "string" else F.try_variant_get(parsed, path, "double")
+            wrong = ~shape.rlike(SHAPES[kind])
             low = size < least if least is not None else F.lit(False)
             high = size > most if most is not None else F.lit(False)
             found.append(F.when(missing, F.lit(f"{key}: missing") if required else F.lit(None)).when(wrong, f"{key}: not {kind}").when(low, f"{key}: too small").when(high, f"{key}: too large"))
         extra = F.transform(F.array_except(F.array_sort(members), F.array(*map(F.lit, schema))), lambda m: F.concat(m, F.lit(": not in schema")))
-        out = F.when(name == tool, F.when(members.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(F.array_compact(F.array(*found)), extra))).otherwise(out)
+        out = F.when(name == tool, F.when(~whole, F.array(F.lit("not an object"))).otherwise(F.concat(F.array_compact(F.array(*found)), extra))).otherwise(out)
     return out
 
 
+def jumped(edges: DataFrame) -> DataFrame:
+    """Edges (conv_id, call_id, need, steps): those to a call with a single need lead past it, to that need."""
+    single = edges.groupBy("conv_id", "call_id").agg(F.max("need").alias("past"), F.max("steps").alias("more"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    past = single.select("conv_id", F.col("call_id").alias("need"), "past", "more")
+    led = edges.join(past, ["conv_id", "need"], "left").select("conv_id", "call_id", F.coalesce("past", "need").alias("need"), (F.col("steps") + F.coalesce("more", F.lit(0).cast("long"))).alias("steps"))
+    return led.groupBy("conv_id", "call_id", "need").agg(F.max("steps").alias("steps"))
+
+
+def dues(edges: DataFrame, turns: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, due): the latest turn among each call and all that it needs, directly or not."""
+    keys, now, k = ["conv_id", "call_id"], scratch.table(turns.select("conv_id", "call_id", F.col("turn").alias("due")), "due0"), 0
+    edges = scratch.table(edges, "due_edges0")
+    while True:
+        needs = now.select("conv_id", F.col("call_id").alias("need"), F.col("due").alias("below"))
+        raised = edges.join(needs, ["conv_id", "need"]).groupBy(*keys).agg(F.max("below").alias("below"))
+        new = now.join(raised, keys, "left").select(*keys, F.greatest("due", "below").alias("due"), F.coalesce(F.col("below") > F.col("due"), F.lit(False)).alias("moved"))
+        new = scratch.table(new, f"due{k + 1}")
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        edges, now, k = scratch.table(jumped(edges), f"due_edges{k + 1}"), new.drop("moved"), k + 1
+
+
+def levels(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, level) of all calls in ``edges``: the longest chain of needs, or -1 on and behind a cycle."""
+    keys, k = ["conv_id", "call_id"], 0
+    edges = scratch.table(edges, "level_edges0")
+    ends = edges.select("conv_id", F.col("need").alias("call_id")).distinct().join(edges.select(*keys).distinct(), keys, "left_anti")
+    done = scratch.table(ends.withColumn("level", F.lit(0).cast("long")), "done0")
+    new, settled = done, []
+    while not new.isEmpty():
+        settled.append(new)
+        known = settled[0]
+        for more in settled[1:]:
+            known = known.union(more)
+        below = known.select("conv_id", F.col("call_id").alias("need"), "level")
+        ready = edges.join(below, ["conv_id", "need"], "left").groupBy(*keys).agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        new = scratch.table(ready.where("open = 0").drop("open"), f"done{k + 1}")
+        waiting = edges.join(new, keys, "left_anti")
+        # An edge to a call that just settled stays: its level is known.
+        edges, k = scratch.table(jumped(waiting), f"level_edges{k + 1}"), k + 1
+    stuck = edges.select(*keys).distinct().withColumn("level", F.lit(-1).cast("long"))
+    for more in settled:
+        stuck = stuck.union(more)
+    return stuck
+
+
 def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, due, level) of the calls (conv_id, call_id, turn, after; unique by id) that depend on later ones."""
-    keys = ["conv_id", "call_id"]
+    """(conv_id, call_id, due, level) of the calls (conv_id, call_id, turn, after; unique by id) in conversations with late needs.
+
+    A need is late if its call's turn is not before that of the call that needs it.
+    """
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("need"))
     edges = edges.join(calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn")), ["conv_id", "need"])
     edges = scratch.table(edges, "edges")
-    late = edges.where("need_turn >= turn")
-    # A level above the number of calls that can wait in a conversation is on a cycle; it stops there.
-    most = late.select("conv_id", "call_id").union(late.select("conv_id", "need")).distinct().groupBy("conv_id").agg((F.count(F.lit(1)) + 1).alias("most"))
-    waits = scratch.table(edges.join(most, "conv_id"), "waits")
-    place = scratch.table(late.groupBy(*keys).agg(F.max(F.struct(F.col("need_turn").alias("due"), F.lit(1).cast("long").alias("level"))).alias("place")), "place0")
-    moved, k = place.count(), 0
-    while moved:
-        below = place.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("below"))
-        reach = waits.join(below, ["conv_id", "need"]).where(F.col("below.due") >= F.col("turn"))
-        raised = reach.select(*keys, F.struct(F.col("below.due").alias("due"), F.least(F.col("below.level") + 1, F.col("most")).alias("level")).alias("place"))
-        new = scratch.table(place.unionByName(raised).groupBy(*keys).agg(F.max("place").alias("place")), f"place{k + 1}")
-        moved, place, k = new.exceptAll(place).count(), new, k + 1
-    found = place.join(most, "conv_id")
-    return found.select(*keys, "place.due", F.when(F.col("place.level") >= F.col("most"), F.lit(-1).cast("long")).otherwise(F.col("place.level")).alias("level"))
-
-
-def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], scratch: Scratch) -> DataFrame:
+    late = scratch.table(edges.where("need_turn >= turn").select("conv_id").distinct(), "late")
+    if late.isEmpty():
+        return calls.limit(0).select("conv_id", "call_id", F.col("turn").cast("long").alias("due"), F.lit(0).cast("long").alias("level"))
+    edges = scratch.table(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "need", F.lit(1).cast("long").alias("steps")), "late_edges")
+    ends = edges.select("conv_id", "call_id").union(edges.select("conv_id", "need")).distinct()
+    due = dues(edges, calls.join(ends, ["conv_id", "call_id"], "left_semi"), scratch)
+    same = edges.join(due, ["conv_id", "call_id"]).join(due.select("conv_id", F.col("call_id").alias("need"), F.col("due").alias("need_due")), ["conv_id", "need"]).where("need_due = due")
+    level = levels(same.select("conv_id", "call_id", "need", "steps"), scratch)
+    return due.join(level, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "due", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+
+
+def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], scratch: Scratch, messages: DataFrame | None = None) -> DataFrame:
     """Linked messages: (conv_id, turn, kind, call_id, status, errors, due, level, json).
 
     ``calls`` has conv_id, turn, call_id, name, arguments (JSON text) and after (array of call ids); ``results`` has
-    conv_id, turn, call_id and content.
+    conv_id, turn, call_id and content; ``messages``, which are neither, have conv_id, turn, role and content.
     """
     # A parsed variant keeps an object's members in the order of their names, at every depth.
     sorted_arguments = F.coalesce(F.to_json(F.try_parse_json(F.coalesce("arguments", F.lit("{}")))), json_text(F.col("arguments")))
@@ -117,4 +170,11 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], scratch
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id", F.when(F.col("first_turn").isNull(), "orphan").otherwise("linked").alias("status"),
         F.array().cast("array<string>").alias("errors"), *place_of, reply.alias("json"),
     )
-    return asked.unionByName(told)
+    if messages is None:
+        return asked.unionByName(told)
+    plain = canonical_json(content=json_text(F.col("content")), role=json_text(F.col("role")))
+    said = messages.select(
+        "conv_id", "turn", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("plain").alias("status"),
+        F.array().cast("array<string>").alias("errors"), F.col("turn").alias("due"), F.lit(0).cast("long").alias("level"), plain.alias("json"),
+    )
+    return asked.unionByName(told).unionByName(said)

@@ -1,11 +1,12 @@
 """Tool-call linking against hand-made conversations."""
 
 import json
+import random
 
 import pytest
 
 from sheetwright.llm.common import Scratch
-from sheetwright.llm.tool_chat import link
+from sheetwright.llm.tool_chat import link, places
 
 TOOLS = {"find": {"q": ("string", True, 1, 10), "n": ("integer", False, 0, 5)}, "sum": {"x": ("number", True, None, None)}}
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>, status string"
@@ -39,7 +40,10 @@ def test_links_statuses_and_json(spark):
     [
         ("find", '{"q":"ok"}', []), ("find", '{"q":"ok","n":5}', []), ("find", '{"n":9}', ["n: too large", "q: missing"]), ("find", '{"q":"","n":"x"}', ["n: not integer", "q: too small"]),
         ("find", '{"q":"much too long"}', ["q: too large"]), ("find", '{"q":"a","z":1}', ["z: not in schema"]), ("find", "oops", ["not an object"]), ("find", None, ["q: missing"]),
-        ("sum", '{"x":-2.5e3}', []), ("sum", '{"x":null}', ["x: missing"]), ("other", "{}", ["unknown tool"]), (None, "{}", ["unknown tool"]),
+        ("find", '{"q":5}', ["q: not string"]), ("find", '{"q":true}', ["q: not string"]), ("find", '{"q":{"x":1}}', ["q: not string"]), ("find", '{"q":["a"]}', ["q: not string"]),
+        ("find", '{"q":"a","n":"3"}', ["n: not integer"]), ("find", '{"q":"a","n":2.5}', ["n: not integer"]), ("find", '{"q":"a","n":1e0}', ["n: not integer"]), ("find", '{"q":"a","q":"b"}', ["not an object"]),
+        ("find", '{"q":"a","n":123456789012345678901234567890}', ["n: too large"]), ("find", "[1]", ["not an object"]), ("find", '"q"', ["not an object"]), ("sum", '{"x":"1"}', ["x: not number"]),
+        ("sum", '{"x":-2.5e3}', []), ("sum", '{"x":3}', []), ("sum", '{"x":null}', ["x: missing"]), ("other", "{}", ["unknown tool"]), (None, "{}", ["unknown tool"]),
     ],
 )
 def test_arguments(spark, name, arguments, errors):
@@ -64,5 +68,54 @@ def test_order(spark):
     assert rows == {"a": -1, "b": -1, "c": 0, "e": 0}
 
 
+def slow_places(calls):
+    """(due, level) by id, by repeated passes over all calls of one conversation."""
+    turn = {c: t for t, c, _ in calls}
+    needs = {c: [n for n in set(after) if n in turn] for _, c, after in calls}
+    due = dict(turn)
+    for _ in calls:
+        due = {c: max([due[c], *(due[n] for n in needs[c])]) for c in due}
+    same = {c: [n for n in needs[c] if due[n] == due[c]] for c in due}
+    level, left = {}, set(due)
+    while ready := {c for c in left if all(n in level for n in same[c])}:
+        level |= {c: max([level[n] + 1 for n in same[c]], default=0) for c in ready}
+        left -= ready
+    return {c: (due[c], level.get(c, -1)) for c in due}
+
+
+def placed(spark, calls):
+    rows = [(1, t, c, "sum", '{"x":1}', after, "") for t, c, after in calls]
+    scratch = Scratch(spark, "t")
+    made = places(spark.createDataFrame(rows, CALLS), scratch)
+    found = {r.call_id: (r.due, r.level) for r in made.collect()}
+    return {c: found.get(c, (t, 0)) for t, c, _ in calls}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_places_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"c{i}" for i in range(14)]
+    calls = [(rng.randrange(10), c, [rng.choice(names) for _ in range(rng.choice([0, 1, 1, 2]))]) for c in names]
+    assert placed(spark, calls) == slow_places(calls)
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, old=Scratch.table: wrote.append(name) or old(self, df, name))
+    chain = [(i, f"c{i}", [f"c{i + 1}"]) for i in range(100)]
+    cycle = [(i, f"c{i}", [f"c{(i + 1) % 60}"]) for i in range(60)]
+    for calls in (chain, cycle):
+        wrote.clear()
+        assert placed(spark, calls) == slow_places(calls)
+        assert len(wrote) <= 45
+
+
+def test_plain_messages(spark):
+    said = spark.createDataFrame([(1, 0, "system", "be kind", 1), (1, 3, None, None, 2), (None, None, "tool", "", 3)], "conv_id long, turn long, role string, content string, json int")
+    rows = link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), TOOLS, Scratch(spark, "t"), said).collect()
+    assert sorted(r.json for r in rows) == ['{"content":"","role":"tool"}', '{"content":"be kind","role":"system"}', '{"content":null,"role":null}']
+    assert {(r.kind, r.status, r.due, r.level) for r in rows} == {("message", "plain", 0, 0), ("message", "plain", 3, 0), ("message", "plain", None, 0)}
+
+
 def test_empty(spark):
     assert linked(spark, [], []) == []
