@@ -2,12 +2,13 @@
 
 Texts never move unless their fingerprint occurs twice.  The steps:
 
-1. One scan takes each text's SHA-256 (after lower-casing A-Z) and writes a narrow table of row number and digest.
-2. Rows are dealt to blocks of bounded size.  Each block cuts its digests to about ``log2(256 * rows)`` bits, sorts
-   them and sends each owner (a range of fingerprints) its part as Golomb-coded gaps, about ten bits a fingerprint.
-3. Each owner decodes what it received and returns a bitmap to every block: which of its fingerprints occur twice.
-4. Each block marks its suspects.  One in 256 of the other rows is a false suspect.
-5. A second scan moves the suspects' texts only, and groups them by their bytes with a partial aggregate on the map
+1. One scan takes each text's SHA-256 (after lower-casing A-Z) and writes a narrow table of digests.  The same tasks cut
+   them to about ``log2(256 * rows)`` bits, sort them by blocks of bounded size, and write for each owner (a range of
+   fingerprints) its part as Golomb-coded gaps, about ten bits a fingerprint.  Only these codes are shuffled.
+2. Each owner decodes what it received and returns a bitmap to every block: which of its fingerprints occur twice.
+3. Each block's codes and bitmaps give its suspect fingerprints; a scan of the digests marks their rows by a bounded filter.
+   One in 256 of the other rows, and what the filter lets through, is a false suspect, which costs a verification.
+4. A second scan moves the suspects' texts only, and groups them by their bytes with a partial aggregate on the map
    side, so a text with very many copies sends one row a task.
 
 Defined results: a null text counts as empty, and empty texts are copies of each other.  Among equal texts the row
@@ -22,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ from .common import KeyFilter, Scratch, look_up, parallelism, sliced
 SLOTS_PER_ROW = 256
 #: Rows of a block and fingerprints of an owner, about; both bound a task's memory.
 BLOCK_ROWS = 500_000
+#: What a block sends to an owner.
+CODES = {"block": pa.int64(), "owner": pa.int64(), "n": pa.int64(), "k": pa.int32(), "unary": pa.binary(), "rest": pa.binary(), "again": pa.binary()}
+KINDS = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
 
 def golomb_encode(values: np.ndarray, width: int) -> tuple[int, bytes, bytes]:
@@ -58,23 +63,26 @@ def golomb_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
-def _digests(batches):
-    for batch in sliced(batches):
-        texts = batch.column("_text").to_pylist()
-        sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass").lower()).hexdigest() for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("__id__"), pa.array(sha, pa.string())], names=["uid", "id", "sha"])
-
-
 def _lowered(batches):
     for batch in sliced(batches):
         texts = [x.encode("utf-8", "surrogatepass").lower() for x in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("__id__"), pa.array(texts, pa.binary())], names=["id", "norm"])
 
 
-def _slots(sha: pa.ChunkedArray, bits: int) -> np.ndarray:
+def _slots(sha: list[str], bits: int) -> np.ndarray:
     """The first ``bits`` bits of each hexadecimal digest."""
-    heads = [int(x[:15], 16) for x in sha.to_pylist()]
-    return np.asarray(heads, dtype=np.int64) >> (60 - bits)
+    return np.asarray([int(x[:15], 16) for x in sha], dtype=np.int64) >> (60 - bits)
+
+
+def _codes(block: int, slots: np.ndarray, width: int) -> list[dict]:
+    """What a block sends: for each owner its distinct fingerprints in order, coded, and which of them the block has twice."""
+    distinct, times = np.unique(slots, return_counts=True)
+    owners, out = distinct // width, []
+    cuts = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        k, unary, rest = golomb_encode(distinct[i:j] - owners[i] * width, width)
+        out.append({"block": block, "owner": int(owners[i]), "n": int(j - i), "k": k, "unary": unary, "rest": rest, "again": np.packbits(times[i:j] > 1).tobytes()})
+    return out
 
 
 def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,26 +90,34 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("__id__"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
-    prints = scratch.table(
-        text.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(_digests, f"uid long, id {id_type}, sha string"),
-        "prints",
-    )
-    n = prints.count()
+    n = docs.count()
     lanes = max(parallelism(docs.sparkSession), math.ceil(n / BLOCK_ROWS))
     bits = min(60, max(12, (max(n, 1) * SLOTS_PER_ROW - 1).bit_length()))
     owner_bits = min(bits - 4, max(0, (lanes - 1).bit_length()))
     width = 1 << (bits - owner_bits)
 
-    def encode(block: pa.Table) -> pa.Table:
-        slots, times = np.unique(_slots(block["sha"], bits), return_counts=True)
-        owners, rows = slots // width, []
-        cuts = np.flatnonzero(np.diff(owners, prepend=-1, append=-1))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            k, unary, rest = golomb_encode(slots[i:j] - owners[i] * width, width)
-            rows.append((block["block"][0].as_py(), int(owners[i]), int(j - i), k, unary, rest, np.packbits(times[i:j] > 1).tobytes()))
-        names = ["block", "owner", "n", "k", "unary", "rest", "again"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    def digests(batches):
+        task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
+        empty: list[pa.Array] = []
+
+        def coded():
+            rows = _codes(task << 24 | serial, np.concatenate(held), width)
+            blank = [pa.nulls(len(rows), t) for t in empty]
+            return pa.RecordBatch.from_arrays([*blank, *(pa.array([r[c] for r in rows], t) for c, t in CODES.items())], names=["uid", "id", "sha", "slot", *CODES])
+
+        for batch in sliced(batches):
+            sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass").lower()).hexdigest() for x in batch.column("_text").to_pylist()]
+            slots = _slots(sha, bits)
+            own = [batch.column("_uid"), batch.column("__id__"), pa.array(sha, pa.string()), pa.array(slots)]
+            empty = [c.type for c in own]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(sha), t) for t in CODES.values())], names=["uid", "id", "sha", "slot", *CODES])
+            held.append(slots)
+            size += len(slots)
+            if size >= BLOCK_ROWS:
+                yield coded()
+                serial, held, size = serial + 1, [], 0
+        if size:
+            yield coded()
 
     def judge(sent: pa.Table) -> pa.Table:
         parts = sent.to_pylist()
@@ -112,30 +128,23 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
         repeated = np.concatenate([a[b] for a, b in zip(lists, again, strict=True)])
         twice[np.searchsorted(seen, repeated)] = True
         maps = [np.packbits(twice[np.searchsorted(seen, x)]).tobytes() for x in lists]
-        return pa.table(
-            [pa.array([p["block"] for p in parts], pa.int64()), pa.array([p["owner"] for p in parts], pa.int64()), pa.array([p["n"] for p in parts], pa.int64()), pa.array(maps, pa.binary())],
-            names=["block", "owner", "n", "bitmap"],
-        )
-
-    def mark(block: pa.Table, answers: pa.Table) -> pa.Table:
-        slots = _slots(block["sha"], bits)
-        distinct = np.unique(slots)
-        replies = sorted(answers.to_pylist(), key=lambda r: r["owner"])
-        flags = [np.unpackbits(np.frombuffer(r["bitmap"], dtype=np.uint8))[: r["n"]] for r in replies]
-        twice = np.concatenate(flags).astype(bool) if flags else np.zeros(0, dtype=bool)
-        suspect = twice[np.searchsorted(distinct, slots)]
-        return block.select(["uid", "id", "sha"]).append_column("suspect", pa.array(suspect, pa.bool_()))
-
-    blocks = prints.withColumn("block", F.pmod(F.shiftright("uid", 33), F.lit(lanes)))
-    sent = blocks.select("block", "sha").groupBy("block").applyInArrow(
-        encode, "block long, owner long, n long, k int, unary binary, rest binary, again binary"
-    )
-    answers = sent.groupBy("owner").applyInArrow(judge, "block long, owner long, n long, bitmap binary")
-    marked = scratch.table(
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, f"uid long, id {id_type}, sha string, suspect boolean"),
-        "marked",
-    )
-    suspects = marked.where("suspect")
+        return pa.table([pa.array([p["block"] for p in parts], pa.int64()), pa.array([p["owner"] for p in parts], pa.int64()), pa.array(maps, pa.binary())], names=["block", "owner", "bitmap"])
+
+    def suspected(batches):
+        for batch in batches:
+            found = [np.zeros(0, dtype=np.int64)]
+            for r in batch.to_pylist():
+                flags = np.unpackbits(np.frombuffer(r["bitmap"], dtype=np.uint8))[: r["n"]].astype(bool)
+                found.append(golomb_decode(r["n"], r["k"], r["unary"], r["rest"])[flags] + r["owner"] * width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["slot"])
+
+    kinds = ", ".join(f"{c} {KINDS[t]}" for c, t in CODES.items())
+    prints = scratch.table(text.withColumn("_uid", F.monotonically_increasing_id()).mapInArrow(digests, f"uid long, id {id_type}, sha string, slot long, {kinds}"), "prints")
+    codes = prints.where("owner is not null").select(*CODES)
+    answers = codes.groupBy("owner").applyInArrow(judge, "block long, owner long, bitmap binary")
+    slots = scratch.table(codes.drop("again").join(answers, ["block", "owner"]).mapInArrow(suspected, "slot long").distinct(), "slots")
+    marked = KeyFilter(slots, "slot", slots.count()).split(prints.where("owner is null").select("uid", "id", "sha", "slot"), "slot")
+    suspects = scratch.table(marked.where("__maybe__").select("uid", "id", "sha"), "suspects")
 
     # Byte verification: only the suspects' texts are moved, one row a text and task.
     screen = KeyFilter(suspects.select("id"), "id", suspects.count())
@@ -147,7 +156,7 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     ).where("c > 1").drop("c")
     classes = classes.join(stays, "sha")
 
-    single = marked.where("not suspect").select(
+    single = marked.where("not __maybe__").select(
         F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
     grouped = look_up(suspects, classes, "sha", "group_size", n).select(
