@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,47 @@ class KeyFilter:
         )
 
 
+def bitmap_of(keys: DataFrame, column: str, n_keys: int) -> np.ndarray:
+    """The same filter of a column of 64-bit hashes, as bytes on the driver: a power of two of them, 8 MB at most."""
+    bits = filter_bits(n_keys)
+    position = F.pmod(column, F.lit(bits)) + F.lit(1)
+    rows = keys.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * (BITMAP_ROW // 8)
+        out[at : at + BITMAP_ROW // 8] = np.frombuffer(r["m"], dtype=np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each hash whether the filter may hold it."""
+    at = hashes & np.int64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def sorted_groups(batches, keys: list[str]):
+    """The groups of rows of equal keys, as tables, from Arrow batches that come sorted by them; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if last is not None and any(c[0] != x for c, x in zip(columns, last, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        last = [c[-1] for c in columns]
+        starts = [0, *cuts.tolist()]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def discard(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``dropped`` (one column, the key; nulls never match).
 

@@ -1,22 +1,26 @@
 """Near-duplicate lines: segment-partition edit join and removal of all but the first line of each class.
 
-Two lines are linked if at most ``TAU`` characters must be inserted, deleted or replaced to turn one into the other.
-Each line is cut into TAU + 1 segments.  If two lines are that close, some segment of the shorter one occurs in the
-longer one unchanged, at a place that the lengths and the segment's number bound to a few positions.  So each line files
-its segments in an index keyed by (length, number, segment) and probes it with the substrings at those positions, for
-every length that it could match.  Candidates are verified by a banded bit-parallel edit distance.
-
-Signatures never carry text.  Keys that only one line has, almost all, are dropped by a keyed minimum and maximum; the
-texts of the few lines left are fetched by a second scan behind a bounded filter.  Within a key's group, lines that are
-already known to be connected are not compared again, so a dense group costs about one comparison and sends one link a
-line; a group of more than ``CROWD`` entries is first divided by segments of the rest of its lines, by the same rule.
-
-Lines shorter than ``LEAST`` characters are duplicates only if equal; equality is that of a 64-bit hash (XXH64, seed 42),
-which links two different lines by accident with odds of lines**2 / 2**65.  Classes are the links' connected components.
-The first line of a class, by (document id, line number), stays; blank lines always stay.
+Two lines are linked if at most ``threshold`` characters must be inserted, deleted or replaced to turn one into the
+other: one for every ``SHARE`` characters of the shorter line, ``TAU`` at most, so lines below ``SHARE`` characters are only linked to equal ones.
+A line is cut into one more segment than its threshold.  If two lines are that close, some segment of the shorter one
+occurs in the longer one unchanged, at a place that the lengths and the segment's number bound to a few positions.  So
+each line files its segments in an index keyed by (length, number, segment) and probes it with the substrings at those
+positions, for every length that it could match.  Candidates are verified by a banded bit-parallel edit distance.
+
+Signatures never carry text.  Keys that only one line has, almost all, are dropped by a keyed minimum and maximum; a
+bounded bitmap of the others screens the second pass where it makes them; the texts of the few lines left are fetched by
+another scan behind a bounded filter.  Within a key's group every pair is compared: pairs whose
+counts of characters differ by more than the threshold allows are told apart for a whole row at once, and only the rest is verified.
+A group of more than ``CROWD`` lines is dealt to blocks, pairs of parts of at most about ``CROWD`` lines, which are tasks of their own.
+A group sends the links that connect it, one a line at most, and each line's number of links; a pair that meets under
+several keys is counted under the least of them, so the numbers are exact.
+
+Equality of lines is that of a 64-bit hash (XXH64, seed 42), which takes two different lines for one by accident with
+odds of lines**2 / 2**65.  Classes are the links' connected components.  The first line of a class, by (document id,
+line number), stays; blank lines always stay.
 
 Defined results: a null text has no line; repeated rows are separate documents whose lines are duplicates; a null id
-comes before all others; other columns are ignored.
+comes before all others; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +33,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, components, discard, look_up
+from .common import KeyFilter, Scratch, bitmap_of, components, discard, in_bitmap, look_up, sorted_groups
 
-TAU, LEAST, CROWD = 2, 30, 128
+TAU, SHARE, CROWD = 2, 10, 2000
 SEED = 42
 INDEX, PROBE = 0, 1
+#: Groups of so few lines are compared pair by pair; others are screened by counts of characters in so many classes.
+FEW, CLASSES = 6, 32
+
+
+def threshold(length: int, tau: int = TAU) -> int:
+    """The edits that a line of this length may be away from a longer one."""
+    return min(tau, length // SHARE)
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -93,38 +104,24 @@ def layout(n: int, tau: int) -> list[tuple[int, int, int, int, int]]:
 
     The seed stands for (length, number) in the key's hash.
     """
-    out = [(INDEX, k, start, size, (n * (tau + 1) + k) & 0xFFFFFFFF) for k, (start, size) in enumerate(segments(n, tau))]
+    own = threshold(n, tau)
+    out = [(INDEX, k, start, size, (n * (tau + 1) + k) & 0xFFFFFFFF) for k, (start, size) in enumerate(segments(n, own))] if own else []
     for length in range(max(0, n - tau), n + 1):
-        more = n - length
-        for k, (start, size) in enumerate(segments(length, tau)):
-            low = max(0, start - k, start + more - (tau - k))
-            high = min(n - size, start + k, start + more + (tau - k))
+        more, edits = n - length, threshold(length, tau)
+        if not edits or more > edits:
+            continue
+        for k, (start, size) in enumerate(segments(length, edits)):
+            low = max(0, start - k, start + more - (edits - k))
+            high = min(n - size, start + k, start + more + (edits - k))
             # Where neither length nor place differs, it is the index entry, which other lines of this length share.
             out += [(PROBE, k, at, size, (length * (tau + 1) + k) & 0xFFFFFFFF) for at in range(low, high + 1) if more or at != start]
     return out
 
 
-def signatures(line: str, tau: int, salt: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """(key, role, number, start, size) of a line's index entries and probes."""
+def signatures(line: str, tau: int) -> list[tuple[int, int]]:
+    """(key, role) of a line's index entries and probes."""
     hashed = xxhash.xxh64_intdigest
-    return [(hashed(line[at : at + size], seed ^ salt & 0xFFFFFFFFFFFFFFFF) - (1 << 63), role, k, at, size) for role, k, at, size, seed in layout(len(line), tau)]
-
-
-def crowd_signatures(line: str, key: int, role: int, tau: int) -> list[tuple[int, int]]:
-    """(finer key, role) for a line in a crowded group: segments of what stands right of the shared one, or left of it.
-
-    Where segment k is the shared one, at most k edits lie left of it and tau - k right of it.
-    """
-    out = []
-    for _, _, k, start, size in (s for s in signatures(line, tau) if s[0] == key and s[1] == role):
-        edits, rest = (tau - k, line[start + size :]) if k <= tau // 2 else (k, line[:start])
-        if len(rest) <= edits:
-            out.append((xxhash.xxh64_intdigest(f"short {key}", seed=SEED) - (1 << 63), role))
-            continue
-        # Either side may be the longer one here, so each files and probes shorter and longer lengths alike.
-        for finer, r, *_ in signatures(rest, edits, salt=key):
-            out.append((finer, r))
-    return out
+    return [(hashed(line[at : at + size], seed) - (1 << 63), role) for role, _, at, size, seed in layout(len(line), tau)]
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,100 +132,147 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"lid": F.when(worded, F.xxhash64("line")), "chars": F.when(worded, F.char_length("line"))})
 
 
-def _entries(lines: DataFrame, tau: int) -> DataFrame:
+def _entries(lines: DataFrame, tau: int, screen=None) -> DataFrame:
+    """(key, lid) of the signatures of lines (lid, line); with a bitmap of keys as ``screen``, (key, lid, role) of those that it may hold."""
+    names = ["key", "lid"] if screen is None else ["key", "lid", "role"]
+
     def work(batches):
         hashed = xxhash.xxh64_intdigest
         for batch in batches:
+            lids, once = np.unique(batch.column("lid").to_numpy(), return_index=True)
+            texts = batch.column("line").take(pa.array(once)).to_pylist()
             keys, roles, times = [], [], []
-            texts = batch.column("line").to_pylist()
             for line in texts:
                 plan = layout(len(line), tau)
                 keys += [hashed(line[at : at + size], seed) for _, _, at, size, seed in plan]
-                roles += [p[0] for p in plan]
                 times.append(len(plan))
-            lids = np.repeat(batch.column("lid").to_numpy(), times)
-            signed = (np.array(keys, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed), pa.array(lids, pa.int64()), pa.array(roles, pa.int8())], names=["key", "lid", "role"])
-
-    return lines.select("lid", "line").mapInArrow(work, "key long, lid long, role byte")
-
-
-def _link_group(tau: int):
-    def work(group: pa.Table) -> pa.Table:
-        """Links that connect what this group connects: each line against the others until it is connected with them."""
-        rows = sorted({(r["role"], r["lid"], r["line"]) for r in group.to_pylist()})
-        lines = [r for r in rows if r[0] == INDEX]
-        probes = [r for r in rows if r[0] == PROBE]
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found = []
-        for i, (_, lid, line) in enumerate([*lines, *probes]):
-            for _, other, text in lines[: min(i, len(lines))]:
-                a, b = find(lid), find(other)
-                if a != b and within(line, text, tau):
-                    parent[max(a, b)] = min(a, b)
-                    found.append((lid, other))
-        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-    return work
-
-
-def near_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
-    """(node, root): each line hash that is linked to another, and the smallest of its class."""
-    long = lines.where(F.col("chars") >= least)
-    entries = _entries(long, tau)
-    lone = entries.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
+                if screen is not None:
+                    roles += [p[0] for p in plan]
+            columns = [(np.array(keys, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64), np.repeat(lids, times)]
+            if screen is not None:
+                held = in_bitmap(screen.value, columns[0])
+                columns = [c[held] for c in (*columns, np.array(roles, dtype=np.int8))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return lines.select("lid", "line").mapInArrow(work, "key long, lid long" + (", role byte" if screen is not None else ""))
+
+
+def profiles(lines: list[str]) -> np.ndarray:
+    """How many characters of each of ``CLASSES`` classes a line has, 255 at most; an edit changes two numbers by one."""
+    out = np.zeros((len(lines), CLASSES), dtype=np.int16)
+    for i, line in enumerate(lines):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % CLASSES
+        out[i] = np.minimum(np.bincount(codes, minlength=CLASSES), 255)
+    return out
+
+
+def close_pairs(lines: list[str], indexed: list[bool], parts: list[int], across: bool, tau: int):
+    """Pairs (i, j) of linked lines of which one is indexed; in a block of two parts (``across``), only pairs across them."""
+    n = len(lines)
+    lengths = np.array([len(x) for x in lines])
+    counts = profiles(lines) if n > FEW else None
+    index, part = np.array(indexed), np.array(parts)
+    for i in range(n):
+        js = np.arange(i + 1, n)
+        if counts is not None:
+            js = js[(index[js] | index[i]) & (np.abs(lengths[js] - lengths[i]) <= tau)]
+            js = js[np.abs(counts[js] - counts[i]).sum(axis=1) <= 2 * tau]
+        for j in js.tolist():
+            if (index[i] or index[j]) and (part[i] != part[j] or not across) and within(lines[i], lines[j], threshold(min(lengths[i], lengths[j]), tau)):
+                yield i, j
+
+
+def _link_group(rows: pa.Table, tau: int) -> list[tuple[int, int, int]]:
+    """(lid, lid, 0) for links that connect what a group connects, and (lid, lid, n) for a line's n links that are counted here."""
+    if rows.num_rows < 2:
+        return []
+    key = rows["key"][0].as_py()
+    found = sorted({(r["lid"], r["role"], r["part"], r["line"]) for r in rows.select(["lid", "role", "part", "line"]).to_pylist()})
+    found = [r for i, r in enumerate(found) if not i or found[i - 1][0] != r[0]]  # a line that is both is indexed
+    lids, lines = [r[0] for r in found], [r[3] for r in found]
+    parent = list(range(len(found)))
+    keys: dict[int, tuple[set[int], set[int]]] = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def own(i):
+        if i not in keys:
+            signed = signatures(lines[i], tau)
+            keys[i] = {k for k, role in signed if role == INDEX}, {k for k, _ in signed}
+        return keys[i]
+
+    out, times = [], [0] * len(found)
+    for i, j in close_pairs(lines, [r[1] == INDEX for r in found], [r[2] for r in found], rows["x"][0].as_py() != rows["y"][0].as_py(), tau):
+        a, b = find(i), find(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((lids[i], lids[j], 0))
+        (index_i, all_i), (index_j, all_j) = own(i), own(j)
+        if min((index_i & all_j) | (index_j & all_i)) == key:
+            times[i] += 1
+            times[j] += 1
+    return out + [(lids[i], lids[i], n) for i, n in enumerate(times) if n]
+
+
+def near_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of each line hash that is linked to another, with the smallest of its class; and (lid, links)."""
+    worded = lines.where("lid is not null").select("lid", "line")
+    lone = _entries(worded, tau).groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
     shared = scratch.table(lone.where("low <> high").select("key"), "shared")
-    marked = KeyFilter(shared, "key", shared.count()).split(entries, "key").where("__maybe__").drop("__maybe__")
-    kept = scratch.table(marked.distinct().join(shared, "key", "left_semi"), "kept")
+    screen = lines.sparkSession.sparkContext.broadcast(bitmap_of(shared, "key", shared.count()))
+    kept = scratch.table(_entries(worded, tau, screen).distinct().join(shared, "key", "left_semi"), "kept")
     lids = scratch.table(kept.select("lid").distinct(), "lids")
-    texts = KeyFilter(lids, "lid", lids.count()).split(long.select("lid", "line"), "lid").where("__maybe__").drop("__maybe__").distinct()
+    texts = KeyFilter(lids, "lid", lids.count()).split(worded, "lid").where("__maybe__").drop("__maybe__").distinct()
     full = scratch.table(kept.join(texts, "lid"), "full")
     sizes = full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("low"))
-    crowded = scratch.table(sizes.where((F.col("low") == INDEX) & (F.col("n") > crowd)).select("key"), "crowded")
-    plain = full.join(crowded, "key", "left_anti").select("key", "role", "lid", "line")
-    found = plain.groupBy("key").applyInArrow(_link_group(tau), "a long, b long")
-    if not crowded.isEmpty():
+    sizes = scratch.table(sizes.where(F.col("low") == INDEX).select("key", "n"), "sizes")
+    known = look_up(full, sizes, "key", "n", full.count()).where("n is not null")
+    known = known.withColumn("parts", F.ceil(F.col("n") / crowd)).withColumn("part", F.pmod(F.xxhash64("lid"), F.col("parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    blocks = known.select("key", "lid", "role", "line", "part", others).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
 
-        def finer(batches):
-            for batch in batches:
-                out = [(key, role, r["lid"], r["line"]) for r in batch.to_pylist() for key, role in crowd_signatures(r["line"], r["key"], r["role"], tau)]
-                keys, roles, ids, rows = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(roles, pa.int8()), pa.array(ids, pa.int64()), pa.array(rows, pa.string())], names=["key", "role", "lid", "line"])
+    def work(batches):
+        for group in sorted_groups(batches, ["key", "x", "y"]):
+            found = _link_group(group, tau)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
-        dense = full.join(crowded, "key", "left_semi").select("key", "role", "lid", "line").mapInArrow(finer, "key long, role byte, lid long, line string")
-        found = found.union(dense.groupBy("key").applyInArrow(_link_group(tau), "a long, b long"))
-    return components(scratch.table(found, "found"), scratch)
+    grouped = blocks.select("key", "x", "y", "lid", "role", "line", "part").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    found = scratch.table(grouped.mapInArrow(work, "a long, b long, n long"), "found")
+    counts = found.where("n > 0").groupBy(F.col("a").alias("lid")).agg(F.sum("n").alias("links"))
+    return components(found.where("n = 0").select("a", "b"), scratch), counts
 
 
-def marked_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
-    """(uid, id, line_no, chars, class_id, duplicate) of every line; blank lines have no class."""
+def marked_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, crowd: int = CROWD) -> DataFrame:
+    """(uid, id, line_no, chars, lid, links, class_id, duplicate) of every line; blank lines have no class."""
     lines = line_table(docs, id_col, text_col)
     where = scratch.table(lines.drop("line"), "lines")
-    roots = near_lines(lines, scratch, tau, least, crowd)
+    roots, counts = near_lines(lines, scratch, tau, crowd)
     sizes = where.where("lid is not null").groupBy("lid").agg(F.count(F.lit(1)).alias("n"))
-    labels = sizes.join(roots, sizes["lid"] == roots["node"], "left").select("lid", "n", F.coalesce("root", "lid").alias("class_id"))
+    labels = sizes.join(roots, sizes["lid"] == roots["node"], "left").join(counts, "lid", "left").select("lid", "n", F.coalesce("root", "lid").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     total = where.count()
     classed = scratch.table(look_up(where, labels, "lid", "n", total).drop("n"), "classed")
     first = classed.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("id", "line_no", "uid")).alias("first"), F.count(F.lit(1)).alias("n"))
     joined = look_up(classed, first, "class_id", "n", total)
     again = F.coalesce((F.col("first.uid") != F.col("uid")) | (F.col("first.line_no") != F.col("line_no")), F.lit(False))
-    return joined.select("uid", "id", "line_no", "chars", "class_id", again.alias("duplicate"))
+    return joined.select("uid", "id", "line_no", "chars", "lid", "links", "class_id", again.alias("duplicate"))
 
 
 def line_report(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row of ``docs``: its lines that have words, how many of them go, and the characters that stay."""
+    """One row per row of ``docs``: its lines that have words, how many of them go, and the characters that stay; the
+    classes of its lines, in order; and how many links its different lines have, each to a different text."""
     lines = marked_lines(docs, scratch, id_col, text_col, **options)
     worded = F.col("class_id").isNotNull()
-    return lines.groupBy("uid", "id").agg(
-        F.count_if(worded).alias("n_lines"), F.count_if(F.col("duplicate")).alias("n_duplicates"), F.coalesce(F.sum(F.when(~F.col("duplicate"), F.col("chars").cast("long"))), F.lit(0).cast("long")).alias("kept_chars")
-    ).select(F.col("id").alias(id_col), "n_lines", "n_duplicates", "kept_chars")
+    made = lines.groupBy("uid", "id").agg(
+        F.count_if(worded).alias("n_lines"), F.count_if(F.col("duplicate")).alias("n_duplicates"), F.coalesce(F.sum(F.when(~F.col("duplicate"), F.col("chars").cast("long"))), F.lit(0).cast("long")).alias("kept_chars"),
+        F.sort_array(F.collect_set("class_id")).alias("class_ids"), F.collect_set(F.when(worded, F.struct("lid", "links"))).alias("__links__"),
+    )
+    n_links = F.aggregate("__links__", F.lit(0).cast("long"), lambda a, x: a + x["links"])
+    return made.select(F.col("id").alias(id_col), "n_lines", "n_duplicates", "kept_chars", "class_ids", n_links.alias("n_links"))
 
 
 def drop_near_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from sheetwright.llm.common import Scratch
-from sheetwright.llm.line_dedup import INDEX, crowd_signatures, drop_near_lines, line_report, marked_lines, signatures, within
+from sheetwright.llm.line_dedup import INDEX, drop_near_lines, line_report, marked_lines, signatures, threshold, within
 
 
 def distance(a, b):
@@ -38,31 +38,34 @@ def test_distance_and_signatures():
         b = edited(rng, a, rng.randint(0, 4))
         d = distance(a, b)
         assert [within(a, b, k) for k in range(4)] == [d <= k for k in range(4)], (a, b)
-        if d <= 2 and min(len(a), len(b)) >= 9:
-            short, long = sorted((a, b), key=len)
-            shared = [(x, y) for x in signatures(short, 2) if x[1] == INDEX for y in signatures(long, 2) if x[0] == y[0]]
-            assert shared
-            assert any({k for k, _ in crowd_signatures(short, x[0], x[1], 2)} & {k for k, _ in crowd_signatures(long, y[0], y[1], 2)} for x, y in shared)
+        short, long = sorted((a, b), key=len)
+        if 0 < d <= threshold(len(short)):
+            assert any(x[0] == y[0] for x in signatures(short, 2) if x[1] == INDEX for y in signatures(long, 2))
 
 
 @pytest.mark.parametrize("crowd", [400, 3])
 def test_lines_against_all_pairs(spark, crowd):
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 60))).strip("  ") + "end" for _ in range(15)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(7, 50))).strip("  ") + "end" for _ in range(20)]
     texts = []
-    for _ in range(60):
-        texts.append("\n".join(rng.choice([edited(rng, rng.choice(base), rng.randint(0, 4)), "short line", "short lime", "", " \t"]) for _ in range(rng.randint(0, 6))))
+    for _ in range(110):
+        texts.append("\n".join(rng.choice([edited(rng, rng.choice(base), rng.randint(0, 3)), "short line", "short lime", "", " \t"]) for _ in range(rng.randint(0, 6))))
     texts += [None, "", base[0], base[0], "\n".join([base[1]] * 50), "word " * 20_000]
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, lid int, line int")
     flat = [(i, k, x) for i, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     kinds = sorted({x for *_, x in flat})
-    root = {x: x for x in kinds}
+    root, near = {x: x for x in kinds}, {x: 0 for x in kinds}
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 10):
+                near[a], near[b] = near[a] + 1, near[b] + 1
+    assert sum(near[x] > 0 and len(x) < 30 for x in kinds) > 10
     moved = True
     while moved:
         moved = False
         for i, a in enumerate(kinds):
             for b in kinds[:i]:
-                if root[a] != root[b] and min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+                if root[a] != root[b] and abs(len(a) - len(b)) <= 2 and distance(a, b) <= min(2, min(len(a), len(b)) // 10):
                     root[a] = root[b] = min(root[a], root[b])
                     moved = True
     first, want = {}, {}
@@ -70,13 +73,13 @@ def test_lines_against_all_pairs(spark, crowd):
         want[i, k] = first.setdefault(root[x], (i, k)) != (i, k)
     rows = marked_lines(frame, Scratch(spark, "t"), crowd=crowd).collect()
     assert {(r.id, r.line_no): r.duplicate for r in rows if r.class_id is not None} == want
-    if crowd == 3:
-        return
-    report = {r.doc_id: r for r in line_report(frame, Scratch(spark, "t")).collect()}
+    report = {r.doc_id: r for r in line_report(frame, Scratch(spark, "t"), crowd=crowd).collect()}
     assert len(report) == len(texts)
     for i, t in enumerate(texts):
         own = [(k, x) for j, k, x in flat if j == i]
         assert (report[i].n_lines, report[i].n_duplicates) == (len(own), sum(want[i, k] for k, _ in own))
+        assert report[i].n_links == sum(near[x] for x in {x for _, x in own})
+        assert len(report[i].class_ids) == len({root[x] for _, x in own})
         assert report[i].kept_chars == sum(len(x) for k, x in own if not want[i, k])
     clean = {r.doc_id: r.text for r in drop_near_lines(frame, Scratch(spark, "t")).collect()}
     for i, t in enumerate(texts):
@@ -89,3 +92,17 @@ def test_empty_table_and_repeated_rows(spark):
     line = "a line that is long enough to be looked at"
     frame = spark.createDataFrame([(None, line), (1, line), (1, line)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_duplicates) for r in line_report(frame, Scratch(spark, "t")).collect()) == [("1", 1), ("1", 1), ("None", 0)]
+
+
+def test_a_group_of_lines_that_share_a_segment_is_screened(spark):
+    """Lines that share two thirds and differ by more than two edits: no links, and no pair is verified one by one."""
+    rng = random.Random(4)
+    head = "the same beginning of every line, and more of it, "
+    lines = sorted({head + "".join(rng.choice("abcdefghijklmnop") for _ in range(25)) for _ in range(1500)})
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {(r.n_links, r.n_duplicates) for r in line_report(frame, Scratch(spark, "t")).collect()} == {(0, 0)}
+    pairs = [(i, x) for i, x in enumerate([head + f"{k:03d}" for k in range(300)])]
+    found = line_report(spark.createDataFrame(pairs, "doc_id long, text string"), Scratch(spark, "t"), crowd=40).collect()
+    texts = dict(pairs)
+    for r in found:
+        assert r.n_links == sum(distance(texts[r.doc_id][-3:], t[-3:]) <= 2 for i, t in pairs if i != r.doc_id)
