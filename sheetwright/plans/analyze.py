@@ -158,3 +158,27 @@ def _average(op, operands, found, siblings):
     if over is None:
         raise Rejected("avg takes one measure at several periods")
     return over
+
+
+#: What the difference of two measures of one date is called.
+IDENTITIES = {("assets", "liabilities"): "equity"}
+
+
+def analyze_prototype(tree: Bound, siblings: dict[tuple[str | None, str | None], set[str]] | None = None) -> Meaning:
+    """The meaning of a tree with the kinds that take precedence in prototypes: identities, changes over time, growth as a
+    change over its base, and products of amounts; other trees have their usual meaning."""
+    if isinstance(tree, tuple) and len(tree) == 3 and tree[0] in ("diff", "ratio", "mul"):
+        a, b = (analyze_prototype(x, siblings) for x in tree[1:])
+        amounts = a.semantic_type == b.semantic_type == "amount"
+        if tree[0] == "diff" and amounts and _context(a, b) and (name := IDENTITIES.get((a.concept, b.concept))):
+            return Meaning("named_identity", "amount", f"{name} of {a.entity} in {a.period}", a.entity, a.period, a.unit, name)
+        alike = a.concept is not None and (a.concept, a.entity, a.unit) == (b.concept, b.entity, b.unit)
+        if tree[0] == "diff" and amounts and alike and a.period != b.period:
+            text = f"change in {a.concept.replace('_', ' ')} for {a.entity} from {b.period} to {a.period}"
+            return Meaning("change_over_time", "amount", text, a.entity, None, a.unit, a.concept, b.period, a.period)
+        if tree[0] == "ratio" and a.kind == "change_over_time" and alike and a.from_period == b.period:
+            text = f"growth rate of {b.concept.replace('_', ' ')} for {b.entity} from {a.from_period} to {a.to_period}"
+            return Meaning("growth_rate", "ratio", text, b.entity, None, "ratio", b.concept, a.from_period, a.to_period)
+        if tree[0] == "mul" and amounts:
+            return Meaning("product_amounts", "amount", f"product of {a.text} and {b.text}", a.entity if a.entity == b.entity else None, None, a.unit if a.unit == b.unit else None)
+    return analyze(tree, siblings)

@@ -35,7 +35,8 @@ def amount_tree(draws: Draws, depth: int, amounts: list[str], rates: list[str],
     if op in ("min", "max", "avg"):
         return Over(op, Leaf(draws.pick(amounts)))
     if op == "mul":
-        return Node("mul", grow(depth - 1), Leaf(draws.pick(rates)))
+        scale = ratio_tree(draws, depth - 1, amounts, rates, registry, derived_share=derived_share, stop=stop) if depth > 1 else Leaf(draws.pick(rates))
+        return Node("mul", grow(depth - 1), scale)
     return Node(op, grow(depth - 1), grow(depth - 1))
 
 

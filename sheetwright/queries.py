@@ -434,16 +434,32 @@ def used_keys(facts: DataFrame) -> DataFrame:
 
 TEXT_SQL = "cast(cast(value as decimal(20,2)) as varchar)"
 RING_SQL = f"ring as (select key, case when count(*) over w2 > 1 then coalesce(lead(value) over w, first_value(value) over w2) end as donor from atoms window w as (partition by concept order by {rank_sql(13, 'key')}, key), w2 as (partition by concept order by {rank_sql(13, 'key')}, key rows between unbounded preceding and unbounded following))"
+
+
+def LOOKS_SQL(cells: str, seeds: list[int], other: str = "olZSbBg", negative: str = "false") -> str:
+    """SQL of ``looks`` (key, text): up to two look-alike characters in the integer part of (key, t), as two draws pick them."""
+    d = [draw_sql(x, "key") for x in seeds]
+    swap = lambda draw: f"translate(substr(s, i, 1), '0125689', case when {draw} < 0.5 then 'OIZSbBg' else '{other}' end)"
+    return f"""l1 as (select *, split_part(t, '.', 1) as s from ({cells})),
+        l2 as (select *, list_filter(range(1, length(s) + 1), lambda i: contains('0125689', substr(s, i, 1))) as places from l1),
+        l3 as (select *, places[1 + cast(floor({d[0]} * len(places)) as integer)] as one from l2),
+        l4 as (select *, list_filter(places, lambda i: i <> one) as rest from l3),
+        l5 as (select *, rest[1 + cast(floor({d[1]} * len(rest)) as integer)] as two from l4),
+        looks as (select key, case when len(places) = 0 then t else case when {negative} then '-' else '' end || list_aggregate(list_transform(range(1, length(s) + 1),
+            lambda i: case when i = one then {swap(d[2])} when i = two then {swap(d[3])} else substr(s, i, 1) end), 'string_agg', '') end as text from l5)"""
+
+
 CELL_SQL = {
     "missing": "''", "garbage": f"(['-9999999', '999999999999', '-1', 'ERROR'])[1 + cast(floor({draw_sql(14, 'key')} * 4) as integer)]",
-    "lookalike": "translate(cast(cast(trunc(value) as bigint) as varchar), '0125689', 'OIZSbBg')", "cross": f"coalesce({TEXT_SQL.replace('value', 'donor')}, '')",
+    "lookalike": "text", "cross": f"coalesce({TEXT_SQL.replace('value', 'donor')}, '')",
 }
 ROLL_SQL = f"case when {draw_sql(12, 'key')} < 0.25 then 'missing' when {draw_sql(12, 'key')} < 0.5 then 'garbage' when {draw_sql(12, 'key')} < 0.75 then 'lookalike' else 'cross' end"
 
 
 def corruption_sql(mode: str) -> str:
     kind = ROLL_SQL if mode == "combined" else f"'{mode}'"
-    return f"""with {ATOMS}, {USED_SQL}, {RING_SQL}, k as (select atoms.*, donor, case when key in (select key from used) then 'protected' when {draw_sql(11, 'key')} < 0.3 then {kind} else 'untouched' end as corruption from atoms join ring using (key))
+    looks = LOOKS_SQL(f"select key, {TEXT_SQL} as t from atoms", [15, 16, 17, 18])
+    return f"""with {ATOMS}, {USED_SQL}, {RING_SQL}, {looks}, k as (select atoms.*, donor, text, case when key in (select key from used) then 'protected' when {draw_sql(11, 'key')} < 0.3 then {kind} else 'untouched' end as corruption from atoms join ring using (key) join looks using (key))
         select key, concept, entity, period, case corruption when 'missing' then {CELL_SQL['missing']} when 'garbage' then {CELL_SQL['garbage']} when 'lookalike' then {CELL_SQL['lookalike']} when 'cross' then {CELL_SQL['cross']} else {TEXT_SQL} end as cell, corruption from k"""
 
 
@@ -468,13 +484,6 @@ def donors_of_other_entities(spark, d):
     return corrupt.donors(star.atoms(sheet_of(spark, d)), 13, other_entity=True)
 
 
-@query(f"""with {ATOMS}, r as (select key, value, entity || '_' || period as row_key, row_number() over (partition by entity, period order by {rank_sql(22, 'key')}, key) as n from atoms),
-    h as (select *, n = 1 and {draw_sql(21, 'row_key')} < 0.15 as injected from r)
-    select key, injected, {TEXT_SQL} || case when injected then ' ' || (['{"', '".join(corrupt.INJECTIONS)}'])[1 + cast(floor({draw_sql(23, 'row_key')} * {len(corrupt.INJECTIONS)}) as integer)] else '' end as cell from h""")
-def inject_text(spark, d):
-    return corrupt.inject(star.atoms(sheet_of(spark, d)), 0.15, 21)
-
-
 def _array(items: list[str]) -> str:
     return "([" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "])"
 
@@ -538,17 +547,7 @@ def render_question(spark, d):
     return rows.select("entity", "period", render.render(text, uniform(41, text), uniform(42, text), uniform(43, text)).alias("question"))
 
 
-FORMAL = {"add": "What is the sum of discounts and taxes for ", "subtract": "What is the difference between discounts and taxes (i.e., discounts minus taxes) for ", "ratio": "What is the ratio of discounts to taxes for ", "greater_than": "Is discounts strictly greater than taxes for "}
-
-
-@query(f"with {SHEET} select entity, period, op, text || entity || ' for fiscal year ' || period || '?' as question from sheet, (values " + ", ".join(f"('{k}', '{v}')" for k, v in FORMAL.items()) + ") v(op, text)")
-def render_formal(spark, d):
-    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("op"), F.lit(v).alias("text")) for k, v in FORMAL.items()))).alias("f")
-    rows = sheet_of(spark, d).select("entity", "period", listed)
-    return rows.select("entity", "period", F.col("f.op").alias("op"), F.concat("f.text", "entity", F.lit(" for fiscal year "), F.col("period").cast("string"), F.lit("?")).alias("question"))
-
-
-@query(f"with {SHEET}, v as (select entity, period, 'boolean' as kind, case when taxes > discounts then 1.0::double else 0 end as v from sheet union all select entity, period, 'percentage', tax_rate * 100 from sheet union all select entity, period, 'count', units_sold from sheet union all select entity, period, 'ratio', taxes / list_sales from sheet union all select entity, period, 'amount', list_sales from sheet) select entity, period, kind, case kind when 'boolean' then case when v <> 0 then 'Yes' else 'No' end when 'percentage' then cast(cast(v as decimal(20,2)) as varchar) || '%' when 'count' then cast(cast(v as bigint) as varchar) when 'ratio' then cast(cast(v as decimal(20,4)) as varchar) else cast(cast(v as decimal(20,2)) as varchar) end as text from v")
+@query(f"with {SHEET}, v as (select entity, period, 'boolean' as kind, case when taxes > discounts then 1.0::double else 0 end as v from sheet union all select entity, period, 'percentage', tax_rate * 100 from sheet union all select entity, period, 'count', units_sold from sheet union all select entity, period, 'ratio', taxes / list_sales from sheet union all select entity, period, 'amount', list_sales from sheet) select entity, period, kind, case kind when 'boolean' then case when v <> 0 then 'Yes' else 'No' end when 'percentage' then cast(cast(v as decimal(20,2)) as varchar) || '%' when 'count' then cast(cast(v as bigint) as varchar) when 'ratio' then cast(cast(v as decimal(20,4)) as varchar) else case when abs(v) >= 1000 then format('{{:,.0f}}', v) else format('{{:,.2f}}', v) end end as text from v")
 def format_answer(spark, d):
     values = {"boolean": F.when(F.col("taxes") > F.col("discounts"), 1.0).otherwise(0.0), "percentage": F.col("tax_rate") * 100, "count": F.col("units_sold"), "ratio": F.col("taxes") / F.col("list_sales"), "amount": F.col("list_sales")}
     listed = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in values.items()))).alias("x")

@@ -37,6 +37,14 @@ def lex_number(text: Column) -> tuple[Column, Column]:
     return number, F.when(number.isNull(), text)
 
 
+def lex_value(text: Column) -> Column:
+    """A cell as (integer, real, text): a number without a point is an integer, another number real, the rest stays text."""
+    plain = F.regexp_replace(F.trim(text), "[$,]", "")
+    whole = F.when(plain.rlike(r"^[+-]?[0-9]{1,18}$"), plain.cast("bigint"))
+    real = F.when(whole.isNull(), plain.try_cast("double"))
+    return F.struct(whole.alias("integer"), real.alias("real"), F.when(whole.isNull() & real.isNull(), text).alias("text"))
+
+
 def parse_statement_lines(lines: DataFrame) -> DataFrame:
     """Cells of sectioned statements: (path, metric, year, number, text) from lines (path, line_no, line).
 
@@ -94,22 +102,92 @@ def wide_leaves(questions: DataFrame, slots: int = 9) -> DataFrame:
     return questions.select(*(c for c in questions.columns if c != "leaves"), *(leaf(i, f) for i in range(max(slots, most)) for f in fields))
 
 
-def statement_text(facts: DataFrame, info: DataFrame) -> DataFrame:
+def csv_cell(text: Column) -> Column:
+    """A cell as CSV writes it: quoted where it holds a comma, a quote or a line break."""
+    return F.when(text.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def ordered_items(names: Column, order: list[str]) -> Column:
+    """The place of an item in its section: listed ones first, in their order, then others by name, totals last."""
+    place = F.array_position(F.array(*map(F.lit, order)), names) if order else F.lit(0)
+    return F.struct(F.lower(names).startswith("total").alias("total"), F.when(place > 0, place).otherwise(len(order) + 1).alias("place"), names.alias("name"))
+
+
+def statement_text(facts: DataFrame, info: DataFrame, sections: list[str] | None = None, items: list[str] | None = None) -> DataFrame:
     """Sectioned statement text of each entity: (entity, text).
 
-    ``facts`` has entity, section, metric, year and value, ``info`` entity, field and value. An entity's statement is
-    small, and is the unit of the result.
+    ``facts`` has entity, section, metric, year and value, ``info`` entity, field and value. A section's columns are all years
+    that any of its metrics has, a metric's cell is empty where it has none; sections and metrics come in the given order, others after
+    them by name, totals last. An entity's statement is small, and is the unit of the result.
     """
-    cell = F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.col("value").cast("string"))
-    row = facts.groupBy("entity", "section", "metric").agg(F.sort_array(F.collect_list(F.struct("year", cell.alias("cell")))).alias("cells"))
-    line = F.concat_ws(",", "metric", F.array_join(F.transform("cells", lambda c: c["cell"]), ","))
-    years = F.array_join(F.transform(F.first("cells"), lambda c: c["year"].cast("string")), ",")
-    section = row.groupBy("entity", "section").agg(F.concat_ws(",", F.first("section"), years).alias("head"), F.sort_array(F.collect_list(line)).alias("lines"))
-    body = section.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("section", F.concat_ws("\n", "head", F.array_join("lines", "\n")).alias("t")))).alias("parts"))
-    top = info.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", "field", "value"))), "\n").alias("fields"))
+    cell = F.when(F.col("value") == F.floor("value"), F.col("value").cast("bigint").cast("string")).otherwise(F.regexp_replace(F.col("value").cast("decimal(38,6)").cast("string"), "0+$", ""))
+    row = facts.groupBy("entity", "section", "metric").agg(F.map_from_entries(F.collect_list(F.struct("year", F.coalesce(cell, F.lit("")).alias("cell")))).alias("cells"))
+    whole = row.groupBy("entity", "section").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("cells"))))).alias("years"),
+        F.collect_list(F.struct(ordered_items(F.col("metric"), items or []).alias("place"), "cells")).alias("rows"),
+    )
+    # maps have no order, so the rows are put in order by their places alone
+    by_place = lambda x, y: F.when(x["place"] < y["place"], -1).when(x["place"] > y["place"], 1).otherwise(0)
+    line = lambda r: F.array_join(F.concat(F.array(csv_cell(r["place"]["name"])), F.transform("years", lambda y: F.coalesce(F.element_at(r["cells"], y), F.lit("")))), ",")
+    head = F.array_join(F.concat(F.array(csv_cell(F.col("section"))), F.transform("years", lambda y: y.cast("string"))), ",")
+    section = whole.select("entity", "section", F.concat_ws("\n", head, F.array_join(F.transform(F.array_sort("rows", by_place), line), "\n")).alias("t"))
+    body = section.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct(ordered_items(F.col("section"), sections or []).alias("place"), "t"))).alias("parts"))
+    top = info.groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", csv_cell(F.col("field")), csv_cell(F.coalesce(F.col("value").cast("string"), F.lit("")))))), "\n").alias("fields"))
     return body.join(top, "entity").select("entity", F.concat(F.lit("Field,Value\n"), "fields", F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
+def write_companies(spark: SparkSession, sheet: DataFrame, path: str, key: str = "ticker") -> None:
+    """One folder a company with its nested record, and the alias index: names, tickers and ids that stand for it."""
+    years = F.sort_array(F.collect_list(F.struct("year", *(c for c, t in sheet.dtypes if t != "string" and c != "year"))))
+    nested = sheet.groupBy(key, "company_name").agg(years.alias("years"))
+    nested.write.mode("overwrite").partitionBy(key).json(f"{path}/companies")
+    alias_index(sheet, key, ["company_name", key]).write.mode("overwrite").json(f"{path}/aliases")
+
+
+def alias_index(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(alias, key): every name, in lower case and trimmed, that stands for one key only."""
+    listed = F.explode(F.array(*(F.lower(F.trim(F.col(n).cast("string"))) for n in names))).alias("alias")
+    found = rows.select(F.col(key).alias("key"), listed).where("alias <> ''").groupBy("alias").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+    return found.where("key = other").select("alias", "key")
+
+
+def bar_joined(rows: DataFrame) -> DataFrame:
+    """Rows for a CSV export: list columns joined by a vertical bar, nested ones as JSON."""
+    def flat(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.array_join(F.transform(name, lambda x: F.coalesce(x.cast("string"), F.lit(""))), "|").alias(name)
+        return (F.to_json(name) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.col(name).cast("string")).alias(name)
+
+    return rows.select(*(flat(f.name, f.dataType) for f in rows.schema.fields))
+
+
+def export_questions(rows: DataFrame, path: str) -> None:
+    """Questions and answers as CSV, list columns joined by a bar, and as JSON lines."""
+    bar_joined(rows).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    rows.write.mode("overwrite").json(f"{path}/jsonl")
+
+
+def read_config(spark: SparkSession, companies: str, numeric: str, metadata: str) -> dict[str, DataFrame]:
+    """The tables of a generator's configuration, each a JSON array: companies, numeric columns with ranges, concepts.
+
+    A company needs a name and a ticker of its own, a range a minimum not above its maximum, a concept a known type.
+    """
+    found = {
+        "companies": read_records_json(spark, companies, "company_name string, ticker string, sector string, credit_rating string"),
+        "numeric": read_records_json(spark, numeric, "column string, min double, max double"),
+        "concepts": read_records_json(spark, metadata, "concept string, semantic_type string, unit string, parent_concept string, role string"),
+    }
+    wrong = {
+        "companies": found["companies"].groupBy("ticker").count().where("ticker is null or count > 1"),
+        "numeric": found["numeric"].where("column is null or min > max"),
+        "concepts": found["concepts"].where("concept is null or semantic_type is null or semantic_type not in ('amount', 'rate', 'price', 'count')"),
+    }
+    for name, rows in wrong.items():
+        if not rows.isEmpty():
+            raise ValueError(f"invalid {name}: {rows.limit(3).collect()}")
+    return found
+
+
 def report_json(filings: DataFrame, key: str = "id") -> DataFrame:
     """Each filing as a nested JSON document: (key, document)."""
     return filings.select(key, F.to_json(F.struct(*filings.columns)).alias("document"))

@@ -119,7 +119,10 @@ def test_corruption(spark):
     assert corrupt.corrupt(table, "missing", 0.0, 1).where("corruption <> 'untouched'").count() == 0
     with pytest.raises(ValueError):
         corrupt.corrupt(table, "missing", 1.5, 1)
-    assert 0 < corrupt.inject(table, 0.6, 1).where("injected").count() <= 24
+    wide = table.groupBy("entity", "period").pivot("concept").sum("value")
+    fields = [c for c in wide.columns if c not in ("entity", "period")]
+    hit = corrupt.inject(wide, ["entity", "period"], fields, [], 0.6, 1).where(" or ".join(f"`{c}` like '% %'" for c in fields)).count()
+    assert 0 < hit < wide.count()
 
 
 def test_obstacles(spark):
