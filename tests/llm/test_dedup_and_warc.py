@@ -154,20 +154,35 @@ def test_warc_round_trip(spark, pages):
     assert warc.round_trip(pages.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_warc_members_open_alone_and_files_match(spark, pages, tmp_path):
+def test_warc_files_are_read_by_their_sidecars(spark, pages, tmp_path):
     records = warc.plan_records(pages, Scratch(spark, "t"), "page_id", "html", "url", 100)
-    archives = warc.write_archives(records, archive_bytes=400)
-    normalised = warc.normalise(archives)
-    assert normalised.count() > 1
-    for r in warc.export_files(normalised, str(tmp_path)).collect():
-        data = open(r.path, "rb").read()
-        for line in open(r.path + ".idx"):
-            offset, length, kind, name = line.rstrip("\n").split("\t")
+    source, folder = f"file://{tmp_path}/source", f"file://{tmp_path}/normalised"
+    scratch = Scratch(spark, "t")
+    written = scratch.table(warc.write_archives(records, source, archive_bytes=400), "written")
+    listed = warc.normalise(written, source, folder).collect()
+    assert len(listed) > 1 and sum(r.records for r in listed) == pages.count()
+    for r in listed:
+        data = (tmp_path / "normalised" / r.archive).read_bytes()
+        assert len(data) == r.bytes
+        for line in (tmp_path / "normalised" / (r.archive + ".idx")).read_text().splitlines():
+            offset, length, kind, name = line.split("\t")
             head, _ = warc.parse_head(zlib.decompress(data[int(offset) : int(offset) + int(length)], wbits=31))
-            assert (head["warc-type"], head["warc-record-id"]) == (kind, f"<urn:x-page:{name}>")
-        assert b"".join(warc.inflate(data)) == b"".join(warc.inflate(warc.repack(data)[0]))
-    payloads = {r.record_id: bytes(r.payload).decode() for r in warc.read_records(normalised).where("record_type = 'response'").collect()}
+            assert (head["warc-type"], head["warc-record-id"]) == (kind, name)
+        whole = (tmp_path / "source" / r.archive).read_bytes()
+        assert zlib.decompress(whole, wbits=31) == b"".join(warc.inflate([data])) == b"".join(warc.inflate([data[:7], data[7:]]))
+    index = warc.read_index(spark, folder)
+    payloads = {r.record_id: bytes(r.payload).decode() for r in warc.read_records(index, folder).where("record_type = 'response'").collect()}
     assert payloads["8"] == "\r\n\r\nWARC/1.1\r\n" * 20000
+    some = index.where("record_type = 'revisit'")
+    assert {r.record_type for r in warc.read_records(some, folder).collect()} == {"revisit"}
+    assert not [f for f in (tmp_path / "source").iterdir() if f.name.startswith(".pages") and not f.name.endswith(".crc")]
+
+
+def test_warc_text_ids(spark):
+    rows = [("none", "a" * 200), ("a b\t<c>\n", "b" * 200), (None, "a" * 200), ("é", None), (None, "c" * 150)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")
+    found = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.round_trip(pages, Scratch(spark, "t")).collect())
+    assert found == sorted([("none", "response", "None"), ("a b\t<c>\n", "response", "None"), ("None", "revisit", "none"), ("é", "response", "None"), ("None", "response", "None")])
 
 
 def test_warc_rejects_damage():
@@ -175,7 +190,7 @@ def test_warc_rejects_damage():
     with pytest.raises(ValueError):
         list(warc.cut(iter([record[:-6]])))
     with pytest.raises(ValueError):
-        list(warc.inflate(zlib.compress(record, wbits=31)[:-9]))
+        list(warc.inflate([zlib.compress(record, wbits=31)[:-9]]))
     member = zlib.compress(record, wbits=31)
     with pytest.raises(ValueError):
-        warc.read_member(member, 0, len(member))
+        warc.read_member(member)
