@@ -62,7 +62,7 @@ URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow"
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op5"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
