@@ -27,8 +27,9 @@ WINDOW = 5
 COMMON = 512
 TIERS = (4, 16, 64, 128, COMMON)
 MOST_LANGUAGES = 500
-#: Characters by class; what none of them matches is the last class.
-CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?'\"()-]"]
+#: Characters by class, the most frequent first; what none of them matches is the last class.  Classes do not overlap.
+CLASSES = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[.,;:?'\"()-]", r"[0-9]"]
+SYMBOLS = r"[#*$%&|<>]"
 #: Least characters and words for the two distances to count, the class distance above which a document fails, and the
 #: share of the distance of a text without common words.
 LEAST_CHARS, LEAST_WORDS = 200, 50
@@ -62,7 +63,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_features(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """``docs`` with ``__base__`` (n_words, word_chars, n_repeat_words) and n_dup_lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     made = let(
@@ -73,13 +74,24 @@ def base_features(docs: DataFrame, text_col: str) -> DataFrame:
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
-    return docs.withColumns(
-        {
-            "__base__": made,
-            "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        }
-    )
+    return docs.withColumns({"__base__": made, "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))})
+
+
+def character_counts(text: Column) -> Column:
+    """(classes, n_symbols): the characters of each class, and how many symbols there are.
+
+    Runs of one class after the other are taken out, so that each test meets the few characters that are left.
+    """
+
+    def rest(left: Column, counts: list[Column], symbols: Column | None) -> Column:
+        if len(counts) == 2:  # neither letters nor white space are symbols
+            symbols = F.regexp_count(left, F.lit(SYMBOLS)).cast("long")
+        if len(counts) == len(CLASSES):
+            return F.struct(F.array(*counts, F.char_length(left).cast("double")).alias("classes"), symbols.alias("n_symbols"))
+        taken = F.regexp_replace(left, CLASSES[len(counts)] + "+", "")
+        return let(taken, lambda t: rest(t, [*counts, (F.char_length(left) - F.char_length(t)).cast("double")], symbols))
+
+    return rest(text, [], None)
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str, most: int = COMMON) -> dict[str, list[str]]:
@@ -118,14 +130,13 @@ def tier_counts(words: str, best: list[str]) -> str:
 
 
 def histograms(docs: DataFrame, text_col: str, lang_col: str, words: dict[str, list[str]]) -> DataFrame:
-    """``docs`` with ``__classes__`` (characters by class) and ``__found__`` (the language's common words by tier)."""
+    """``docs`` with ``__classes__`` (characters by class), n_symbols and ``__found__`` (the language's common words by tier)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
-    classes = let(F.array(*counts), lambda c: F.concat(c, F.array(F.char_length(text) - F.aggregate(c, F.lit(0.0), lambda a, x: a + x))))
     counts = F.lit(None).cast("array<double>")
     for lang, best in words.items():
         counts = F.when(F.col(lang_col) == lang, F.expr(tier_counts("__lower__", best))).otherwise(counts)
-    return docs.withColumns({"__classes__": classes, "__lower__": words_of(F.lower(text))}).withColumn("__found__", counts).drop("__lower__")
+    docs = docs.withColumns({"__chars__": character_counts(text), "__lower__": words_of(F.lower(text))}).withColumn("__found__", counts).drop("__lower__")
+    return docs.withColumns({"__classes__": F.col("__chars__.classes"), "n_symbols": F.col("__chars__.n_symbols")}).drop("__chars__")
 
 
 def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
