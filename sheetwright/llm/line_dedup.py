@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, Scratch, bitmap_of, components, discard, in_bitmap, look_up, sorted_groups
 
-TAU, SHARE, CROWD = 2, 10, 2000
+TAU, SHARE, CROWD = 2, 10, 512
 SEED = 42
 INDEX, PROBE = 0, 1
 #: Groups of so few lines are compared pair by pair; others are screened by counts of characters in so many classes.
