@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.prng import rank_key, uniform
-from .operators import catalog, corrupt, obstacles, scoring, turns, typed, windows
+from .operators import catalog, corrupt, obstacles, quotas, scoring, turns, typed, windows
 from .plans import render
 from .plans.expr import PROGRAM, SALES, Compiler, Derived, Growth, Leaf, Literal, Node, Over, fold, run_programs
 from .sources import star
@@ -316,10 +316,9 @@ def period_labels(spark, d):
 
 @query(f"with {SHEET}, v as (select entity, period, list_sales, 1 + (period - 1990) / 100.0 as f from sheet) select entity, period, round(first_value(list_sales) over w * product(f) over w, 2) as path from v window w as (partition by entity order by period rows unbounded preceding)")
 def running_product(spark, d):
-    """A chain of growth factors: an ordered product as a fold over the factors so far."""
+    """A chain of growth factors: a running product, kept row by row."""
     order = windows.series().rowsBetween(Window.unboundedPreceding, 0)
-    factor = 1 + (F.col("period") - 1990) / 100.0
-    product = F.aggregate(F.collect_list(factor.cast("double")).over(order), F.lit(1.0), lambda a, x: a * x)
+    product = F.product((1 + (F.col("period") - 1990) / 100.0).cast("double")).over(order)
     return sheet_of(spark, d).select("entity", "period", F.round(F.first("list_sales").over(order) * product, 2).alias("path"))
 
 
@@ -733,9 +732,8 @@ def per_group_topn(spark, d):
 @query(f"with {ATOMS}, r as (select semantic_type, key, row_number() over (partition by semantic_type order by {rank_sql(61, 'key')}, key) as n from atoms) select semantic_type, key from r where n <= case semantic_type when 'amount' then 150 when 'count' then 20 else 50 end")
 def depth_rebalance(spark, d):
     """A random but reproducible number of rows from each bucket."""
-    order = Window.partitionBy("semantic_type").orderBy(rank_key(61, F.col("key")), "key")
-    most = F.when(F.col("semantic_type") == "amount", 150).when(F.col("semantic_type") == "count", 20).otherwise(50)
-    return star.atoms(sheet_of(spark, d)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("semantic_type", "key")
+    sizes = {"amount": 150, "count": 20, "price": 50, "rate": 50}
+    return quotas.smallest(star.atoms(sheet_of(spark, d)).select("semantic_type", "key"), "semantic_type", "key", sizes, 61)
 
 
 @query(f'with {COLUMN_SQL}, {PAIR_SQL}, e as (select case when op in (\'add\', \'multiply\') then op || \'(\' || least("left", "right") || \', \' || greatest("left", "right") || \')\' else op || \'(\' || "left" || \', \' || "right" || \')\' end as canonical, "left" || \'|\' || "right" as seq from pairs) select canonical, min(seq) as first_seq from e group by 1')
@@ -770,13 +768,15 @@ def counts_grouping_sets(spark, d):
     return spark.sql("select semantic_type, unit, role, count(*) as n from sheetwright_atoms group by grouping sets ((semantic_type), (unit), (role))")
 
 
-@query(f"with {SHEET}, pick as (select a.entity, b.entity as other, row_number() over (partition by a.entity order by a.entity <> b.entity, {rank_sql(71, 'a.entity', 'b.entity')}, b.entity) as n from (select distinct entity from sheet) a, (select distinct entity from sheet) b) select entity, other from pick where n <= 6")
+@query(f"with {SHEET}, e as (select entity, row_number() over (order by {rank_sql(71, 'entity')} || '/' || entity) - 1 as place, count(*) over () as places from (select distinct entity from sheet)), d as (select entity, cast((place + 1 + floor({draw_sql(72, 'entity')} * greatest(places - 5, 1)) + k) % places as bigint) as other_place from e, range(0, 5) r(k) where k < places - 1) select d.entity, e.entity as other from d join e on e.place = d.other_place union all select entity, entity from e")
 def distractor_context(spark, d):
-    """The target entity and five others, at random but reproducibly; both sides are the sheet's few entities."""
+    """The target entity and five different others: entities in random order, five in a row from a random place on."""
     names = sheet_of(spark, d).select("entity").distinct()
-    pairs = names.join(names.select(F.col("entity").alias("other")), F.lit(True))
-    order = Window.partitionBy("entity").orderBy(F.col("entity") != F.col("other"), rank_key(71, F.col("entity"), F.col("other")), "other")
-    return pairs.withColumn("n", F.row_number().over(order)).where("n <= 6").select("entity", "other")
+    placed = quotas.numbered(names, F.concat(rank_key(71, F.col("entity")), F.lit("/"), "entity"))
+    from_ = F.col("place") + 1 + F.floor(uniform(72, F.col("entity")) * F.greatest(F.col("places") - 5, F.lit(1)))
+    drawn = placed.where("places > 1").select("entity", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(4), F.col("places") - 2)), lambda k: (from_ + k) % F.col("places"))).alias("place"))
+    others = drawn.join(placed.select("place", F.col("entity").alias("other")), "place").select("entity", "other")
+    return others.unionByName(placed.select("entity", F.col("entity").alias("other")))
 
 
 @query("select o_orderpriority, cast(list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], o_orderpriority) as bigint) as rank, count(*) as n from orders group by 1, 2")
