@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,15 +32,19 @@ def sliced(batches, rows: int = 1000):
 class Scratch:
     """Tables written once under the shared folder in ``spark.checkpoint.dir`` and read back.
 
-    A written table cuts the lineage: an executor that is lost later costs a reread, not a recomputation.  The folder
-    is set here only where the session has none, as in tests.
+    A written table cuts the lineage: an executor that is lost later costs a reread, not a recomputation.  Where the
+    session names no folder, a session of one process, as in tests, gets one of its own until it ends; a cluster's is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sheetwright.scratch", None)
         if not top:
-            top = "file://" + tempfile.mkdtemp(prefix="sheetwright-")
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sheetwright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            top = "file://" + folder
             spark.conf.set("sheetwright.scratch", top)
         self.root = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -49,10 +56,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Delete a table that no later plan reads; with no name, everything of this scratch."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads; with no name, everything of this scratch."""
+        for path in map(self.path, names) if names else [self.root]:
+            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -201,8 +209,9 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             break
         # large star: each node tells its larger neighbours of its smallest neighbour
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # a star's centre holds as many links as the star has nodes
+        large = look_up(both, least, "a", "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: each node ties its smaller neighbours, and itself, to the smallest of them
         down = large.where("a > b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))

@@ -243,6 +243,7 @@ def near_lines(lines: DataFrame, scratch: Scratch, tau: int = TAU, crowd: int =
 
     grouped = blocks.select("key", "x", "y", "lid", "role", "line", "part").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     found = scratch.table(grouped.mapInArrow(work, "a long, b long, n long"), "found")
+    scratch.drop("shared", "kept", "lids", "full", "sizes")
     counts = found.where("n > 0").groupBy(F.col("a").alias("lid")).agg(F.sum("n").alias("links"))
     return components(found.where("n = 0").select("a", "b"), scratch), counts
 

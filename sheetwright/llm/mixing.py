@@ -116,6 +116,7 @@ class Classifier:
             left_out = left_out.withColumn(f"w{i}", F.coalesce(*(F.when(F.col("fold") == f, F.col(f"v{f}_{i}")) for f in folds)))
         fold = self._told(left_out, ["uid", "domain"])
         rows = fold.select("domain", F.array(*evidence("told", len(self.domains))).alias("x")).collect()  # bounded by LABELLED
+        scratch.drop("sample", "all_weights")
         self.coefs = logistic(np.array([r[1] for r in rows]), np.array([self.domains.index(r[0]) for r in rows]), len(self.domains))
 
     def _weight(self, i: int, folds: list[int], sizes: dict[tuple[int, int], float]) -> Column:

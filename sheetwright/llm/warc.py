@@ -291,6 +291,7 @@ def round_trip(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payl
     if not n:
         return pages.sparkSession.createDataFrame([], f"`{id_col}` {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}")
     listed = scratch.table(normalise(written.repartition(min(n, 4 * parallelism(pages.sparkSession))), source, folder), "listed")
+    scratch.drop("monolithic", "narrow", "revisits")
     if listed.agg(F.sum("records")).first() != written.agg(F.sum("records")).first():
         raise RuntimeError("records were lost between archives")
     found = read_records(read_index(pages.sparkSession, folder), folder, with_payload=False)

@@ -1,13 +1,16 @@
 """Mixing: the classifier on separable texts, and rates against a plain projected-gradient fit."""
 
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from sheetwright.llm import queries
+from sheetwright.llm import mixing, queries
 from sheetwright.llm.common import Scratch
 from sheetwright.llm.mixing import fit_rates, mix, rate
 
@@ -102,3 +105,53 @@ def test_posteriors_are_calibrated(spark):
     t = rows.n_tokens / rows.n_tokens.sum()
     assert (rows.p_toxic * t).sum() == pytest.approx(t[toxic].sum(), abs=0.05) and (rows.p_junk * t).sum() == pytest.approx(t[junk].sum(), abs=0.05)
     assert (rows[~toxic & ~junk].p_clean > 0.5).mean() > 0.95
+
+
+def slow_posteriors(docs, labels, domains):
+    """The classifier on one machine; only the regression itself is shared."""
+    hashed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    buckets = {i: {hashed(w) % mixing.BUCKETS for w in re.findall(r"[^\W\d_]+|(?:[^\w\s]|[\d_])+", (t or "").lower())} for i, t in docs}
+    sample = {(labels[i], t): (i, (42 if t is None else hashed(t)) % mixing.FOLDS) for i, t in docs if i in labels}
+    k, folds = len(domains), range(mixing.FOLDS)
+
+    def weights(use):
+        seen = [(domains.index(d), buckets[i]) for (d, _), (i, f) in sample.items() if f in use]
+        chance = [sum(d == j for d, _ in seen) / len(seen) for j in range(k)]
+        counts = {}
+        for d, words in seen:
+            for w in words:
+                counts.setdefault(w, [0] * k)[d] += 1
+        made = {}
+        for w, c in counts.items():
+            row = [math.log((c[j] + mixing.SHRINK * chance[j]) / ((sum(c) + mixing.SHRINK) * chance[j])) if 0 < chance[j] < 1 else 0.0 for j in range(k)]
+            made[w] = [x if abs(x) >= mixing.LEAST_WEIGHT else 0.0 for x in row]
+        return made
+
+    def evidence(words, made):
+        rows = [made[w] for w in words if w in made]
+        sums = [sum(r[j] for r in rows) for j in range(k)]
+        return [1.0, float(any(any(r) for r in rows)), *(math.copysign(math.log1p(abs(s)), s) for s in sums), *(max([0.0, *(r[j] for r in rows)]) for j in range(k))]
+
+    left_out = [weights([g for g in folds if g != f]) for f in folds]
+    x = np.array([evidence(buckets[i], left_out[f]) for (d, _), (i, f) in sample.items()])
+    coefs = mixing.logistic(x, np.array([domains.index(d) for d, _ in sample]), k)
+    whole, out = weights(list(folds)), {}
+    for i, words in buckets.items():
+        z = np.array(evidence(words, whole)) @ coefs
+        out[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return out
+
+
+def test_posteriors_against_a_slow_version(spark):
+    rng = random.Random(9)
+    words = {"good": "tree river stone ### bird7", "bad": "spam win cash !!! 24", "odd": "été ñu the of x_y"}
+    rows = []
+    for i in range(240):
+        kind = rng.choice(sorted(words))
+        rows.append((i, " ".join(rng.choice((words[kind] if rng.random() < 0.4 else "the of and a in to it is").split()) for _ in range(rng.randint(3, 40))), kind))
+    rows += [(900, rows[0][1], rows[0][2]), (901, "", "good"), (902, None, "odd")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows if i % 3], "doc_id long, domain string")
+    found = mix(docs, labels, {"good": 0.6, "bad": 0.2, "odd": 0.2}, Scratch(spark, "t")).collect()
+    want = slow_posteriors([(i, t) for i, t, _ in rows], {i: k for i, _, k in rows if i % 3}, sorted(words))
+    assert all((r.p_bad, r.p_good, r.p_odd) == pytest.approx(tuple(want[r.doc_id]), abs=1e-6) for r in found)

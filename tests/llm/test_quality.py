@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -90,3 +91,66 @@ def test_common_words_are_those_of_all_documents(spark):
     counts = Counter(w for t in texts for w in t.split() if w.isalpha())
     first = sorted(counts, key=lambda w: (-counts[w], w))
     assert quality.common_words(frame, "text", "lang", most=30) == {"en": first[:30], "de": ["a"]}
+
+
+def slow_judgement(docs):
+    """The whole method on one machine: (kept, class distance, word distance) of (id, text, lang)."""
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return None
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return math.sqrt(max(0.0, half(p, q) + half(q, p)) / 2)
+
+    def classes(text):
+        out = [0] * 6
+        for c in text:
+            kind = unicodedata.category(c)
+            at = 0 if kind == "Ll" else 1 if c in " \t\n\x0b\x0c\r" else 2 if kind == "Lu" else 3 if c in ".,;:?'\"()-" else 4 if c in "0123456789" else 5
+            out[at] += 1
+        return out
+
+    split = lambda t: [w for w in SPACE.split(t) if w]
+    times = {}
+    for _, t, lang in docs:
+        if lang is not None:
+            times.setdefault(lang, Counter()).update(w for w in split((t or "").lower()) if w.isalpha())
+    tier = {}
+    for lang, c in times.items():
+        for r, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]):
+            tier[lang, w] = next(k for k, end in enumerate(quality.TIERS) if r < end)
+    made = {}
+    for i, t, lang in docs:
+        found = Counter(tier.get((lang, w)) for w in split((t or "").lower()))
+        made[i] = classes(t or ""), [found[k] for k in range(len(quality.TIERS))], len(split(t or "")), lang
+    sums = {}
+    for c, f, n, lang in made.values():
+        own = sums.setdefault(lang, ([0] * 6, [0] * len(quality.TIERS), [0]))
+        for total, part in zip(own, (c, f, [n]), strict=True):
+            total[:] = [a + b for a, b in zip(total, part, strict=True)]
+    pooled = [sum(x) for x in zip(*(s[0] for s in sums.values()), strict=True)]
+    out = {}
+    for i, t, _ in docs:
+        c, f, n, lang = made[i]
+        ref = sums[lang] if lang is not None else None
+        by_class = distance(c, ref[0] if ref else pooled) if sum(c) >= quality.LEAST_CHARS else None
+        rest = lambda found, n: [*found, max(n - sum(found), 0)]
+        by_word = distance(rest(f, n), rest(ref[1], ref[2][0])) if ref and n >= quality.LEAST_WORDS else None
+        without = distance(rest([0] * len(f), 1), rest(ref[1], ref[2][0])) if ref else 1.0
+        base = slow(t)
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        out[i] = (not failed and (by_class or 0) <= quality.MOST_CLASSES and (by_word or 0) <= quality.FAR * without), by_class, by_word
+    return out
+
+
+def test_judgement_against_a_slow_version(spark):
+    """The registered query's operator on a whole table, and documents of no language."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, t, None if i % 2 else "en") for i, (_, t, _) in enumerate(rows[:30])] + [(20_000, None, "en"), (20_001, "", None), (20_002, "zq" * 300 + " " + "vx kz " * 80, "en")]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t")).collect()
+    want = slow_judgement(rows)
+    assert len(found) == len(rows) and {want[i][0] for i in want} == {True, False}
+    for r in found:
+        kept, by_class, by_word = want[r.doc_id]
+        assert r.kept == kept
+        assert (r.class_distance, r.word_distance) == (pytest.approx(by_class, abs=1e-9) if by_class is not None else None, pytest.approx(by_word, abs=1e-9) if by_word is not None else None)
