@@ -60,3 +60,33 @@ def discounted(flow: Column, growth: float, rate: float, years: int = 5) -> Colu
     """Present value of a flow that grows for some years."""
     terms = F.transform(F.sequence(F.lit(1), F.lit(years)), lambda k: flow * F.pow(F.lit(1 + growth), k) / F.pow(F.lit(1 + rate), k))
     return F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 2)
+
+
+def percent(a: Column, b: Column) -> Column:
+    return F.round(F.try_divide(a * 100, b), 2)
+
+
+def margins(gross: Column, operating: Column, sales: Column) -> dict[str, Column]:
+    """Gross and operating margin in percent, and their difference."""
+    g, o = percent(gross, sales), percent(operating, sales)
+    return {"gross_margin": g, "operating_margin": o, "difference": F.round(g - o, 2)}
+
+
+def free_cash(operations: Column, investment: Column, sales: Column) -> dict[str, Column]:
+    """Free cash flow and its margin in percent."""
+    flow = F.round(operations - investment, 2)
+    return {"fcf": flow, "fcf_margin": percent(flow, sales)}
+
+
+def leverage_effect(income: Column, equity: Column, assets: Column) -> dict[str, Column]:
+    """Returns on equity and on assets in percent, and how much of the former debt makes."""
+    roe, roa = percent(income, equity), percent(income, assets)
+    return {"roe": roe, "roa": roa, "leverage_effect": F.round(roe - roa, 2)}
+
+
+def debt_scenario(sales: Column, cost: Column, expenses: Column, interest: Column, tax_rate: Column, income: Column, equity: Column, share: Column, rate: Column, growth: Column) -> dict[str, Column]:
+    """Return on equity after new debt (a share of sales, at a rate) that lets sales grow, cost and expenses staying as they are."""
+    new_sales, new_interest = F.round(sales * (1 + growth), 2), F.round(interest + F.round(sales * share, 2) * rate, 2)
+    before_tax = F.round(F.round(F.round(new_sales - cost, 2) - expenses, 2) - new_interest, 2)
+    old, new = percent(income, equity), percent(F.round(before_tax * (1 - tax_rate), 2), equity)
+    return {"new_roe": new, "old_roe": old, "roe_delta": F.round(new - old, 2)}

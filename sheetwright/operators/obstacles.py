@@ -88,3 +88,40 @@ def concept_score(question: Column, concept: Column) -> Column:
     words = F.split(concept, "_")
     hits = F.size(F.filter(words, lambda w: F.lower(question).contains(w)))
     return F.when(F.lower(question).contains(F.replace(concept, F.lit("_"), F.lit(" "))), F.char_length(concept) + 100).when(hits == F.size(words), hits + 50).otherwise(hits)
+
+
+#: The names of rewordings, of changes to generated data, and of combinations.
+REWORDINGS = ("useless_info", "unit_scale_change", "negation", "conditional")
+DATA_OBSTACLES = ("big_numbers", "prompt_injection")
+COMBINED = "combined_all"
+
+
+def check_obstacles(names: list[str], has_sheet: bool = True) -> list[str]:
+    """The rewordings that a list of obstacles stands for, in the order of REWORDINGS; an error if one is unknown or does not fit.
+
+    ``combined_all`` stands for all of them and goes with no other; those that quote the sheet need one.
+    """
+    unknown = [n for n in names if n not in (*REWORDINGS, *DATA_OBSTACLES, COMBINED)]
+    if unknown:
+        raise ValueError(f"unknown obstacles {unknown}; known are {[*REWORDINGS, *DATA_OBSTACLES, COMBINED]}")
+    if COMBINED in names and len(set(names)) > 1:
+        raise ValueError(f"{COMBINED} goes with no other obstacle")
+    own = list(REWORDINGS) if COMBINED in names else [n for n in REWORDINGS if n in names]
+    if not has_sheet and "conditional" in own:
+        raise ValueError("conditional needs a sheet")
+    return own
+
+
+def reworded(names: list[str], question: Column, entity: Column, period: Column, measure: str, value: Column, unit: Column, draws: list[Column]) -> Column:
+    """A question under all of the named rewordings, one after the other; five draws in [0, 1)."""
+    for name in check_obstacles(names):
+        match name:
+            case "useless_info":
+                question = with_clause(question, draws[0], draws[1])
+            case "unit_scale_change":
+                question = unit_prefix(question, unit)
+            case "negation":
+                question = negated(question, draws[2], draws[3])
+            case "conditional":
+                question = conditional(question, entity, period, measure, value, draws[4])
+    return question

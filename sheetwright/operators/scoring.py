@@ -62,6 +62,16 @@ def correct(predicted: Column, truth: Column, tolerance: float) -> Column:
     return F.coalesce(close, F.lit(False))
 
 
+def correct_any(number: Column, truth_value: Column, truth: Column, tolerance: float) -> Column:
+    """A prediction, a number or a truth value, against a stated truth of any kind, as text.
+
+    Truth values must be equal; a truth that is neither true, false nor a number is never met.
+    """
+    said = F.lower(F.trim(truth))
+    is_truth = said.isin("true", "false")
+    return F.coalesce(F.when(is_truth | truth_value.isNotNull(), truth_value == (said == "true")).otherwise(correct(number, truth_number(truth), tolerance)), F.lit(False)) & (is_truth | truth_value.isNull())
+
+
 def relative_error(predicted: Column, truth: Column) -> Column:
     return F.try_divide(F.abs(predicted - truth), F.abs(truth))
 

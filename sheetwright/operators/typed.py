@@ -92,3 +92,14 @@ def valid_pairs(columns: DataFrame, operations: DataFrame) -> DataFrame:
     a, b = columns.select(F.col("name").alias("left"), info.alias("a")), columns.select(F.col("name").alias("right"), info.alias("b"))
     joined = a.join(b, F.col("left") != F.col("right")).join(operations, can_combine(F.col("constraint")))
     return joined.select("op", "left", "right", result_unit(F.col("op"), F.col("a.unit")).alias("unit"))
+
+
+#: Operators over one column, of all entities.
+AGGREGATES = ("sum_agg", "avg_agg", "max_agg", "min_agg", "count_agg")
+
+
+def valid_unary(columns: DataFrame) -> DataFrame:
+    """Every aggregate with every column it may take: counts take any, the others numeric ones."""
+    ops = F.explode(F.array(*map(F.lit, AGGREGATES))).alias("op")
+    rows = columns.select("name", "type", "unit", ops).where((F.col("type") == "numeric") | (F.col("op") == "count_agg"))
+    return rows.select("op", "name", result_unit(F.col("op"), F.col("unit")).alias("unit"))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINARY = ("sum", "diff", "ratio", "mul", "growth", "min", "max")
+BINARY = ("sum", "diff", "ratio", "mul", "growth", "min", "max", "avg")
 WINDOWED = ("min", "max", "avg")
 
 

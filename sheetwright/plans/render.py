@@ -54,7 +54,7 @@ def bare_phrase(expr: Expr) -> str:
             return str(value)
         case Node(op, left, right):
             a, b = bare_phrase(left), bare_phrase(right)
-            return {"sum": f"sum of {a} and {b}", "diff": f"difference between {a} and {b}", "ratio": f"ratio of {a} to {b}", "mul": f"result of {a} scaled by {b}", "growth": f"growth between {a} and {b}", "min": f"the minimum of {a} and {b}", "max": f"the maximum of {a} and {b}"}[op]
+            return {"sum": f"sum of {a} and {b}", "diff": f"difference between {a} and {b}", "ratio": f"ratio of {a} to {b}", "mul": f"result of {a} scaled by {b}", "growth": f"growth between {a} and {b}", "min": f"the minimum of {a} and {b}", "max": f"the maximum of {a} and {b}", "avg": f"the average of {a} and {b}"}[op]
         case Over(op, operand, _):
             return f"the {({'min': 'minimum', 'max': 'maximum', 'avg': 'average'})[op]} of {bare_phrase(operand)}"
         case Growth(operand, _):
@@ -93,6 +93,19 @@ def format_answer(value: Column, kind: Column) -> Column:
     )
 
 
+def kind_phrase(kind: str, label: Column, entity: Column, period: Column, from_period: Column, to_period: Column) -> Column:
+    """The phrase of a meaning whose kind has a wording of its own; other kinds are NULL."""
+    name = F.when(F.trim(F.replace(label, F.lit("_"), F.lit(" "))) == "", "value").otherwise(F.trim(F.replace(label, F.lit("_"), F.lit(" "))))
+    match kind:
+        case "aggregate_components":
+            return filled("total {a} for {who} in {p}", a=name, who=entity, p=period)
+        case "growth_rate":
+            return filled("growth rate of {a} for {who} from {f} to {t}", a=F.regexp_replace(name, "^growth rate of ", ""), who=entity, f=from_period, t=to_period)
+        case "avg_over_all_periods":
+            return filled("average {a} for {who} across years {f} through {t}", a=name, who=entity, f=from_period, t=to_period)
+    return F.lit(None).cast("string")
+
+
 #: What precedes a metric's name in a label.
 PREFIXES = ["growth rate of ", "minimum ", "maximum ", "average "]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions.prng import uniform
 from .functions.ranges import RATIO_COLUMNS, scale_ranges
-from .operators import corrupt, notes, quotas, scoring, turns
+from .operators import catalog, corrupt, notes, obstacles, quotas, scoring, turns, typed
 from .plans import levels, render
 from .plans.expr import Leaf, Node
 from .queries import ATOMS, LOOKS_SQL, SHEET, USED_SQL, draw_sql, query, rank_sql, sheet_of, used_keys
@@ -414,3 +414,58 @@ def qa_export_rows(spark, d):
     rows = sheet_of(spark, d).select(F.concat_ws("_", "entity", F.col("period").cast("string")).alias("id"), F.array(F.lit("taxes"), F.lit("discounts")).alias("leaves"), F.col("taxes").cast("decimal(20,2)").alias("answer"))
     return files.bar_joined(rows)
 
+
+# ---- compound measures and kinds -------------------------------------------------------------------------------
+
+
+@query(f"""with {SHEET}, s as (select *, list_sales - discounts as g, list_sales - discounts - taxes as o from sheet), m as (select *, round(g * 100 / list_sales, 2) as gross_margin, round(o * 100 / list_sales, 2) as operating_margin, round(g - taxes, 2) as fcf,
+    round(taxes * 100 / discounts, 2) as roe, round(taxes * 100 / catalog_cost, 2) as roa from s)
+    select entity, period, gross_margin, operating_margin, round(gross_margin - operating_margin, 2) as difference, fcf, round(fcf * 100 / list_sales, 2) as fcf_margin, roe, roa, round(roe - roa, 2) as leverage_effect from m""")
+def compound_measures(spark, d):
+    gross = F.col("list_sales") - F.col("discounts")
+    made = catalog.margins(gross, gross - F.col("taxes"), F.col("list_sales")) | catalog.free_cash(gross, F.col("taxes"), F.col("list_sales")) | catalog.leverage_effect(F.col("taxes"), F.col("discounts"), F.col("catalog_cost"))
+    return sheet_of(spark, d).select("entity", "period", *(v.alias(k) for k, v in made.items()))
+
+
+@query(f"""with {SHEET}, s as (select *, round(list_sales * 1.15, 2) as ns, round(taxes + round(list_sales * 0.2, 2) * 0.06, 2) as ni from sheet), t as (select *, round(round(round(ns - catalog_cost, 2) - discounts, 2) - ni, 2) as before from s),
+    r as (select *, round(round(before * (1 - 0.25), 2) * 100 / list_sales, 2) as new_roe, round(taxes * 100 / list_sales, 2) as old_roe from t)
+    select entity, period, new_roe, old_roe, round(new_roe - old_roe, 2) as roe_delta from r""")
+def debt_scenario(spark, d):
+    c = F.col
+    made = catalog.debt_scenario(c("list_sales"), c("catalog_cost"), c("discounts"), c("taxes"), F.lit(0.25), c("taxes"), c("list_sales"), F.lit(0.2), F.lit(0.06), F.lit(0.15))
+    return sheet_of(spark, d).select("entity", "period", *(v.alias(k) for k, v in made.items()))
+
+
+@query(f"with {SHEET} select entity, period, 'total list sales for ' || entity || ' in ' || period as total, 'growth rate of list sales for ' || entity || ' from ' || (period - 1) || ' to ' || period as growth, 'average list sales for ' || entity || ' across years ' || (period - 1) || ' through ' || period as average from sheet")
+def kind_phrases(spark, d):
+    said = lambda kind, label: render.kind_phrase(kind, F.lit(label), F.col("entity"), F.col("period"), F.col("period") - 1, F.col("period"))
+    return sheet_of(spark, d).select(
+        "entity", "period", said("aggregate_components", "list_sales").alias("total"), said("growth_rate", "growth rate of list_sales").alias("growth"), said("avg_over_all_periods", "list_sales").alias("average")
+    )
+
+
+@query("select o.op, c.name, case o.op when 'count_agg' then 'count' else c.unit end as unit from (values ('sum_agg'), ('avg_agg'), ('max_agg'), ('min_agg'), ('count_agg')) o(op), (values ('sales', 'numeric', 'USD'), ('name', 'categorical', null), ('units', 'numeric', 'units')) c(name, type, unit) where c.type = 'numeric' or o.op = 'count_agg'")
+def valid_unary(spark, d):
+    return typed.valid_unary(spark.createDataFrame([("sales", "numeric", "USD"), ("name", "categorical", None), ("units", "numeric", "units")], "name string, type string, unit string"))
+
+
+@query(f"""with {SHEET}, r as (select entity, period, case period % 4 when 0 then 'Answer: True' when 1 then 'Answer: ' || {text_sql('taxes')} else 'Answer: ' || {text_sql('taxes * 1.04')} end as response,
+        case period % 3 when 0 then 'TRUE' when 1 then {text_sql('taxes')} else 'none' end as truth, period % 4 as k, period % 3 as t, cast({text_sql('taxes')} as double) as a, cast({text_sql('taxes * 1.04')} as double) as b from sheet)
+    select entity, period, case when k = 0 then t = 0 when t = 1 then abs(case when k = 1 then a else b end - a) / abs(a) <= 0.05 else false end as correct from r""")
+def score_any_kind(spark, d):
+    k, t = F.col("period") % 4, F.col("period") % 3
+    said = F.when(k == 0, "Answer: True").when(k == 1, F.concat(F.lit("Answer: "), corrupt.cell_text(F.col("taxes")))).otherwise(F.concat(F.lit("Answer: "), corrupt.cell_text(F.col("taxes") * 1.04)))
+    truth = F.when(t == 0, "TRUE").when(t == 1, corrupt.cell_text(F.col("taxes"))).otherwise("none")
+    number, value = scoring.parse_first(said)
+    return sheet_of(spark, d).select("entity", "period", scoring.correct_any(number, value, truth, 0.05).alias("correct"))
+
+
+@query(f"""with {SHEET}, q as (select entity, period, 'What is the list sales for ' || entity || ' in ' || period || '?' as q, {draw_sql(95, 'entity', 'period')} as side, {draw_sql(96, 'entity', 'period')} as which from sheet),
+    u as (select *, 'All amounts are given in millions. ' || q as v from q)
+    select entity, period, case when side < 0.5 then ([{', '.join(map(quoted, obstacles.PREFIXES))}])[1 + cast(floor(which * {len(obstacles.PREFIXES)}) as integer)] || lower(substr(v, 1, 1)) || substr(v, 2) else v || ([{', '.join(map(quoted, obstacles.SUFFIXES))}])[1 + cast(floor(which * {len(obstacles.SUFFIXES)}) as integer)] end as question from u""")
+def q_dispatch(spark, d):
+    """Two rewordings by name, in their fixed order whatever the order of the names."""
+    question = F.concat(F.lit("What is the list sales for "), "entity", F.lit(" in "), F.col("period").cast("string"), F.lit("?"))
+    draws = [uniform(s, F.col("entity"), F.col("period")) for s in (93, 94, 95, 96, 97)]
+    made = obstacles.reworded(["negation", "unit_scale_change"], question, F.col("entity"), F.col("period"), "list_sales", F.col("list_sales"), F.lit("millions"), draws)
+    return sheet_of(spark, d).select("entity", "period", made.alias("question"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prng import uniform
@@ -41,8 +41,12 @@ def annual_companies(spark: SparkSession, companies: int, seed: int = 1, factor:
     )
 
 
-#: Industry profiles of quarterly filings: scale of revenue, share of cost, month in which the fiscal year starts.
-PROFILES = {"technology": (90e3, 0.55, 10), "automotive": (25e3, 0.80, 1), "retail": (40e3, 0.72, 1), "pharma": (15e3, 0.30, 1), "energy": (60e3, 0.68, 1), "banking": (20e3, 0.35, 1)}
+#: Industry profiles of quarterly filings: scale of revenue, share of cost (None: no gross profit), month in which the fiscal
+#: year starts, letters that tickers begin with.
+PROFILES = {
+    "tech": (90e3, 0.35, 10, "T"), "retail": (40e3, 0.72, 2, "R"), "pharma": (15e3, 0.30, 1, "P"), "energy": (60e3, 0.68, 1, "E"), "airline": (12e3, None, 1, "A"), "wholesale": (30e3, 0.85, 7, "W"),
+    "manufacturing": (20e3, 0.70, 1, "M"), "finance": (25e3, None, 1, "F"), "healthcare": (35e3, 0.60, 1, "H"), "construction": (8e3, 0.82, 1, "C"), "professional_services": (10e3, 0.65, 9, "S"), "information": (18e3, 0.45, 1, "I"),
+}
 
 
 def quarterly_filings(spark: SparkSession, filings: int, seed: int = 1, year: int = 2025) -> DataFrame:
@@ -50,11 +54,13 @@ def quarterly_filings(spark: SparkSession, filings: int, seed: int = 1, year: in
     names = F.array(*map(F.lit, PROFILES))
     who = F.col("id")
     rows = spark.range(filings).withColumns({"industry": F.get(names, F.floor(uniform(seed, who) * len(PROFILES)).cast("int")), "quarter": (F.floor(uniform(seed + 1, who) * 3) + 1).cast("int")})
-    scale, cost, start = F.lit(0.0), F.lit(0.0), F.lit(1)
-    for name, (s, c, m) in PROFILES.items():
+    scale, cost, start, letter, sells = F.lit(0.0), F.lit(0.0), F.lit(1), F.lit(""), F.lit(False)
+    for name, (s, c, m, t) in PROFILES.items():
         own = F.col("industry") == name
-        scale, cost, start = F.when(own, s).otherwise(scale), F.when(own, c).otherwise(cost), F.when(own, m).otherwise(start)
-    rows = rows.withColumns({"scale": scale * between(0.5, 1.5, seed + 2, who), "cost_share": cost, "start_month": start})
+        scale, cost, start = F.when(own, s).otherwise(scale), F.when(own, c or 0.6).otherwise(cost), F.when(own, m).otherwise(start)
+        letter, sells = F.when(own, t).otherwise(letter), F.when(own, c is not None).otherwise(sells)
+    ticker = F.concat(letter, F.upper(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), who.cast("string"))), 1, 3)))
+    rows = rows.withColumns({"ticker": ticker, "sells": sells, "scale": scale * between(0.5, 1.5, seed + 2, who), "cost_share": cost, "start_month": start})
     rows = rows.withColumn("share", between(0.5, 0.9, seed + 3, who))
     whole = lambda c: F.round(c, 2)
     rows = rows.withColumns({
@@ -62,16 +68,19 @@ def quarterly_filings(spark: SparkSession, filings: int, seed: int = 1, year: in
         "costs": F.create_map(F.lit("Products"), whole(F.col("scale") * F.col("share") * F.col("cost_share")), F.lit("Services"), whole(F.col("scale") * (1 - F.col("share")) * F.col("cost_share"))),
     })
     rows = rows.withColumns({"total_revenues": map_total("revenues"), "cost_of_sales": map_total("costs"), "operating_expenses": whole(F.col("scale") * between(0.05, 0.2, seed + 4, who)), "tax": between(0.15, 0.25, seed + 5, who)})
-    rows = rows.withColumns({"gross_profit": F.col("total_revenues") - F.col("cost_of_sales"), "total_assets": whole(F.col("scale") * between(2, 5, seed + 6, who)), "opening_cash": whole(F.col("scale") * between(0.1, 0.4, seed + 8, who))})
-    rows = rows.withColumns({"operating_income": F.col("gross_profit") - F.col("operating_expenses"), "total_liabilities": whole(F.col("total_assets") * between(0.3, 0.7, seed + 7, who))})
+    rows = rows.withColumns({"gross_profit": F.when(F.col("sells"), F.col("total_revenues") - F.col("cost_of_sales")), "total_assets": whole(F.col("scale") * between(2, 5, seed + 6, who)), "opening_cash": whole(F.col("scale") * between(0.1, 0.4, seed + 8, who))})
+    rows = rows.withColumns({"operating_income": F.col("total_revenues") - F.col("cost_of_sales") - F.col("operating_expenses"), "total_liabilities": whole(F.col("total_assets") * between(0.3, 0.7, seed + 7, who))})
     rows = rows.withColumns({"net_income": whole(F.col("operating_income") * (1 - F.col("tax"))), "total_equity": F.col("total_assets") - F.col("total_liabilities")})
+    rows = rows.withColumns({"shares_basic": F.floor(between(50, 5000, seed + 10, who)), "dilution": between(1.0, 1.05, seed + 11, who)})
+    rows = rows.withColumns({"shares_diluted": F.ceil(F.col("shares_basic") * F.col("dilution")), "eps_basic": F.round(F.col("net_income") / F.col("shares_basic"), 4)})
+    rows = rows.withColumn("eps_diluted", F.round(F.col("net_income") / F.col("shares_diluted"), 4))
     rows = rows.withColumns({"operating_cash": whole(F.col("net_income") * 1.2), "investing_cash": whole(F.col("scale") * -0.08), "financing_cash": whole(F.col("scale") * -0.03)})
     rows = rows.withColumns({"net_change": F.col("operating_cash") + F.col("investing_cash") + F.col("financing_cash")})
     ends = F.last_day(F.add_months(F.make_date(F.lit(year), F.col("start_month"), F.lit(1)), F.col("quarter") * 3 - 1))
     words = F.element_at(F.array(F.lit("Three"), F.lit("Six"), F.lit("Nine")), F.col("quarter"))
     rows = rows.withColumns({"closing_cash": F.col("opening_cash") + F.col("net_change"), "prior_revenues": whole(F.col("total_revenues") / between(1.0, 1.2, seed + 9, who)), "period_end": ends})
     label = lambda w: F.concat(w, F.lit(" Months Ended "), F.date_format("period_end", "MMMM d, yyyy"))
-    return rows.withColumns({"quarter_label": label(F.lit("Three")), "ytd_label": label(words), "ytd_revenues": whole(F.col("total_revenues") * F.col("quarter")), "instant_label": F.date_format("period_end", "MMMM d, yyyy")}).drop("scale", "cost_share", "share", "tax")
+    return rows.withColumns({"quarter_label": label(F.lit("Three")), "ytd_label": label(words), "ytd_revenues": whole(F.col("total_revenues") * F.col("quarter")), "instant_label": F.date_format("period_end", "MMMM d, yyyy")}).drop("scale", "cost_share", "share", "tax", "sells", "dilution")
 
 
 def map_total(column: str) -> Column:
@@ -118,10 +127,42 @@ def filing_facts(filings: DataFrame) -> DataFrame:
 
 
 def filing_checks(filings: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """The filings that break an identity: balance, cash reconciliation."""
+    """The filings that break an identity: balance, cash reconciliation, earnings a share, more diluted shares than basic ones."""
     balance = F.abs(F.col("total_assets") - F.col("total_liabilities") - F.col("total_equity"))
     cash = F.abs(F.col("closing_cash") - F.col("opening_cash") - F.col("net_change"))
-    return filings.select("id", (balance <= tolerance).alias("balances"), (cash <= tolerance).alias("reconciles")).where("not (balances and reconciles)")
+    earnings = F.abs(F.col("eps_basic") * F.col("shares_basic") - F.col("net_income"))
+    found = {"balances": balance <= tolerance, "reconciles": cash <= tolerance, "earns": earnings <= tolerance, "dilutes": F.col("shares_diluted") >= F.col("shares_basic")}
+    return filings.select("id", *(v.alias(k) for k, v in found.items())).where(f"not ({' and '.join(found)})")
+
+
+#: The statements of a report: statement -> section -> lines, in order.
+STATEMENTS = {
+    "operations": {"revenue": ["total_revenues"], "costs": ["cost_of_sales", "gross_profit", "operating_expenses"], "income": ["operating_income", "net_income"], "per_share": ["eps_basic", "eps_diluted"]},
+    "balance_sheet": {"assets": ["total_assets"], "liabilities": ["total_liabilities"], "equity": ["total_equity"]},
+    "cash_flows": {"activities": ["operating_cash", "investing_cash", "financing_cash"], "cash": ["opening_cash", "net_change", "closing_cash"]},
+    "shareholders_equity": {"equity": ["total_equity"]},
+}
+
+
+def report_document(filings: DataFrame) -> DataFrame:
+    """Each filing as nested JSON, statement by statement: (id, document); missing lines are left out."""
+    section = lambda lines: F.struct(*(F.col(c).alias(c) for c in lines))
+    statement = lambda parts: F.struct(*(section(lines).alias(name) for name, lines in parts.items()))
+    head = ["ticker", "industry", "quarter", F.col("period_end").cast("string").alias("period_end")]
+    return filings.select("id", F.to_json(F.struct(*head, *(statement(parts).alias(name) for name, parts in STATEMENTS.items()))).alias("document"))
+
+
+def report_lines(filings: DataFrame, width: int = 32) -> DataFrame:
+    """Each filing as text, the four statements with their period, sections and fixed-width lines: (id, text)."""
+    label = lambda c: c.replace("_", " ").capitalize()
+    line = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("    " + label(c).ljust(width)), F.lpad(F.format_number(c, 2), 18, " ")))
+    parts = []
+    for name, sections in STATEMENTS.items():
+        period = F.col("instant_label" if name in ("balance_sheet", "shareholders_equity") else "quarter_label")
+        parts += [F.lit(label(name)), F.concat(F.lit("  "), period)]
+        for section, lines in sections.items():
+            parts += [F.lit("  " + label(section)), *map(line, lines)]
+    return filings.select("id", F.concat_ws("\n", *parts).alias("text"))
 
 
 def wide_by_year(sheet: DataFrame, measures: list[str], years: list[int]) -> DataFrame:
@@ -142,6 +183,13 @@ def column_schema(wide: DataFrame) -> list[dict]:
 
 
 def distinct_filers(filings: DataFrame, most: int) -> DataFrame:
-    """At most one filing an industry and quarter, the first by id."""
-    order = Window.partitionBy("industry", "quarter").orderBy("id")
-    return filings.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n").orderBy("id").limit(most)
+    """At most ``most`` filings of different tickers, the first by id of each: over-generate, then keep."""
+    first = filings.groupBy("ticker").agg(F.min("id").alias("id"))
+    return filings.join(first, ["ticker", "id"]).orderBy("id").limit(most)
+
+
+def many_filings(spark: SparkSession, count: int, seed: int = 1, year: int = 2025) -> DataFrame:
+    """Filings of ``count`` different tickers out of at most twenty times as many candidates; fewer where there are not enough."""
+    if count < 1:
+        raise ValueError("count is at least 1")
+    return distinct_filers(quarterly_filings(spark, 20 * count, seed, year), count)

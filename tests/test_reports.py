@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheetwright import queries, report_queries
 from sheetwright.functions.ranges import normalize_range
-from sheetwright.operators import corrupt, quotas
+from sheetwright.operators import corrupt, obstacles, quotas
 from sheetwright.plans import analyze, levels, render, sampling
 from sheetwright.sources import files, generate
 
@@ -149,3 +149,28 @@ def test_formal_texts(spark):
     assert said(render.formal_pair("add", F.lit("a"), F.lit("b"), F.lit("W"), year(2020), year(None))) == "What is the sum of a and b for W for fiscal year 2020?"
     assert said(render.formal_pair("equals", F.lit("a"), F.lit("b"), F.lit("W"), year(None), year(None))) == "Is the a equal to b for W?"
     assert said(render.formal_composed(F.lit("e"), F.lit("W"), 1)) == "For W, evaluate: e"
+
+
+def test_filings_of_twelve_industries(spark):
+    rows = generate.quarterly_filings(spark, 600).cache()
+    kinds = {r.industry: r for r in rows.groupBy("industry").agg(F.count("gross_profit").alias("n")).collect()}
+    assert len(kinds) == 12 and {k for k, r in kinds.items() if not r.n} == {"airline", "finance"}
+    assert generate.filing_checks(rows).count() == 0
+    assert generate.filing_checks(rows.withColumn("shares_diluted", F.col("shares_basic") - 1)).count() == 600
+    some = generate.many_filings(spark, 40).collect()
+    assert len({r.ticker for r in some}) == len(some) == 40
+    with pytest.raises(ValueError):
+        generate.many_filings(spark, 0)
+    one = rows.where("industry = 'airline'").limit(1)
+    document = json.loads(generate.report_document(one).first().document)
+    assert set(generate.STATEMENTS) < set(document) and "gross_profit" not in document["operations"]["costs"]
+    text = generate.report_lines(one).first().text
+    assert [x for x in text.split("\n") if not x.startswith(" ")] == ["Operations", "Balance sheet", "Cash flows", "Shareholders equity"] and "Gross profit" not in text
+
+
+def test_obstacle_names():
+    assert obstacles.check_obstacles(["negation", "useless_info", "big_numbers"]) == ["useless_info", "negation"]
+    assert obstacles.check_obstacles(["combined_all"]) == list(obstacles.REWORDINGS)
+    for names, sheet in ((["odd"], True), (["combined_all", "negation"], True), (["conditional"], False)):
+        with pytest.raises(ValueError):
+            obstacles.check_obstacles(names, sheet)
