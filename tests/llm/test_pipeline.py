@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -120,3 +121,19 @@ def test_packing_holds_every_document(stages):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_with_columns_of_any_name_repeated_rows_and_no_ids(spark):
+    docs = queries.table(spark, SF, "documents").limit(60)
+    first = docs.first()
+    odd = spark.createDataFrame([(first.doc_id, first.text, "en", "s", 0), (None, "The words of the text without an id are these.", "en", "s", 0), (None, None, None, None, None)], docs.schema)
+    docs = docs.union(odd)
+    for name in ("score", "held_out", "copies", "sha", "rate", "node", "piece"):
+        docs = docs.withColumn(name, F.lit(name))
+    scratch = Scratch(spark, "t")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = scratch.table(stage(spark, docs, SF), f"s{k}")
+        assert found.count() > 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert found.columns == docs.columns and {r.score for r in found.select("score").distinct().collect()} == {"score"}
+            docs = found
