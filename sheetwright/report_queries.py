@@ -10,7 +10,7 @@ from .operators import catalog, corrupt, notes, obstacles, quotas, scoring, turn
 from .plans import levels, render
 from .plans.expr import Leaf, Node
 from .queries import ATOMS, LOOKS_SQL, SHEET, USED_SQL, draw_sql, query, rank_sql, sheet_of, used_keys
-from .sources import files, star
+from .sources import files, generate, star
 
 
 def text_sql(value: str) -> str:
@@ -469,3 +469,30 @@ def q_dispatch(spark, d):
     draws = [uniform(s, F.col("entity"), F.col("period")) for s in (93, 94, 95, 96, 97)]
     made = obstacles.reworded(["negation", "unit_scale_change"], question, F.col("entity"), F.col("period"), "list_sales", F.col("list_sales"), F.lit("millions"), draws)
     return sheet_of(spark, d).select("entity", "period", made.alias("question"))
+
+
+# ---- generators ------------------------------------------------------------------------------------------------
+
+
+def _companies_sql(companies: int, seed: int, factor: float) -> str:
+    """The generator's rows in SQL: draws by the same keys, measures in the order in which they build on each other."""
+    between = lambda low, high, at, *keys: f"({draw_sql(at, *keys)} * {high - low!r} + {low!r})"
+    parts = [
+        f"c0 as (select i as company, k, list_reduce(list_transform(range(0, k + 1), lambda j: case when j = 0 then 1.0::double else 1 + {between(-0.05, 0.15, seed + 1, 'i', 'j')} end), lambda a, x: a * x) as path from range({companies}) r(i), range({generate.YEARS}) s(k))",
+        f"c1 as (select *, cast(floor({between(5e3, 2e5, seed, 'company')} * path * {factor!r}) as bigint) as revenue from c0)",
+    ]
+    for i, (name, (of, low, high)) in enumerate(generate.SHARES.items()):
+        parts.append(f"c{i + 2} as (select *, cast(floor({of} * {between(low, high, seed + 10 + i, 'company', 'k')}) as bigint) as {name} from c{i + 1})")
+    return f"""with {', '.join(parts)} select 'Company ' || company as company_name, 'C' || company as ticker, cast(k + {generate.FIRST_YEAR} as integer) as year, revenue, {', '.join(generate.SHARES)},
+        round({between(0.10, 0.30, seed + 50, 'company', 'k')}, 4) as income_tax, total_assets - total_liabilities as total_equity, cast(floor({between(50, 5000, seed + 51, 'company')} * {factor!r}) as bigint) as shares_outstanding,
+        round({between(5, 500, seed + 52, 'company', 'k')} * {factor!r}, 2) as stock_price, cast(floor({between(100, 1e5, seed + 53, 'company')} * {factor!r}) as bigint) as employees from c{len(generate.SHARES) + 1}"""
+
+
+@query(_companies_sql(300, 7, 1.0))
+def generated_companies(spark, d):
+    return generate.annual_companies(spark, 300, 7)
+
+
+@query(_companies_sql(40, 8, 1e6))
+def generated_big_companies(spark, d):
+    return generate.annual_companies(spark, 40, 8, 1e6)
