@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,10 @@ FILTER_BITS = 1 << 26
 HOT_KEYS = 4096
 #: Positions that one row of Spark's bitmap aggregate covers.
 BITMAP_ROW = 32768
+#: Most rows of an Arrow batch: Spark's default of 10,000 whole texts is held twice in the JVM and twice in a Python worker.
+BATCH_ROWS = 1000
+#: Links that are contracted at a time.
+CONTRACTED = 100_000
 
 
 def sliced(batches, rows: int = 1000):
@@ -29,6 +32,26 @@ def sliced(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, which bounds what a small executor holds beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def gathered(batches, rows: int):
+    """Arrow batches of narrow rows put together until they have at least ``rows``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 class Scratch:
     """Tables written once under the shared folder in ``spark.checkpoint.dir`` and read back.
 
@@ -38,6 +61,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sheetwright.scratch", None)
         if not top:
             if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -172,9 +196,9 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: in
     return first.where("__hot__").drop("__hot__").unionByName(rest)
 
 
-def _contract(pairs):
-    """Spanning stars of a batch's links: each node with the smallest node that the batch connects it to."""
-    for frame in pairs:
+def _contract(batches):
+    """Spanning stars of many links at a time: each node with the smallest node that they connect it to."""
+    for batch in gathered(batches, CONTRACTED):
         parent: dict[int, int] = {}
 
         def find(x):
@@ -185,12 +209,12 @@ def _contract(pairs):
                 parent[x], x = root, parent[x]
             return root
 
-        for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
         out = [(x, r) for x in parent if (r := find(x)) != x]
-        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -201,7 +225,7 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     written after each round.  All steps are keyed aggregates and joins: no group is gathered anywhere.
     """
     spark = links.sparkSession
-    stars = links.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long")
+    stars = links.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long")
     now = scratch.table(stars.distinct(), "links0")
     last, total = None, now.count()
     for k in range(most_rounds):

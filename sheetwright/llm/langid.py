@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -36,7 +36,7 @@ BIT = 1 << 16
 #: What stands before a text's first byte.
 START = np.full(ORDER, 10, dtype=np.uint8)
 #: Bytes that are scored at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def windows(data: np.ndarray) -> np.ndarray:
@@ -202,6 +202,7 @@ def fit(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, budget:
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score (its share of the posterior) and bits_per_byte."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [*keep, "lang_pred", "score", "bits_per_byte"]

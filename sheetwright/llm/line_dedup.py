@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, bitmap_of, components, discard, in_bitmap, look_up, sorted_groups
+from .common import KeyFilter, Scratch, bitmap_of, components, discard, gathered, in_bitmap, look_up, sorted_groups
 
 TAU, SHARE, CROWD = 2, 10, 512
 SEED = 42
@@ -138,7 +138,7 @@ def _entries(lines: DataFrame, tau: int, screen=None) -> DataFrame:
 
     def work(batches):
         hashed = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in gathered(batches, 5000):
             lids, once = np.unique(batch.column("lid").to_numpy(), return_index=True)
             texts = batch.column("line").take(pa.array(once)).to_pylist()
             keys, roles, times = [], [], []
