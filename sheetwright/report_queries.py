@@ -165,7 +165,7 @@ def sheet_lines(spark, d):
 
 
 TRACE_SQL = {
-    "add": "list_sales + taxes", "subtract": "list_sales - taxes", "multiply": "list_sales * taxes", "change": "taxes - list_sales", "greater_than": "list_sales > taxes", "less_equal": "list_sales <= taxes",
+    "add": "list_sales + taxes", "subtract": "list_sales - taxes", "multiply": "cast(list_sales as decimal(18,2)) * cast(taxes as decimal(18,2))", "change": "taxes - list_sales", "greater_than": "list_sales > taxes", "less_equal": "list_sales <= taxes",
 }
 
 
@@ -175,7 +175,7 @@ TRACE_SQL = {
 )
 def computation_trace(spark, d):
     a, b, out = F.col("list_sales"), F.col("taxes"), []
-    value = {"add": a + b, "subtract": a - b, "multiply": a * b, "change": b - a, "greater_than": a > b, "less_equal": a <= b}
+    value = {"add": a + b, "subtract": a - b, "multiply": a.cast("decimal(18,2)") * b.cast("decimal(18,2)"), "change": b - a, "greater_than": a > b, "less_equal": a <= b}
     for op, v in value.items():
         text = v.cast("string") if op in ("greater_than", "less_equal") else F.round(v, 2).cast("decimal(38,2)").cast("string")
         out.append(F.struct(F.lit(op).alias("op"), render.trace(op, F.lit("list_sales"), corrupt.cell_text(a), F.lit("taxes"), corrupt.cell_text(b), text).alias("trace")))
