@@ -11,6 +11,7 @@ from .common import Scratch
 from .exact_dedup import exact_duplicates
 from .langid import fit, identify
 from .line_dedup import line_report
+from .merkle import document_manifest
 from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
@@ -111,7 +112,48 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
 ORACLE = {
+    "op12_merkle_manifest": """
+        with recursive d as (
+            select doc_id, lang, n_chars, concat(case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end, case when source is null then '-' else strlen(source) || ':' || source end,
+                       case when lang is null then '-' else strlen(lang) || ':' || lang end) as a, case when text is null then '-' else strlen(text) || ':' || text end as z
+            from documents),
+        e as (select doc_id, lang, sha256(concat(a, case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end, z)) as leaf,
+                     sha256(concat(a, case when n_chars is null then '-' else strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1) end, z)) as other from d),
+        leaves as (select doc_id, coalesce('v' || lang, 'n') as tree, leaf, other, row_number() over w - 1 as pos, count(*) over (partition by lang) as n from e
+                   window w as (partition by lang order by doc_id nulls first, leaf)),
+        nodes as (
+            select tree, 0 as level, pos, n, leaf as digest from leaves
+            union all
+            select tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from nodes where n > 1 group by tree, level, pos // 2, n),
+        subroots as (select tree, digest as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+        tops as (
+            select 0 as level, pos, n, subroot as digest from subroots
+            union all
+            select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by pos)) from tops where n > 1 group by level, pos // 2, n),
+        crc as (select range::int as b, list_reduce([range::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c from range(256)),
+        crcs as (select doc_id::varchar as s, 0 as k, 4294967295::bigint as c from (select distinct doc_id from documents where doc_id is not null)
+                 union all select s, k + 1, xor(r.c >> 8, crc.c) from crcs r join crc on crc.b = xor(r.c, ascii(s[k + 1])) & 255 where k < length(s)),
+        tampered as (select s, xor(c, 4294967295) % 7 = 0 as hit from crcs where k = length(s)),
+        folds as (
+            select l.doc_id, l.tree, l.leaf, 0 as level, l.pos, l.n, '' as proof, case when t.hit then l.other else l.leaf end as digest from leaves l left join tampered t on t.s = l.doc_id::varchar
+            union all
+            select f.doc_id, f.tree, f.leaf, f.level + 1, f.pos // 2, (f.n + 1) // 2, f.proof || coalesce(o.digest, ''),
+                   sha256(case when f.pos % 2 = 1 then o.digest || f.digest else f.digest || coalesce(o.digest, '') end)
+            from folds f left join nodes o on o.tree = f.tree and o.level = f.level and o.pos = xor(f.pos, 1) where f.n > 1),
+        ends as (
+            select f.doc_id, f.leaf, s.subroot, 0 as level, s.pos, s.n, f.proof, f.digest from folds f join subroots s using (tree) where f.n = 1
+            union all
+            select e.doc_id, e.leaf, e.subroot, e.level + 1, e.pos // 2, (e.n + 1) // 2, e.proof || coalesce(o.digest, ''),
+                   sha256(case when e.pos % 2 = 1 then o.digest || e.digest else e.digest || coalesce(o.digest, '') end)
+            from ends e left join tops o on o.level = e.level and o.pos = xor(e.pos, 1) where e.n > 1)
+        select e.doc_id, e.leaf, e.subroot, t.digest as root, sha256(e.proof) as proof_sha256, e.digest as folded_root, e.digest = t.digest as verified
+        from ends e cross join (select digest from tops where n = 1) t where e.n = 1
+    """,
     "op7_chat_tools": """
         with calls as (
             select conv_id, turn, 't' || turn as call_id, coalesce(text, '') as prompt,
@@ -153,7 +195,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
