@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .compaction import compacted_clicks
 from .exact_dedup import exact_duplicates
 from .langid import fit, identify
 from .line_dedup import line_report
@@ -116,6 +117,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
 
 
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compacted_clicks(table(spark, sf_dir, "clicks"), Scratch(spark, "op13"))
+
+
 ORACLE = {
     "op12_merkle_manifest": """
         with recursive d as (
@@ -195,7 +200,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc, op12_merkle_manifest, op13_compaction)}
 
 
 def oracle_sql() -> dict[str, str]:
