@@ -16,6 +16,7 @@ from .merkle import document_manifest
 from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
+from .repeats import repeat_report
 from .simhash import near_duplicates
 from .tool_chat import link
 from .url_filter import judge_urls
@@ -113,6 +114,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
 
@@ -200,7 +205,7 @@ ORACLE = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc, op12_merkle_manifest, op13_compaction)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_langid, op4_simhash, op5_url_filter, op6_quality, op7_chat_tools, op8_line_dedup, op9_packing, op10_warc, op11_repeats, op12_merkle_manifest, op13_compaction)}
 
 
 def oracle_sql() -> dict[str, str]:
