@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -37,13 +38,17 @@ from .common import Scratch, sliced
 
 CAPACITY = 2048
 CLOSING_ID = 0
+#: White space of so many characters on end is left to the library.
+LONG_SPACE = 4096
+SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
 
 
 class Encoder:
     """Token ids of whole texts by a byte-level BPE vocabulary, equal to the ``tokenizers`` library's.
 
-    The same vocabulary is read as merge ranks, which encode about four times as fast; texts that hold the string of a
-    special token, which the ranks don't know, go to the library itself.
+    The same vocabulary is read as merge ranks, which encode about four times as fast.  Texts that hold the string of a
+    special token, which the ranks don't know, or white space of LONG_SPACE characters on end, which exhausts the stack of
+    their pattern matcher, go to the library itself.
     """
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
@@ -59,7 +64,7 @@ class Encoder:
         self.ranks = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_SPACE and SPACES.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.ranks.encode_ordinary(text), dtype="<u4")
 

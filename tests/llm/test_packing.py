@@ -57,6 +57,23 @@ def test_ids_equal_the_library():
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\n \t\r", "\u3000 ", "\x1c", "\x85"])
+def test_long_white_space_equals_the_library(space):
+    own, library = Encoder(*FILES, public_tokenizers.PATTERN), Tokenizer.from_file(FILES[0])
+    for n in (4095, 4096, 20_000, 1_000_000):
+        run = (space * n)[:n]
+        for text in (run, run + "x", f"a{run}b c", f"{run}\n{run[:300]}é"):
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_of_white_space_are_packed(spark):
+    library = Tokenizer.from_file(FILES[0])
+    texts = [" " * 300_000 + "x", "\n" * 100_000, "a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pack_documents(docs, Scratch(spark, "test"), *FILES, public_tokenizers.PATTERN).groupBy("doc_id").sum("length").collect()
+    assert dict(map(tuple, got)) == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_plans_are_valid():
     rng = random.Random(1)
     for _ in range(1500):
