@@ -92,14 +92,14 @@ def fcf_margin_change(operations: tuple[Column, Column], investment: tuple[Colum
 
 #: Wordings by kind of plan; own texts.
 WORDINGS = {
-    "lookup": ["What was the {name} in {y1}?", "How much {name} did {who} report for fiscal year {y1}?"],
-    "change": ["How much did the {name} of {who} change from {y1} to {y2}?", "What was the difference in {name} between {y1} and {y2}?"],
-    "ratio": ["What was the ratio of {a} to {b} in {y1}?", "How large was {a} relative to {b} at {who} in {y1}?"],
-    "named": ["What was the {name} of {who} in {last}?", "Calculate the {name} for fiscal year {last}."],
-    "ratio_change": ["How did the {name} change from {y1} to {y2}?", "By how much did the {name} of {who} move between {y1} and {y2}?"],
-    "growth": ["By what percentage did the {a} of {who} grow from {y1} to {y2}?", "What was the {name} from {y1} to {y2}?"],
-    "improved": ["Did the {name} of {who} improve from {y1} to {y2}?", "Was the {name} better in {y2} than in {y1}?"],
-    "fcf_margin_change": ["How did the free cash flow margin of {who} change from {y1} to {y2}?"],
+    "lookup": ["Read {name} off the {y1} column for {who}.", "Fiscal {y1}, {who}: state {name}."],
+    "change": ["Take {who} and subtract its {y1} {name} from its {y2} {name}.", "By which amount does {name} at {who} end up above {y1} once {y2} is reached?"],
+    "ratio": ["Divide {a} by {b}, both as {who} states them for {y1}.", "Express {a} as a multiple of {b}, using the {y1} column of {who}."],
+    "named": ["Work out {name} for {who}, fiscal {last}.", "Derive the {last} {name} from the sheet of {who}."],
+    "ratio_change": ["Evaluate {name} of {who} for {y1} and again for {y2}; give the second less the first.", "{y2} less {y1}: {name}, {who}."],
+    "growth": ["Measured against {y1}, how many percent more {a} does {who} show in {y2}?", "Give {name} of {who} in percent, with {y1} as the base and {y2} as the end."],
+    "improved": ["Yes or no: is {name} of {who} in a healthier place at {y2} than it was at {y1}?", "True or false: {who} ends {y2} with a more favourable {name} than {y1}."],
+    "fcf_margin_change": ["Free cash flow per unit of revenue at {who}: subtract the {y1} figure from the {y2} figure."],
 }
 
 
