@@ -7,9 +7,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.prng import pick, uniform
-from .plans import meanings, nodes
-from .queries import ATOMS, draw_sql, query, sheet_of
+from .functions.prng import pick, rank_key, uniform
+from .operators import controller, quotas
+from .plans import forest, meanings, nodes
+from .plans.expr import SALES
+from .queries import ATOMS, draw_sql, query, rank_sql, sheet_of
 from .sources import star
 
 # ---- a tree for each order -------------------------------------------------------------------------------------
@@ -226,3 +228,27 @@ def tree_meaning_kinds(spark, d):
     """How many trees have each kind of meaning."""
     found = meanings.tree_meanings(bound_nodes(spark, d, PAIRS), SIBLINGS)
     return found.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), F.col("error").isNull().alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- sampling --------------------------------------------------------------------------------------------------
+
+
+@query()
+def sampled_trees(spark, d):
+    """A tree for each part, grown and rejected by its own draws; of trees alike the first."""
+    parts = star.table(spark, d, "part").select(F.col("p_partkey").alias("tree"))
+    return forest.sample_trees(parts, 7, (1, 3), [c for c, (kind, *_) in star.CONCEPTS.items() if kind == "amount"], ["tax_rate"], SALES)
+
+
+@query(f"""with recursive numbered as (select c_custkey, {draw_sql(112, 'c_custkey')} < 0.25 as own, row_number() over (order by {rank_sql(111, 'c_custkey')} || '/' || c_custkey) - 1 as place from customer),
+    walk as (
+        select c_custkey, place, true as needed, true as derived, 1 as used from numbered where place = 0
+        union all
+        select n.c_custkey, n.place, w.used / cast(n.place + 1 as double) < 0.4, w.used / cast(n.place + 1 as double) < 0.4 or n.own, w.used + cast(w.used / cast(n.place + 1 as double) < 0.4 or n.own as integer)
+        from walk w join numbered n on n.place = w.place + 1)
+    select c_custkey, place, needed, derived from walk""")
+def derived_controller(spark, d):
+    """Which customers' questions must use a derived measure, so that two in five do all along, in a random order of customers."""
+    rows = star.table(spark, d, "customer").select("c_custkey", (uniform(112, F.col("c_custkey")) < 0.25).alias("own"))
+    placed = quotas.numbered(rows, F.concat(rank_key(111, F.col("c_custkey")), F.lit("/"), F.col("c_custkey").cast("string")))
+    return controller.controlled(placed, "place", "own", rows.count(), 0.3, 0.5).select("c_custkey", "place", "needed", "derived")
