@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.prng import pick, rank_key, uniform
 from .operators import controller, quotas
-from .plans import forest, meanings, nodes
-from .plans.expr import SALES
+from .plans import binder, forest, meanings, nodes
+from .plans.expr import SALES, Derived, Growth, Leaf, Literal, Node, Over, to_json
 from .queries import ATOMS, draw_sql, query, rank_sql, sheet_of
 from .sources import star
 
@@ -252,3 +252,49 @@ def derived_controller(spark, d):
     rows = star.table(spark, d, "customer").select("c_custkey", (uniform(112, F.col("c_custkey")) < 0.25).alias("own"))
     placed = quotas.numbered(rows, F.concat(rank_key(111, F.col("c_custkey")), F.lit("/"), F.col("c_custkey").cast("string")))
     return controller.controlled(placed, "place", "own", rows.count(), 0.3, 0.5).select("c_custkey", "place", "needed", "derived")
+
+
+# ---- binding ---------------------------------------------------------------------------------------------------
+
+TEMPLATES = [
+    json.dumps(to_json(t))
+    for t in (
+        Leaf("taxes"), Node("diff", Leaf("list_sales"), Leaf("discounts")), Node("ratio", Derived("net_sales"), Leaf("catalog_cost")), Node("mul", Node("sum", Leaf("taxes"), Leaf("discounts")), Leaf("tax_rate")),
+        Growth(Leaf("list_sales")), Over("min", Leaf("discounts")), Node("sum", Over("avg", Leaf("taxes")), Over("max", Leaf("discounts"))), Node("ratio", Growth(Leaf("discounts")), Literal(2.0)),
+    )
+]
+
+
+def _bound_sql() -> str:
+    growth, over, leaf = binder.GROWTH, binder.OVER, r'\{"leaf": "(\w+)", "depth": 0\}'
+    key = lambda period, concept: f"""'{{"leaf": "' || entity || '_' || {period} || '_' || {concept} || '"}}'"""
+    concept = f"regexp_extract(found, '{growth}', 1)"
+    earlier = f"list_filter(series[{concept}], lambda p: p < period)"
+    then = f"({earlier})[1 + cast(floor({draw_sql(125, 'tree', 'attempt', concept)} * len({earlier})) as integer)]"
+    grown = f"""'{{"op": "growth", "left": ' || {key(then, concept)} || ', "right": ' || {key('period', concept)} || '}}'"""
+    op, over_concept = f"regexp_extract(found, '{over}', 1)", f"regexp_extract(found, '{over}', 2)"
+    periods = f"series[{over_concept}]"
+    chain = f"""list_reduce([{key('p', over_concept)} for p in {periods}], lambda x, y: '{{"op": "' || case {op} when 'avg' then 'sum' else {op} end || '", "left": ' || x || ', "right": ' || y || '}}')"""
+    windowed = f"""case when len({periods}) >= 2 then case {op} when 'avg' then '{{"op": "ratio", "left": ' || {chain} || ', "right": {{"literal": ' || len({periods}) || '}}}}' else {chain} end end"""
+    net = json.dumps(to_json(Node("diff", Leaf("list_sales"), Leaf("discounts"))))
+    named = json.dumps(to_json(Derived("net_sales")))
+    expanded = '{"derived": "net_sales", "expanded": ' + net + "}"
+    return f"""facts as (select * from atoms where {draw_sql(122, 'key')} >= 0.1),
+    series as (select entity, map_from_entries(list({{'k': concept, 'v': periods}})) as series from (select entity, concept, list(period order by period) as periods from facts group by 1, 2) group by 1),
+    slices as (select entity, period, row_number() over (order by {rank_sql(123, 'entity', 'period')} || '/' || entity || '/' || period) - 1 as place, count(*) over () as places from (select distinct entity, period from facts)),
+    templates as (select p_partkey as tree, replace({_drawn_sql(TEMPLATES, 121, 'p_partkey')}, '{named}', '{expanded}') as template from part),
+    tries as (select tree, template, unnest(range(0, 8)) as attempt from templates),
+    placed as (select t.tree, t.attempt, t.template, s.entity, s.period, series from tries t join slices s on s.place = floor({draw_sql(124, 't.tree', 't.attempt')} * s.places) join series using (entity)),
+    grown as (select *, list_reduce(list_prepend(template, list_distinct(regexp_extract_all(template, '{growth}'))), lambda t, found: replace(t, found, {grown})) as text1 from placed),
+    widened as (select *, list_reduce(list_prepend(text1, list_distinct(regexp_extract_all(text1, '{over}'))), lambda t, found: replace(t, found, {windowed})) as text2 from grown where text1 is not null),
+    filled as (select tree, attempt, entity, period, regexp_replace(text2, '{leaf}', '{{"leaf": "' || entity || '_' || period || '_\\1"}}', 'g') as form from widened where text2 is not null),
+    gone as (select distinct tree, attempt from (select tree, attempt, unnest(regexp_extract_all(form, '{binder.KEYS}', 1)) as key from filled) k anti join facts using (key)),
+    bound as (select tree, arg_min({{'attempt': attempt, 'entity': entity, 'period': period, 'form': form}}, attempt) as b from filled anti join gone using (tree, attempt) group by tree)"""
+
+
+@query(f"with {ATOMS}, {_bound_sql()} select tree, cast(b.attempt as integer) as attempt, b.entity as entity, b.period as period, b.form as form from bound")
+def bound_trees(spark, d):
+    """A template for each part, bound to a nation's facts, some of which are missing."""
+    known = star.atoms(sheet_of(spark, d)).where(uniform(122, F.col("key")) >= 0.1)
+    templates = star.table(spark, d, "part").select(F.col("p_partkey").alias("tree"), pick(TEMPLATES, uniform(121, F.col("p_partkey"))).alias("form"))
+    return binder.bind(templates, known, SALES, 123)
