@@ -17,16 +17,31 @@ def window_stats(sheet: DataFrame, value: str, back: int | None = None) -> DataF
     return out.where("n >= 2")
 
 
-def all_windows(sheet: DataFrame, value: str) -> DataFrame:
-    """Every contiguous window of at least two periods of an entity: an array of its values, unnested twice."""
-    tail = F.collect_list(F.struct("period", value)).over(series().rowsBetween(0, Window.unboundedFollowing))
-    starts = sheet.select("entity", F.col("period").alias("from_period"), tail.alias("tail"))
-    ends = starts.select("entity", "from_period", "tail", F.explode(F.sequence(F.lit(2), F.greatest(F.size("tail"), F.lit(2)))).alias("n")).where("n <= size(tail)")
-    part = F.transform(F.slice("tail", 1, F.col("n")), lambda x: x[value])
-    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-    return ends.select(
-        "entity", "from_period", F.get("tail", F.col("n") - 1)["period"].alias("to_period"), F.array_min(part).alias("low"), F.array_max(part).alias("high"), F.round(total / F.col("n"), 4).alias("mean")
-    )
+def all_windows(sheet: DataFrame, value: str, longest: int | None = None) -> DataFrame:
+    """Every contiguous window of at least two periods of an entity: (entity, from_period, to_period, low, high, mean).
+
+    A row keeps its place, the running sum up to it, and the extremes of the stretches of 1, 2, 4, .. rows that begin and that end at it, so a
+    window is two rows' worth of numbers: its sum is a difference of running sums, and two stretches of the largest power of
+    two that fits cover it.  ``longest`` bounds an entity's periods; if it is not given, it is looked up.
+    """
+    if longest is None:
+        longest = sheet.groupBy("entity").count().agg(F.max("count")).first()[0] or 0
+    order, powers = series(), range(max(1, longest.bit_length()))
+    stretch = lambda f, first, last: f(value).over(order.rowsBetween(first, last))
+    kept = sheet.select(
+        "entity", "period", F.col(value).alias("v"), F.row_number().over(order).alias("at"), F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
+        *(F.array(*(stretch(f, 0, (1 << k) - 1) for k in powers)).alias(f"{name}_on") for f, name in ((F.min, "low"), (F.max, "high"))),
+        *(F.array(*(stretch(f, 1 - (1 << k), 0) for k in powers)).alias(f"{name}_back") for f, name in ((F.min, "low"), (F.max, "high"))),
+    )
+    first = kept.select("entity", F.col("period").alias("from_period"), F.col("at").alias("a"), (F.col("total") - F.col("v")).alias("before"), "low_on", "high_on")
+    last = kept.select("entity", F.col("period").alias("to_period"), F.col("at").alias("b"), "total", "low_back", "high_back")
+    n = F.col("b") - F.col("a") + 1
+    k = F.floor(F.log2(n + F.lit(0.5))).cast("int")  # half a row more, so that no power of two is missed by rounding
+    pairs = first.join(last, "entity").where("a < b")
+    return pairs.select(
+        "entity", "from_period", "to_period", F.least(F.get("low_on", k), F.get("low_back", k)).alias("low"), F.greatest(F.get("high_on", k), F.get("high_back", k)).alias("high"),
+        F.round((F.col("total") - F.col("before")) / n, 4).alias("mean"),
+    )
 
 
 def growth(now: Column, then: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.prng import rank_key, uniform
-from .operators import catalog, corrupt, obstacles, quotas, scoring, turns, typed, windows
+from .operators import catalog, corrupt, mentions, obstacles, quotas, scoring, turns, typed, windows
 from .plans import render
 from .plans.expr import PROGRAM, SALES, Compiler, Derived, Growth, Leaf, Literal, Node, Over, fold, run_programs
 from .sources import star
@@ -832,7 +832,20 @@ def company_mention(spark, d):
     """The first name, in the order of the lookup table, that a question contains; the lookup is a small dimension."""
     names = star.table(spark, d, "nation").select("n_nationkey", "n_name")
     asked_ = names.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("How did "), "n_name", F.lit(" do?")).alias("question"))
-    return asked_.join(names, F.col("question").contains(F.col("n_name"))).groupBy("id", "question").agg(F.min_by("n_name", "n_nationkey").alias("mention"))
+    return mentions.first_mention(asked_, "id", "question", names, "n_name", "n_nationkey").join(asked_, "id").select("id", "question", "mention")
+
+
+MENTION_SQL = "asked as (select o_orderkey as id, 'Did Supplier#' || lpad(cast(o_orderkey % 131 as varchar), 9, '0') || case when o_orderkey % 3 = 0 then ', or Supplier#' || lpad(cast(o_orderkey % 17 as varchar), 9, '0') || ',' else '' end || ' ship order ' || o_orderkey || '?' as question from orders)"
+
+
+@query(f"with {MENTION_SQL} select id, arg_min(s_name, s_suppkey) as mention from asked join supplier on contains(question, s_name) group by 1")
+def supplier_mention(spark, d):
+    """The first supplier that an order's question names."""
+    key = F.col("o_orderkey")
+    named = lambda n: F.concat(F.lit("Supplier#"), F.lpad((key % n).cast("string"), 9, "0"))
+    second = F.when(key % 3 == 0, F.concat(F.lit(", or "), named(17), F.lit(","))).otherwise("")
+    asked_ = star.table(spark, d, "orders").select(key.alias("id"), F.concat(F.lit("Did "), named(131), second, F.lit(" ship order "), key.cast("string"), F.lit("?")).alias("question"))
+    return mentions.first_mention(asked_, "id", "question", star.table(spark, d, "supplier"), "s_name", "s_suppkey")
 
 
 @query(f"with {SHEET}, r as (select entity, period, row_number() over (partition by period order by entity <> 'NATION_3', {rank_sql(81, 'entity', 'period')}, entity) as n from sheet where entity <> 'NATION_0') select period, entity from r where n = 1")
