@@ -223,9 +223,12 @@ def typed_depth2(spark, d):
     return sheet_of(spark, d).select("entity", "period", typed.typed("greater_than", inner, F.col("catalog_cost")).alias("is_greater"), typed.typed("divide", inner, F.col("catalog_cost")).alias("quotient"))
 
 
-#: Columns of a wide sheet by metric and year, as a schema table.
-COLUMN_ROWS = [(f"{m}_{y}", "numeric", "USD" if m != "units" else "units", m, y) for m in ("sales", "costs", "units") for y in (2022, 2023, 2024)] + [("rating", "ordinal", None, "rating", None), ("region", "categorical", None, "region", None)]
-COLUMN_SQL = "cols as (select * from (values " + ", ".join(f"('{n}', '{t}', {repr(u) if u else 'null'}, '{b}', {y or 'null'})" for n, t, u, b, y in COLUMN_ROWS) + ") v(name, type, unit, base_name, year)), ops as (select * from (values " + ", ".join(f"('{o}', '{c}')" for o, (c, _) in typed.OPERATIONS.items()) + ") v(op, c))"
+#: Columns of a wide sheet: a metric a year that orders have, a mark a priority, a flag a market segment; as many as there are different ones.
+COLUMN_SQL = """cols as (
+        select m || '_' || y as name, 'numeric' as type, case m when 'units' then 'units' else 'USD' end as unit, m as base_name, cast(y as integer) as year from (select distinct year(o_orderdate) as y from orders), (values ('sales'), ('costs'), ('units')) v(m)
+        union all select 'rating_' || left(o_orderpriority, 1), 'ordinal', null, 'rating', null from (select distinct o_orderpriority from orders)
+        union all select 'is_' || lower(c_mktsegment), 'categorical', null, 'segment', null from (select distinct c_mktsegment from customer)),
+    ops as (select * from (values """ + ", ".join(f"('{o}', '{c}')" for o, (c, _) in typed.OPERATIONS.items()) + ") v(op, c))"
 PAIR_SQL = """pairs as (select op, a.name as "left", b.name as "right", case when op in ('add', 'subtract', 'change') then a.unit when op = 'ratio' then 'ratio' when op = 'pct_change' then 'percentage'
         when op in ('greater_than', 'less_than', 'greater_equal', 'less_equal', 'equals', 'not_equals') then 'boolean' else 'derived' end as unit
     from cols a join cols b on a.name <> b.name join ops on case c when 'same_type' then a.type = b.type
@@ -234,9 +237,22 @@ PAIR_SQL = """pairs as (select op, a.name as "left", b.name as "right", case whe
         when 'same_base_different_year' then a.type = 'numeric' and b.type = 'numeric' and a.base_name = b.base_name and a.year is distinct from b.year else false end)"""
 
 
+def schema_columns(spark, d) -> DataFrame:
+    """(name, type, unit, base_name, year) of the wide sheet's columns."""
+    row = lambda name, kind, unit, base, year: [name.alias("name"), F.lit(kind).alias("type"), unit.cast("string").alias("unit"), base.alias("base_name"), year.cast("int").alias("year")]
+    none = F.lit(None)
+    years = star.table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    metrics = years.select("y", F.explode(F.array(*map(F.lit, ["sales", "costs", "units"]))).alias("m"))
+    numeric = metrics.select(*row(F.concat_ws("_", "m", F.col("y").cast("string")), "numeric", F.when(F.col("m") == "units", "units").otherwise("USD"), F.col("m"), F.col("y")))
+    marks = star.table(spark, d, "orders").select("o_orderpriority").distinct()
+    ordinal = marks.select(*row(F.concat(F.lit("rating_"), F.substring("o_orderpriority", 1, 1)), "ordinal", none, F.lit("rating"), none))
+    segments = star.table(spark, d, "customer").select("c_mktsegment").distinct()
+    return numeric.union(ordinal).union(segments.select(*row(F.concat(F.lit("is_"), F.lower("c_mktsegment")), "categorical", none, F.lit("segment"), none)))
+
+
 @query(f'with {COLUMN_SQL}, {PAIR_SQL} select op, "left", "right", unit from pairs')
 def valid_pairs(spark, d):
-    columns = spark.createDataFrame(COLUMN_ROWS, "name string, type string, unit string, base_name string, year int")
+    columns = schema_columns(spark, d)
     operations = spark.createDataFrame([(o, c) for o, (c, _) in typed.OPERATIONS.items()], "op string, constraint string")
     return typed.valid_pairs(columns, operations)
 
@@ -247,7 +263,7 @@ def valid_pairs(spark, d):
     select expression from ranked where r <= 500""")
 def depth2_enumeration(spark, d):
     """Compositions of depth two over a schema table; a random but reproducible 500 of them, as the enumeration asks."""
-    columns = spark.createDataFrame(COLUMN_ROWS, "name string, type string, unit string, base_name string, year int")
+    columns = schema_columns(spark, d)
     pairs = valid_pairs(spark, d).where("op in ('add', 'subtract')").select(F.concat("op", F.lit("("), "left", F.lit(", "), "right", F.lit(")")).alias("e"), F.col("unit").alias("u"))
     made = pairs.join(columns.where("type = 'numeric'"), F.col("u") == F.col("unit")).select("e", "name", F.explode(F.array(F.lit("divide"), F.lit("subtract"))).alias("op"))
     made = made.select(F.concat("op", F.lit("("), "e", F.lit(", "), "name", F.lit(")")).alias("expression"))
@@ -525,10 +541,19 @@ def q_unit_prefix(spark, d):
     return asked(spark, d).select("entity", "period", obstacles.unit_prefix(F.col("question"), pick(list(obstacles.UNITS), uniform(36, F.col("question")))).alias("question"))
 
 
-@query(f"with {CONCEPTS}, w as (select concept, string_split(concept, '_') as ws from concepts), h as (select concept, ws, len(list_filter(ws, lambda x: contains('what is the average price and tax rate?', x))) as hits from w) select concept, cast(case when contains('what is the average price and tax rate?', replace(concept, '_', ' ')) then 100 + length(concept) when hits = len(ws) then 50 + hits else hits end as integer) as score from h")
+SCORED = ["list_sales", "discounts", "tax_rate", "avg_price"]
+SCORE_SQL = """case when contains(low, replace(concept, '_', ' ')) then 100 + length(concept) when hits = len(ws) then 50 + hits else hits end"""
+
+
+@query(f"""with {SHEET}, q as (select entity, period, lower('What is the ' || case period % 3 when 0 then 'list sales' when 1 then 'average price and tax rate' else 'rate of sales' end || ' for ' || entity || ' in ' || period || '?') as low from sheet),
+    w as (select entity, period, low, concept, string_split(concept, '_') as ws from q, (select unnest([{', '.join(f"'{c}'" for c in SCORED)}]) as concept)), h as (select *, len(list_filter(ws, lambda x: contains(low, x))) as hits from w)
+    select entity, period, concept, cast({SCORE_SQL} as integer) as score from h""")
 def concept_scores(spark, d):
-    question = F.lit("What is the average price and tax rate?")
-    return star.concept_table(spark).select("concept", obstacles.concept_score(question, F.col("concept")).alias("score"))
+    """How well the names of a question's concepts fit it."""
+    asked_for = F.when(F.col("period") % 3 == 0, "list sales").when(F.col("period") % 3 == 1, "average price and tax rate").otherwise("rate of sales")
+    question = F.concat(F.lit("What is the "), asked_for, F.lit(" for "), "entity", F.lit(" in "), F.col("period").cast("string"), F.lit("?"))
+    rows = sheet_of(spark, d).select("entity", "period", question.alias("question"), F.explode(F.array(*map(F.lit, SCORED))).alias("concept"))
+    return rows.select("entity", "period", "concept", obstacles.concept_score(F.col("question"), F.col("concept")).alias("score"))
 
 
 # ---- rendering -------------------------------------------------------------------------------------------------
@@ -756,10 +781,10 @@ def common_ids(spark, d):
     return star.table(spark, d, "documents").select("doc_id").intersect(star.table(spark, d, "labels").select("doc_id"))
 
 
-@query(f"with {CONCEPTS} select distinct parent_concept as family from concepts except select family from (values {', '.join(f'({chr(39)}{k}{chr(39)})' for k in obstacles.CLAUSES)}) v(family)")
+@query(f"with {ATOMS} select distinct parent_concept as family from atoms except select family from (values {', '.join(f'({chr(39)}{k}{chr(39)})' for k in obstacles.CLAUSES)}) v(family)")
 def missing_families(spark, d):
     present = spark.createDataFrame([(k,) for k in obstacles.CLAUSES], "family string")
-    return star.concept_table(spark).select(F.col("parent_concept").alias("family")).distinct().join(present, "family", "left_anti")
+    return star.atoms(sheet_of(spark, d)).select(F.col("parent_concept").alias("family")).distinct().join(present, "family", "left_anti")
 
 
 @query(f"with {ATOMS} select semantic_type, unit, role, count(*) as n from atoms group by grouping sets ((semantic_type), (unit), (role))")

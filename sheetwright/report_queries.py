@@ -9,7 +9,7 @@ from .functions.ranges import RATIO_COLUMNS, scale_ranges
 from .operators import catalog, corrupt, notes, obstacles, quotas, scoring, turns, typed
 from .plans import levels, render
 from .plans.expr import Leaf, Node
-from .queries import ATOMS, LOOKS_SQL, SHEET, USED_SQL, draw_sql, query, rank_sql, sheet_of, used_keys
+from .queries import ATOMS, COLUMN_SQL, LOOKS_SQL, SHEET, USED_SQL, draw_sql, query, rank_sql, schema_columns, sheet_of, used_keys
 from .sources import files, generate, star
 
 
@@ -107,10 +107,11 @@ def notes_totals(spark, d):
     return sheet_of(spark, d).select("entity", "period", *(F.round(v, 2).alias(k) for k, v in made.items()))
 
 
-@query("select 'k' || n as \"column\", case when n = 2 then 1.0 else n * 100.0 end::double as min, case when n = 2 then 2.0 else n * 1000.0 end::double as max from range(1, 4) r(n) union all select 'income_tax', 0.1, 0.3")
+@query(f"""with {ATOMS} select concept as "column", min(value) * case when concept in ('tax_rate', 'income_tax') then 1 else 100 end as min, max(value) * case when concept in ('tax_rate', 'income_tax') then 1 else 100 end as max from atoms group by concept""")
 def scaled_ranges(spark, d):
-    rows = [("k1", 1.0, 10.0), ("k2", 0.01, 0.02), ("k3", 3.0, 30.0), (RATIO_COLUMNS[0], 0.1, 0.3)]
-    return scale_ranges(spark.createDataFrame(rows, "column string, min double, max double"))
+    """The ranges that a sheet's measures have, scaled; shares stay."""
+    ranges = star.atoms(sheet_of(spark, d)).groupBy(F.col("concept").alias("column")).agg(F.min("value").alias("min"), F.max("value").alias("max"))
+    return scale_ranges(ranges, ratios=("tax_rate", *RATIO_COLUMNS))
 
 
 @query("select c_custkey as entity, x as raw, case when regexp_matches(p, '^[+-]?[0-9]{1,18}$') then cast(p as bigint) end as integer, case when not regexp_matches(p, '^[+-]?[0-9]{1,18}$') then try_cast(p as double) end as real, case when try_cast(p as double) is null then x end as text from (select *, regexp_replace(trim(x), '[$,]', '', 'g') as p from (select c_custkey, unnest(['$' || cast(floor(c_acctbal) as bigint), cast(cast(c_acctbal as decimal(12,2)) as varchar), c_mktsegment, '1,234,567']) as x from customer))")
@@ -444,9 +445,9 @@ def kind_phrases(spark, d):
     )
 
 
-@query("select o.op, c.name, case o.op when 'count_agg' then 'count' else c.unit end as unit from (values ('sum_agg'), ('avg_agg'), ('max_agg'), ('min_agg'), ('count_agg')) o(op), (values ('sales', 'numeric', 'USD'), ('name', 'categorical', null), ('units', 'numeric', 'units')) c(name, type, unit) where c.type = 'numeric' or o.op = 'count_agg'")
+@query(f"with {COLUMN_SQL} select o.op, c.name, case o.op when 'count_agg' then 'count' else c.unit end as unit from (values ('sum_agg'), ('avg_agg'), ('max_agg'), ('min_agg'), ('count_agg')) o(op), cols c where c.type = 'numeric' or o.op = 'count_agg'")
 def valid_unary(spark, d):
-    return typed.valid_unary(spark.createDataFrame([("sales", "numeric", "USD"), ("name", "categorical", None), ("units", "numeric", "units")], "name string, type string, unit string"))
+    return typed.valid_unary(schema_columns(spark, d))
 
 
 @query(f"""with {SHEET}, r as (select entity, period, case period % 4 when 0 then 'Answer: True' when 1 then 'Answer: ' || {text_sql('taxes')} else 'Answer: ' || {text_sql('taxes * 1.04')} end as response,
@@ -474,11 +475,11 @@ def q_dispatch(spark, d):
 # ---- generators ------------------------------------------------------------------------------------------------
 
 
-def _companies_sql(companies: int, seed: int, factor: float) -> str:
+def _companies_sql(seed: int, factor: float) -> str:
     """The generator's rows in SQL: draws by the same keys, measures in the order in which they build on each other."""
     between = lambda low, high, at, *keys: f"({draw_sql(at, *keys)} * {high - low!r} + {low!r})"
     parts = [
-        f"c0 as (select i as company, k, list_reduce(list_transform(range(0, k + 1), lambda j: case when j = 0 then 1.0::double else 1 + {between(-0.05, 0.15, seed + 1, 'i', 'j')} end), lambda a, x: a * x) as path from range({companies}) r(i), range({generate.YEARS}) s(k))",
+        f"c0 as (select i as company, k, list_reduce(list_transform(range(0, k + 1), lambda j: case when j = 0 then 1.0::double else 1 + {between(-0.05, 0.15, seed + 1, 'i', 'j')} end), lambda a, x: a * x) as path from (select s_suppkey as i from supplier), range({generate.YEARS}) s(k))",
         f"c1 as (select *, cast(floor({between(5e3, 2e5, seed, 'company')} * path * {factor!r}) as bigint) as revenue from c0)",
     ]
     for i, (name, (of, low, high)) in enumerate(generate.SHARES.items()):
@@ -488,11 +489,16 @@ def _companies_sql(companies: int, seed: int, factor: float) -> str:
         round({between(5, 500, seed + 52, 'company', 'k')} * {factor!r}, 2) as stock_price, cast(floor({between(100, 1e5, seed + 53, 'company')} * {factor!r}) as bigint) as employees from c{len(generate.SHARES) + 1}"""
 
 
-@query(_companies_sql(300, 7, 1.0))
+def numbers(spark, d):
+    return star.table(spark, d, "supplier").select(F.col("s_suppkey").alias("company"))
+
+
+@query(_companies_sql(7, 1.0))
 def generated_companies(spark, d):
-    return generate.annual_companies(spark, 300, 7)
+    """A synthetic company for each supplier."""
+    return generate.annual_companies(spark, numbers(spark, d), 7)
 
 
-@query(_companies_sql(40, 8, 1e6))
+@query(_companies_sql(8, 1e6))
 def generated_big_companies(spark, d):
-    return generate.annual_companies(spark, 40, 8, 1e6)
+    return generate.annual_companies(spark, numbers(spark, d), 8, 1e6)

@@ -20,14 +20,15 @@ def between(low: float, high: float, seed: int, *keys: Column) -> Column:
     return uniform(seed, *keys) * (high - low) + low
 
 
-def annual_companies(spark: SparkSession, companies: int, seed: int = 1, factor: float = 1.0) -> DataFrame:
+def annual_companies(spark: SparkSession, companies: int | DataFrame, seed: int = 1, factor: float = 1.0) -> DataFrame:
     """One row a company and year: revenue grows along a chain of draws, other amounts are shares, assets balance.
 
-    ``factor`` multiplies revenue, and so everything drawn from it, as well as shares, price and employees.
+    ``companies`` is how many, or a table of their numbers (company), each once; a company's rows depend on its number only.  ``factor`` multiplies revenue, and so everything drawn from it, as well as shares, price and employees.
     """
     if factor <= 0:
         raise ValueError("factor must be positive")
-    rows = spark.range(companies).select(F.col("id").alias("company"), F.explode(F.sequence(F.lit(0), F.lit(YEARS - 1))).alias("k"))
+    numbers = spark.range(companies).withColumnRenamed("id", "company") if isinstance(companies, int) else companies
+    rows = numbers.select(F.col("company"), F.explode(F.sequence(F.lit(0), F.lit(YEARS - 1))).alias("k"))
     who = F.col("company")
     # Growth factors up to a year are recomputed from draws, so that no row waits for another.
     path = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(1.0), lambda a, j: a * F.when(j == 0, 1.0).otherwise(1 + between(-0.05, 0.15, seed + 1, who, j)))
