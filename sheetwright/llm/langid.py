@@ -6,8 +6,9 @@ follow there costs an escape and is looked for one byte shorter, with all bytes
 excluded, down to a uniform code over the bytes never seen.  Statistics are frozen, so the code length of a text is a
 sum over its four-byte windows, exact and independent of order; the language with the shortest code wins.
 
-The trees are fitted on the driver on a bounded sample: about ``budget`` bytes of text a language, chosen by a hash of
-the row, of texts up to ``longest`` bytes.  Scoring reads every whole text.  Code lengths are kept in 2**-16 bits as
+The trees are fitted on the driver on a bounded sample: about ``budget`` bytes of text a language, less where there are so many
+languages that all together would exceed ``most`` bytes.  What is chosen, by a hash, are pieces of at most ``longest`` characters, so a
+language counts whatever the length of its texts.  Scoring reads every whole text.  Code lengths are kept in 2**-16 bits as
 integers, so that sums do not depend on how texts are batched.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; ties go to the language that sorts
@@ -27,10 +28,8 @@ from .common import sliced, small_batches
 
 ORDER = 3
 UNDETERMINED = "und"
-#: Bytes of the sample a language, and of the longest text in it.
-BUDGET, LONGEST = 1_500_000, 1 << 16
-#: Most languages that a model may hold.
-MOST_LANGUAGES = 500
+#: Bytes of the sample a language, and of that of all languages; characters of the longest piece in it.
+BUDGET, MOST, LONGEST = 1_500_000, 96_000_000, 1 << 16
 #: One bit of code length.
 BIT = 1 << 16
 #: What stands before a text's first byte.
@@ -180,22 +179,30 @@ class Model:
             np.add.at(sums[:, n], rows, np.add.reduceat(np.append(v, 0), cuts, dtype=np.int64)[::2])
 
 
-def fit(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, budget: int = BUDGET, longest: int = LONGEST) -> Model:
-    """Fit trees on a sample of about ``budget`` bytes of each language's texts of at most ``longest`` bytes."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.where("lang is not null and text is not null").where(F.octet_length("text").between(1, longest))
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+def fit(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, budget: int = BUDGET, most: int = MOST, longest: int = LONGEST) -> Model:
+    """Fit trees on a sample of about ``budget`` bytes of each language's texts, and of about ``most`` bytes in all.
+
+    A piece is chosen with a language's share of its bytes, so that what is expected of a language is its budget, and the driver
+    holds the sample and one number a language.
+    """
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang is not null and text <> ''")
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not totals:
         return Model([], [])
-    share = F.lit(0.0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, min(1.0, budget / n)).otherwise(share)
-    picked = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").collect()
+    own = min(budget, most // len(totals))
+    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, own / n) * (1 << 30))) for lang, n in totals.items()], "lang string, share long")
+    # a text's first piece keeps the text's hash; only pieces that are chosen are cut
+    rank = lambda part: F.pmod(F.when(part == 0, F.col("h")).otherwise(F.xxhash64(F.col("h"), part)), F.lit(1 << 30))
+    parts = F.filter(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / longest).cast("int")), lambda part: rank(part) < F.col("share"))
+    chosen = rows.join(shares, "lang").select("lang", "text", F.explode(parts).alias("part"))
+    picked = chosen.select("lang", F.substr("text", F.col("part") * longest + 1, F.lit(longest)).alias("text")).collect()
     texts: dict[str, set[str]] = {lang: set() for lang in totals}
     for r in picked:
         texts[r["lang"]].add(r["text"])
+    if missed := [lang for lang, found in texts.items() if not found]:  # a language of which nothing was chosen gives one first piece
+        first = rows.where(F.col("lang").isin(*missed)).groupBy("lang").agg(F.min_by(F.substr("text", F.lit(1), F.lit(longest)), F.struct(rank(F.lit(0)), "h")).alias("text"))
+        for r in first.collect():
+            texts[r["lang"]].add(r["text"])
     languages = sorted(texts)
     return Model(languages, [Tree.grow([t.encode("utf-8", "surrogatepass") for t in sorted(texts[x])]) for x in languages])
 

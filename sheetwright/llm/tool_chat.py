@@ -17,7 +17,7 @@ call's place; plain messages, of whatever role, keep (turn, 0).
 Validation: arguments are parsed as JSON values with their types.  ``string``, ``integer`` (a number without fraction and exponent),
 ``number`` and ``boolean`` must be just that; JSON null is missing; an object with a repeated name does not parse.
 
-Defined results: a null identifier links to nothing; null arguments count as ``{}``; JSON that does not parse, or is no
+Defined results: a null identifier links to nothing, nor does one in a conversation whose id is null; null arguments count as ``{}``; JSON that does not parse, or is no
 object, fails with ``not an object``; unknown tools fail with ``unknown tool``; rows that repeat are each a message; an empty table gives no message; other
 columns, whatever their names, are ignored.
 """
@@ -158,11 +158,11 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, Schema], scratch
     known = first.drop("after").join(place, keys, "left").join(answers, keys, "left").withColumn("weight", F.greatest(F.col("n"), F.coalesce("answers", F.lit(0))))
     known = known.select(F.struct("conv_id", "call_id").alias("key"), "first_turn", "first_json", "due", "level", F.coalesce("answers", F.lit(0)).alias("answers"), "weight")
     known = scratch.table(known, "known")
-    key = F.when(F.col("call_id").isNotNull(), F.struct("conv_id", "call_id"))
+    key = F.when(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull(), F.struct("conv_id", "call_id"))
     place_of = [F.coalesce("due", "first_turn", "turn").alias("due"), F.coalesce("level", F.lit(0)).cast("long").alias("level")]
     asked = look_up(made.withColumn("key", key), known, "key", "weight", made.count())
     own = F.coalesce((F.col("turn") == F.col("first_turn")) & (F.col("json") == F.col("first_json")), F.lit(False))
-    status = F.when(F.col("call_id").isNull(), "unanswered").when(~own, "repeated").when(F.col("answers") > 0, "linked").otherwise("unanswered")
+    status = F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "unanswered").when(~own, "repeated").when(F.col("answers") > 0, "linked").otherwise("unanswered")
     asked = asked.select("conv_id", "turn", F.lit("call").alias("kind"), "call_id", status.alias("status"), "errors", *place_of, "json")
     reply = canonical_json(content=json_text(F.col("content")), id=json_text(F.col("call_id")))
     told = look_up(results.select("conv_id", "turn", "call_id", "content").withColumn("key", key), known, "key", "weight", results.count())

@@ -81,6 +81,25 @@ def test_identify(spark):
     assert found[901].score == 0
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, "xx", 20_000), "xx") for i in range(8)] + [(100 + i, sentence(rng, "yy"), "yy") for i in range(22)]
+    assert min(len(t) for _, t, x in rows if x == "xx") > 1 << 16
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for budget in (1_500_000, 100_000, 1):  # whole texts, some pieces, and one piece at least
+        found = {r.doc_id: r.lang_pred for r in identify(frame, fit(frame, "lang", "text", "doc_id", budget), ["doc_id"]).collect()}
+        assert all(found[i] == x for i, _, x in rows)
+
+
+def test_six_hundred_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x3042 + i % 80)} " * 12, f"l{i:03}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(frame, "lang", "text", "doc_id")
+    assert len(model.languages) == 600
+    few = frame.where("doc_id % 60 = 0")
+    assert {r.doc_id: r.lang_pred for r in identify(few, model, ["doc_id"]).collect()} == {i: f"l{i:03}" for i in range(0, 600, 60)}
+
+
 def test_identify_without_labels_or_rows(spark):
     frame = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     model = fit(frame, "lang", "text", "doc_id")

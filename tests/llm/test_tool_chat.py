@@ -110,6 +110,13 @@ def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
         assert len(wrote) <= 45
 
 
+def test_null_conversations_link_to_nothing(spark):
+    calls = spark.createDataFrame([(None, 1, "c1", "sum", '{"x":1}', ["c2"], ""), (None, 1, "c1", "sum", '{"x":1}', [], ""), (2, 1, "c1", "sum", '{"x":1}', [], "")], CALLS)
+    results = spark.createDataFrame([(None, 2, "c1", "r", 0), (2, 2, "c1", "r", 0), (2, 3, None, "r", 0)], RESULTS)
+    rows = link(calls, results, TOOLS, Scratch(spark, "t")).collect()
+    assert sorted((r.conv_id or 0, r.kind, r.status, r.due) for r in rows) == [(0, "call", "unanswered", 1), (0, "call", "unanswered", 1), (0, "result", "orphan", 2), (2, "call", "linked", 1), (2, "result", "linked", 1), (2, "result", "orphan", 3)]
+
+
 def test_plain_messages(spark):
     said = spark.createDataFrame([(1, 0, "system", "be kind", 1), (1, 3, None, None, 2), (None, None, "tool", "", 3)], "conv_id long, turn long, role string, content string, json int")
     rows = link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), TOOLS, Scratch(spark, "t"), said).collect()
