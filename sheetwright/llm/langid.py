@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, small_batches
+from .common import HOT_KEYS, sliced, small_batches
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -194,7 +194,8 @@ def fit(labelled: DataFrame, lang_col: str, text_col: str, id_col: str, budget:
     # a text's first piece keeps the text's hash; only pieces that are chosen are cut
     rank = lambda part: F.pmod(F.when(part == 0, F.col("h")).otherwise(F.xxhash64(F.col("h"), part)), F.lit(1 << 30))
     parts = F.filter(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / longest).cast("int")), lambda part: rank(part) < F.col("share"))
-    chosen = rows.join(shares, "lang").select("lang", "text", F.explode(parts).alias("part"))
+    known = F.broadcast(shares) if len(totals) <= HOT_KEYS else shares  # a row a language; beyond that Spark decides
+    chosen = rows.join(known, "lang").select("lang", "text", F.explode(parts).alias("part"))
     picked = chosen.select("lang", F.substr("text", F.col("part") * longest + 1, F.lit(longest)).alias("text")).collect()
     texts: dict[str, set[str]] = {lang: set() for lang in totals}
     for r in picked:
