@@ -19,14 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import HOT_KEYS, Scratch, look_up
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 #: How many words of a language count as common, and the ranks that end their tiers.
 COMMON = 512
 TIERS = (4, 16, 64, 128, COMMON)
-MOST_LANGUAGES = 500
+#: So many languages, those with the most documents, have their common words in the plan; the words of the others are joined to their documents.
+NAMED = 64
 #: Characters by class, the most frequent first; what none of them matches is the last class.  Classes do not overlap.
 CLASSES = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"[.,;:?'\"()-]", r"[0-9]"]
 SYMBOLS = r"[#*$%&|<>]"
@@ -96,19 +97,14 @@ def character_counts(text: Column) -> Column:
     return rest(text, [], None)
 
 
-def common_words(docs: DataFrame, text_col: str, lang_col: str, most: int = COMMON) -> dict[str, list[str]]:
-    """The most frequent words of each language over all documents; of equally frequent ones the first by the alphabet."""
+def common_words(docs: DataFrame, text_col: str, lang_col: str, most: int = COMMON) -> DataFrame:
+    """(lang, best): the most frequent words of each language over all documents; of equally frequent ones the first by the alphabet."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # Words are counted in each task before any is moved, and tested for letters once they are counted.
     counted = rows.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").count().where(F.col("word").rlike(r"^\p{L}+$"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= most)
-    found: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in sorted(best.collect(), key=lambda r: r["r"]):
-        found[r["lang"]].append(r["word"])
-    return {k: v for k, v in found.items() if v}
+    listed = F.array_sort(F.collect_list(F.struct("r", "word")))  # at most ``most`` words
+    return best.groupBy("lang").agg(F.transform(listed, lambda x: x["word"]).alias("best"))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -131,10 +127,20 @@ def tier_counts(words: str, best: list[str]) -> str:
     return f"{made}array({', '.join(counts)})" + "), 1)" * len(TIERS)
 
 
-def histograms(docs: DataFrame, text_col: str, lang_col: str, words: dict[str, list[str]]) -> DataFrame:
-    """``docs`` with ``__classes__`` (characters by class), n_symbols and ``__found__`` (the language's common words by tier)."""
+def tiers_among(words: Column, best: Column) -> Column:
+    """The same for a column of best words."""
+    among = lambda named: F.size(F.filter(words, lambda w: F.array_contains(named, w)))
+    upto = [among(F.slice(best, 1, end)) for end in TIERS]
+    return F.array(*((n - upto[k - 1] if k else n).cast("double") for k, n in enumerate(upto)))
+
+
+def histograms(docs: DataFrame, text_col: str, lang_col: str, words: dict[str, list[str]], best_col: str | None = None) -> DataFrame:
+    """``docs`` with ``__classes__`` (characters by class), n_symbols and ``__found__`` (the language's common words by tier).
+
+    ``words`` are the named languages' common words, in order; ``best_col`` has those of a document's language, if it is another one.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = F.lit(None).cast("array<double>")
+    counts = F.when(F.col(best_col).isNotNull(), tiers_among(F.col("__lower__"), F.col(best_col))) if best_col else F.lit(None).cast("array<double>")
     for lang, best in words.items():
         counts = F.when(F.col(lang_col) == lang, F.expr(tier_counts("__lower__", best))).otherwise(counts)
     docs = docs.withColumns({"__chars__": character_counts(text), "__lower__": words_of(F.lower(text))}).withColumn("__found__", counts).drop("__lower__")
@@ -143,26 +149,37 @@ def histograms(docs: DataFrame, text_col: str, lang_col: str, words: dict[str, l
 
 def judge(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, the base counts, base_failed, kept, and the two distances."""
-    words = common_words(docs, text_col, lang_col)
-    lang = F.when(F.col("__lang__").isin(*words), F.col("__lang__")) if words else F.lit(None).cast("string")
+    common = scratch.table(common_words(docs, text_col, lang_col), "common")
+    langs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().join(common, "lang", "left_semi")
+    top = [r["lang"] for r in langs.orderBy(F.desc("count"), "lang").limit(NAMED).collect()]
+    words = {r["lang"]: r["best"] for r in common.where(F.col("lang").isin(*top)).collect()}
     rows = docs.select(F.col(id_col).alias("__id__"), F.col(text_col).alias("__text__"), F.col(lang_col).alias("__lang__"))
-    rows = histograms(base_features(rows, "__text__"), "__text__", "__lang__", words)
+    named = F.col("__lang__").isin(*words) if words else F.lit(False)
+    others = common.where(~F.col("lang").isin(*top)) if top else common
+    best_col = None if others.isEmpty() else "__best__"
+    if best_col:
+        rows = rows.join(others.select(F.col("lang").alias("__lang__"), F.col("best").alias(best_col)), "__lang__", "left")
+        named = named | F.col(best_col).isNotNull()
+    lang = F.when(named, F.col("__lang__"))
+    rows = histograms(base_features(rows, "__text__"), "__text__", "__lang__", words, best_col)
     rows = rows.select(
         F.col("__id__").alias("id"), lang.alias("lang"), "__base__.*", "n_symbols", "n_dup_lines", F.col("__classes__").alias("classes"), F.col("__found__").alias("found")
     )
     rows = scratch.table(rows, "features")
     n_classes, n_common = len(CLASSES) + 1, len(TIERS)
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("found", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    own = rows.groupBy("lang").agg(*sums, F.sum("n_words").cast("double").alias("w"))  # at most MOST_LANGUAGES + 1 rows
+    own = rows.groupBy("lang").agg(*sums, F.sum("n_words").cast("double").alias("w"), F.count(F.lit(1)).alias("n"))
     whole = own.agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes))).first()
     pooled = F.array(*(F.lit(x).cast("double") for x in whole))
     references = own.where("lang is not null").select(
         F.col("lang").alias("__lang__"),
         F.array(*(f"c{i}" for i in range(n_classes))).alias("ref_classes"),
         F.array_compact(F.array(*(f"w{i}" for i in range(n_common)))).cast("array<double>").alias("ref_found"),
-        F.col("w").alias("ref_words"),
+        F.col("w").alias("ref_words"), "n",
     )
-    joined = rows.join(F.broadcast(references), F.col("lang") == F.col("__lang__"), "left")
+    # a language that holds many of the rows is looked up apart
+    few = own.count() <= HOT_KEYS
+    joined = rows.join(F.broadcast(references), F.col("lang") == F.col("__lang__"), "left") if few else look_up(rows, references.withColumnRenamed("__lang__", "lang"), "lang", "n", rows.count())
     rest = lambda found, n: F.concat(found, F.array(F.greatest(n - F.aggregate(found, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
     chars = F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
     by_class = F.when(chars >= LEAST_CHARS, jensen_shannon(F.col("classes"), F.coalesce(F.col("ref_classes"), pooled)))

@@ -90,7 +90,7 @@ def test_common_words_are_those_of_all_documents(spark):
     frame = spark.createDataFrame([(t, "en") for t in texts] + [("null lang", None), (None, "en"), ("A, a", "de")], "text string, lang string")
     counts = Counter(w for t in texts for w in t.split() if w.isalpha())
     first = sorted(counts, key=lambda w: (-counts[w], w))
-    assert quality.common_words(frame, "text", "lang", most=30) == {"en": first[:30], "de": ["a"]}
+    assert {r.lang: r.best for r in quality.common_words(frame, "text", "lang", most=30).collect()} == {"en": first[:30], "de": ["a"]}
 
 
 def slow_judgement(docs):
@@ -143,8 +143,11 @@ def slow_judgement(docs):
     return out
 
 
-def test_judgement_against_a_slow_version(spark):
-    """The registered query's operator on a whole table, and documents of no language."""
+@pytest.mark.parametrize(("named", "hot"), [(64, 4096), (1, 0)])
+def test_judgement_against_a_slow_version(spark, monkeypatch, named, hot):
+    """The registered query's operator on a whole table, and documents of no language; also with joined words and references."""
+    monkeypatch.setattr(quality, "NAMED", named)
+    monkeypatch.setattr(quality, "HOT_KEYS", hot)
     rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(10_000 + i, t, None if i % 2 else "en") for i, (_, t, _) in enumerate(rows[:30])] + [(20_000, None, "en"), (20_001, "", None), (20_002, "zq" * 300 + " " + "vx kz " * 80, "en")]
     found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t")).collect()
@@ -154,3 +157,12 @@ def test_judgement_against_a_slow_version(spark):
         kept, by_class, by_word = want[r.doc_id]
         assert r.kept == kept
         assert (r.class_distance, r.word_distance) == (pytest.approx(by_class, abs=1e-9) if by_class is not None else None, pytest.approx(by_word, abs=1e-9) if by_word is not None else None)
+
+
+def test_six_hundred_languages(spark):
+    rows = [(i, " ".join(f"wort{'abcdefghij'[i % 10]}{'klmno'[j % 5]}" if j % 2 else f"eigen{'pqrstu'[i % 6]}" for j in range(60)) + f" l{i}", f"l{i:03}") for i in range(600)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t")).collect()}
+    want = slow_judgement(rows)
+    assert len(found) == 600
+    for i, (kept, by_class, by_word) in want.items():
+        assert found[i].kept == kept and found[i].class_distance == pytest.approx(by_class, abs=1e-9) and found[i].word_distance == pytest.approx(by_word, abs=1e-9)
