@@ -57,14 +57,38 @@ def family_of(question: Column) -> Column:
     return F.when(low.contains("tax"), "tax").when(low.contains("cost"), "cost").when(low.contains("sales"), "sales").otherwise("generic")
 
 
-def with_clause(question: Column, draw: Column, side: Column) -> Column:
-    """A question with a clause of its family before or after it."""
-    family, clause = family_of(question), F.lit(None).cast("string")
+def clause_of(family: Column, draw: Column) -> Column:
+    """A clause of a family, by a draw."""
+    clause = F.lit(None).cast("string")
     for name, clauses in CLAUSES.items():
         clause = F.when(family == name, pick(clauses, draw)).otherwise(clause)
+    return clause
+
+
+def beside(question: Column, clause: Column, side: Column) -> Column:
+    """A question with a clause before or after it."""
     return F.when(side < 0.5, F.concat(clause, F.lit(" "), question)).otherwise(F.concat(question, F.lit(" "), clause))
 
 
+def with_clause(question: Column, draw: Column, side: Column) -> Column:
+    """A question with a clause of its family before or after it."""
+    return beside(question, clause_of(family_of(question), draw), side)
+
+
+def matched_family(rows: DataFrame, key: str, families: dict[str, str]) -> DataFrame:
+    """(key, question, concept, score, family): the concept of a question's own expression that fits its words best, and its clauses.
+
+    ``rows`` has the key, question, concept and parent of each concept of an expression; ``families`` maps a parent to its clauses.
+    Ties go to the concept that sorts first; a question that no concept fits, and a parent without clauses, are ``generic``.
+    """
+    scored = rows.withColumn("score", concept_score(F.col("question"), F.col("concept")))
+    best = scored.groupBy(key, "question").agg(F.min_by(F.struct("concept", "score", "parent"), F.struct((-F.col("score")).alias("s"), "concept")).alias("best"))
+    routed = F.lit("generic")
+    for parent, family in families.items():
+        routed = F.when((F.col("best.score") > 0) & (F.col("best.parent") == parent), family).otherwise(routed)
+    return best.select(key, "question", "best.concept", "best.score", routed.alias("family"))
+
+
 def unit_prefix(question: Column, unit: Column) -> Column:
     return F.concat(F.lit("All amounts are given in "), unit, F.lit(". "), question)
 

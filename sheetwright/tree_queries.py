@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.prng import pick, rank_key, uniform
-from .operators import controller, quotas
-from .plans import binder, forest, meanings, nodes
+from .operators import controller, obstacles, quotas
+from .plans import binder, forest, meanings, nodes, sharing
 from .plans.expr import SALES, Derived, Growth, Leaf, Literal, Node, Over, to_json
 from .queries import ATOMS, draw_sql, query, rank_sql, sheet_of
 from .sources import star
@@ -150,6 +150,30 @@ def tree_turns(spark, d):
     return nodes.tree_turns(bound_nodes(spark, d, SHAPES), questions)
 
 
+@query(START + f"""{_forms_sql(SHAPES)}, {NODES_SQL}, {_values_sql()} select tree, round(v, 6) + 0 as value from valued where level = 0""")
+def shared_values(spark, d):
+    """The value of every tree, each different subtree evaluated once."""
+    return sharing.shared_values(nodes.node_table(forms(spark, d, SHAPES), "tree", "form", DEEPEST + 1), facts(spark, d))
+
+
+def _signatures_sql() -> str:
+    parts = []
+    for k in range(DEEPEST, -1, -1):
+        below = f"(select tree, above, list(sig order by slot) as kids, max(height) as highest from s{k + 1} group by 1, 2)" if k < DEEPEST else "(select tree, above, [''] as kids, 0 as highest from nodes where false)"
+        ordered = f"case when n.op in ({', '.join(repr(x) for x in sharing.UNORDERED)}) then list_sort(kids) else kids end"
+        parts.append(f"""s{k} as (select n.*, case when c.tree is null then 0 else c.highest + 1 end as height, md5(case when c.tree is not null then n.op || '(' || array_to_string({ordered}, ',') || ')' else coalesce('leaf ' || n.leaf, 'number ' || n.literal, 'nothing') end) as sig
+            from nodes n left join {below} c on c.tree = n.tree and c.above = n.path where n.level = {k})""")
+    return ", ".join(parts) + ", signed as (" + " union all ".join(f"select tree, sig, height from s{k}" for k in range(DEEPEST + 1)) + ")"
+
+
+@query(START + f"""{_forms_sql(SHAPES)}, {NODES_SQL}, {_signatures_sql()}, distinct_ as (select sig, any_value(height) as height, count(*) as uses from signed group by 1)
+    select cast(height as integer) as height, count(*) as subtrees, cast(sum(uses) as bigint) as uses, max(uses) as most from distinct_ group by 1""")
+def shared_subtrees(spark, d):
+    """How many different subtrees there are of each height, and how often they are used."""
+    signs = sharing.signatures(nodes.node_table(forms(spark, d, SHAPES), "tree", "form", DEEPEST + 1))
+    return sharing.different(signs).groupBy("height").agg(F.count(F.lit(1)).alias("subtrees"), F.sum("uses").alias("uses"), F.max("uses").alias("most"))
+
+
 # ---- what trees mean -------------------------------------------------------------------------------------------
 
 #: The shapes whose operations all have two operands.
@@ -298,3 +322,29 @@ def bound_trees(spark, d):
     known = star.atoms(sheet_of(spark, d)).where(uniform(122, F.col("key")) >= 0.1)
     templates = star.table(spark, d, "part").select(F.col("p_partkey").alias("tree"), pick(TEMPLATES, uniform(121, F.col("p_partkey"))).alias("form"))
     return binder.bind(templates, known, SALES, 123)
+
+
+# ---- clauses by the concepts of a question's own tree -----------------------------------------------------------
+
+_CLAUSE_SQL = "case family " + " ".join(f"when '{k}' then ({_quoted([c.replace(chr(39), chr(39) * 2) for c in v])})[1 + cast(floor({draw_sql(131, 'tree')} * {len(v)}) as integer)]" for k, v in obstacles.CLAUSES.items()) + " end"
+
+
+@query(START + f"""{_forms_sql(SHAPES)}, {NODES_SQL},
+    own as (select distinct n.tree, a.concept, a.parent_concept from nodes n join atoms a on a.key = n.leaf),
+    asked as (select tree, case when tree % 5 = 0 then 'What comes out?' else 'Regarding ' || string_agg(replace(concept, '_', case when tree % 2 = 0 then ' ' else ' of ' end), ' and ' order by concept) || ': what comes out?' end as question from own group by tree),
+    scored as (select o.tree, question, concept, parent_concept, lower(question) as low, string_split(concept, '_') as ws from own o join asked using (tree)),
+    hit as (select *, len(list_filter(ws, lambda x: contains(low, x))) as hits from scored),
+    ranked as (select tree, question, concept, parent_concept, case when contains(low, replace(concept, '_', ' ')) then 100 + length(concept) when hits = len(ws) then 50 + hits else hits end as score from hit),
+    best as (select tree, question, arg_min({{'concept': concept, 'family': parent_concept, 'score': score}}, {{'s': -score, 'c': concept}}) as b from ranked group by 1, 2),
+    routed as (select tree, question, b.concept as concept, cast(b.score as integer) as score, case when b.score = 0 then 'generic' when b.family in ('sales', 'cost') then b.family when b.family in ('deductions', 'rate') then 'tax' else 'generic' end as family from best)
+    select tree, concept, score, family, case when {draw_sql(132, 'tree')} < 0.5 then {_CLAUSE_SQL} || ' ' || question else question || ' ' || {_CLAUSE_SQL} end as question from routed""")
+def tree_clauses(spark, d):
+    """Each question with a clause of the family of that concept of its own tree that fits its words best."""
+    leaves = nodes.node_table(forms(spark, d, SHAPES), "tree", "form", DEEPEST + 1).where("leaf is not null").select("tree", F.col("leaf").alias("key"))
+    own = leaves.join(facts(spark, d).select("key", "concept", "parent"), "key").select("tree", "concept", "parent").distinct()
+    spaced = F.replace("concept", F.lit("_"), F.when(F.col("tree") % 2 == 0, " ").otherwise(" of "))
+    named = own.groupBy("tree").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept", spaced.alias("t")))), lambda x: x["t"]), " and ").alias("named"))  # a tree's concepts
+    asked = named.select("tree", F.when(F.col("tree") % 5 == 0, "What comes out?").otherwise(F.concat(F.lit("Regarding "), "named", F.lit(": what comes out?"))).alias("question"))
+    found = obstacles.matched_family(own.join(asked, "tree"), "tree", {"sales": "sales", "cost": "cost", "deductions": "tax", "rate": "tax"})
+    clause = obstacles.clause_of(F.col("family"), uniform(131, F.col("tree")))
+    return found.select("tree", "concept", "score", "family", obstacles.beside(F.col("question"), clause, uniform(132, F.col("tree"))).alias("question"))

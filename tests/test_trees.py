@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from sheetwright.plans import analyze, meanings, nodes
+from sheetwright.plans import analyze, meanings, nodes, sharing
 from sheetwright.plans.analyze import Fact, Rejected
 
 FACTS = "key string, value double, concept string, entity string, period string, semantic_type string, unit string, parent string, role string"
@@ -166,3 +166,17 @@ def test_leaves_of_each_question(spark):
     leaves = spark.createDataFrame([(1, "x", 5.0), (1, "y", 2.0), (2, "x", 9.0)], "q int, leaf_key string, value double")
     found = nodes.tree_values(nodes.leaf_rows(nodes.node_table(questions, "q", "f"), leaves, "q")).collect()
     assert {r.tree: r.value for r in found} == {1: 3.0, 2: 9.0}
+
+
+def test_equal_subtrees_are_one(spark, forest):
+    trees, facts, questions, made = forest
+    table = spark.createDataFrame(list(facts.values()), FACTS)
+    plain_nodes = nodes.node_table(questions, "question_id", "form")
+    for r in sharing.shared_values(plain_nodes, table).collect():
+        assert r.value == pytest.approx(value_of(trees[r.tree], facts), abs=1e-6)
+    signs = sharing.signatures(plain_nodes)
+    shared = sharing.different(signs)
+    assert shared.count() < signs.count() == plain_nodes.count()
+    two = spark.createDataFrame([(1, '{"op": "sum", "left": {"leaf": "a"}, "right": {"literal": 2}}'), (2, '{"op": "sum", "left": {"literal": 2.0}, "right": {"leaf": "a"}}'), (3, '{"op": "diff", "left": {"leaf": "a"}, "right": {"literal": 2}}'), (4, '{"op": "diff", "left": {"literal": 2}, "right": {"leaf": "a"}}')], "k int, f string")
+    roots = {r.tree: r.sig for r in sharing.signatures(nodes.node_table(two, "k", "f")).where("root").collect()}
+    assert roots[1] == roots[2] and len(set(roots.values())) == 3
