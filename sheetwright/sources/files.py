@@ -20,7 +20,8 @@ def read_sheet_csv(spark: SparkSession, path: str, schema: str | T.StructType |
 
 def read_records_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON array of records, or JSON lines; fields outside a given schema are dropped."""
-    reader = spark.read.option("multiLine", True)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    reader = spark.read.option("multiLine", first is not None and first[0].lstrip().startswith("["))
     records = (reader.schema(schema) if schema else reader).json(path)
     if "_corrupt_record" in records.columns or not records.columns:
         raise ValueError(f"{path} is not an array of records")
@@ -45,6 +46,10 @@ def lex_value(text: Column) -> Column:
     return F.struct(whole.alias("integer"), real.alias("real"), F.when(whole.isNull() & real.isNull(), text).alias("text"))
 
 
+#: A comma outside quotes.
+CELLS = r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+
+
 def parse_statement_lines(lines: DataFrame) -> DataFrame:
     """Cells of sectioned statements: (path, metric, year, number, text) from lines (path, line_no, line).
 
@@ -56,9 +61,13 @@ def parse_statement_lines(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("line_no")
     blank = F.trim(F.regexp_replace("line", ",", "")) == ""
     rows = lines.withColumns({"blank": blank, "block": F.sum(F.when(blank, 1).otherwise(0)).over(order)}).where(~F.col("blank"))
-    rows = rows.withColumn("cells", F.split("line", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
+    rows = rows.withColumn("cells", F.split("line", CELLS))
     in_block = Window.partitionBy("path", "block").orderBy("line_no")
-    rows = rows.withColumns({"header": F.first("cells").over(in_block), "nth": F.row_number().over(in_block)}).where("nth > 1")
+    return _cells(rows.withColumns({"header": F.first("cells").over(in_block), "nth": F.row_number().over(in_block)}).where("nth > 1"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The cells of metric rows (path, cells, header)."""
     cells = rows.select("path", F.trim(F.get("cells", F.lit(0))).alias("metric"), "header", F.posexplode("cells").alias("at", "cell")).where("at > 0")
     cell = F.regexp_replace(F.trim("cell"), '^"|"$', "")
     number, text = lex_number(cell)
@@ -67,6 +76,38 @@ def parse_statement_lines(lines: DataFrame) -> DataFrame:
     return cells.select("path", F.btrim(label, F.lit("_")).alias("metric"), F.when(year != "", year).alias("year"), number.alias("number"), text.alias("text"))
 
 
+def statement_splits(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as Spark splits them: (path, split, at, line); ``at`` puts a split's lines in order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    return lines.withColumn("at", F.monotonically_increasing_id())
+
+
+def parse_statement_splits(lines: DataFrame) -> DataFrame:
+    """The same cells as ``parse_statement_lines``, from lines in splits (path, split, at, line).
+
+    A row is a header if the line before it is blank, or if it is a file's first.  Within a split that is seen at once.  What a split
+    needs of those before it, whether the last line was blank and which header was the last, comes from one row a split; so a file is
+    parsed by as many tasks as it has splits, and only those rows are put in order as a whole.
+    """
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("path", "split").orderBy("at")
+    blank = F.trim(F.regexp_replace("line", ",", "")) == ""
+    rows = lines.withColumns({"blank": blank, "cells": F.split("line", CELLS), "before": F.lag(blank).over(own)})
+    rows = rows.withColumn("opens", F.when(~F.col("blank") & F.col("before"), F.col("cells")))  # the first line of a split is told later
+    head = F.struct("at", "blank", "cells")
+    splits = rows.groupBy("path", "split").agg(F.min_by(head, "at").alias("first"), F.max_by("blank", "at").alias("ends_blank"), F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("at"))).alias("last_header"))
+    order = Window.partitionBy("path").orderBy("split")
+    splits = splits.withColumn("starts", ~F.col("first.blank") & F.coalesce(F.lag("ends_blank").over(order), F.lit(True)))
+    splits = splits.withColumn("leaves", F.coalesce("last_header", F.when(F.col("starts"), F.col("first.cells"))))
+    splits = splits.select("path", "split", F.col("first.at").alias("first_at"), "starts", F.last("leaves", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.join(splits, ["path", "split"])
+    is_first = F.col("at") == F.col("first_at")
+    opens = F.when(is_first, F.when(F.col("starts"), F.col("cells"))).otherwise(F.col("opens"))
+    rows = rows.withColumn("opens", opens).withColumn("header", F.coalesce(F.last("opens", ignorenulls=True).over(own), "carried"))
+    return _cells(rows.where("not blank and opens is null"))
+
+
 def statement_records(cells: DataFrame) -> DataFrame:
     """One row a statement: a map from ``metric_year`` (or the field's name) to the cell's text."""
     name = F.concat_ws("_", "metric", "year")
@@ -75,9 +116,69 @@ def statement_records(cells: DataFrame) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Sectioned statement CSV files to cells; lines are numbered within a file, whose size bounds the group."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return parse_statement_lines(text)
+    """Sectioned statement CSV files to cells, a task a split, whatever a file's size."""
+    return parse_statement_splits(statement_splits(spark, path))
+
+
+#: What a question table must have, and the types of what it may have.
+QUESTION = {"question": "string", "answer": "string"}
+OPTIONAL = {"question_id": "string", "depth": "int", "expression_json": "string", "result_type": "string"}
+LEAF = ("key", "label", "entity", "period", "value")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions from CSV with a header or JSON, by the path's ending: QUESTION and OPTIONAL columns, ``number`` and ``leaves``.
+
+    A missing question or answer column is an error; a missing id is a hash of the question, and other missing columns are NULL.
+    ``number`` is the answer as a number, where it is one.  ``leaves`` are the leaf_1_key, .. columns; blank slots are skipped, a missing label
+    is the key's words.
+    """
+    rows = read_records_json(spark, path) if path.rstrip("/").endswith(("json", "jsonl")) else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if missing := [c for c in QUESTION if c not in rows.columns]:
+        raise ValueError(f"{path} has no {' and no '.join(missing)}")
+    made = {c: F.col(c).cast(t) for c, t in QUESTION.items()} | {c: (F.col(c).try_cast(t) if c in rows.columns else F.lit(None).cast(t)) for c, t in OPTIONAL.items()}
+    made["question_id"] = F.coalesce(made["question_id"], F.md5("question"))
+    slots = sorted(int(c.split("_")[1]) for c in rows.columns if c.startswith("leaf_") and c.endswith("_key"))
+    field = lambda j, f: (F.col(f"leaf_{j}_{f}") if f"leaf_{j}_{f}" in rows.columns else F.lit(None)).cast("string")
+    label = lambda j: F.coalesce(F.when(field(j, "label") != "", field(j, "label")), F.replace(field(j, "key"), F.lit("_"), F.lit(" ")))
+    leaf = lambda j: F.struct(field(j, "key").alias("key"), label(j).alias("label"), *(field(j, f).alias(f) for f in LEAF[2:4]), field(j, "value").try_cast("double").alias("value"))
+    leaves = F.filter(F.array(*map(leaf, slots)), lambda x: x["key"] != "") if slots else F.array().cast("array<struct<key: string, label: string, entity: string, period: string, value: double>>")
+    return rows.select(*(v.alias(c) for c, v in made.items()), lex_number(F.col("answer"))[0].alias("number"), leaves.alias("leaves"))
+
+
+def with_errors(scored: DataFrame, predicted: str = "predicted", truth: str = "ground_truth", tolerance: float = 0.05) -> DataFrame:
+    """Scored rows with ``relative_error``, NULL where the truth is 0 or a side is missing, and ``within_tolerance``, false there."""
+    error = F.abs(F.try_divide(F.col(predicted).cast("double") - F.col(truth).cast("double"), F.col(truth).cast("double")))
+    return scored.withColumns({"relative_error": F.round(error, 6), "within_tolerance": F.coalesce(error <= tolerance, F.lit(False))})
+
+
+def write_evaluation_csv(scored: DataFrame, path: str, predicted: str = "predicted", truth: str = "ground_truth", tolerance: float = 0.05) -> None:
+    """Scored rows with their errors, as CSV with a header, the errors last."""
+    with_errors(scored, predicted, truth, tolerance).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def column_schema(sheet: DataFrame, ordinal: dict[str, list[str]] | None = None, keys: tuple[str, ...] = ("company_name", "ticker")) -> list[dict]:
+    """A sheet's columns as records: name, type (identifier, ordinal, numeric or categorical), base name, year, and an ordinal's levels."""
+    import re
+
+    out = []
+    for name, kind in sheet.dtypes:
+        year = re.fullmatch(r"(.+)_(\d{4})", name)
+        numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+        type_ = "identifier" if name in keys else "ordinal" if name in (ordinal or {}) else "numeric" if numeric else "categorical"
+        out.append({"name": name, "type": type_, "base_name": year[1] if year else name, "year": int(year[2]) if year else None, "levels": (ordinal or {}).get(name)})
+    return out
+
+
+def write_schema_json(sheet: DataFrame, path: str, ordinal: dict[str, list[str]] | None = None) -> None:
+    """The schema as JSON lines, one a column, in the order of the columns."""
+    kinds = "name string, type string, base_name string, year int, levels array<string>"
+    sheet.sparkSession.createDataFrame(column_schema(sheet, ordinal), kinds).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def questions_to_json(spark: SparkSession, source: str, path: str, slots: int = 9) -> None:
+    """A CSV of questions as JSON, all fields as text, with at least ``slots`` leaf slots."""
+    write_records_json(wide_leaves(read_questions(spark, source).drop("number"), slots), path)
 
 
 def write_sheet_csv(sheet: DataFrame, path: str) -> None:
