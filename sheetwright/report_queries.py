@@ -8,7 +8,8 @@ from .functions.prng import uniform
 from .functions.ranges import RATIO_COLUMNS, scale_ranges
 from .operators import catalog, corrupt, notes, obstacles, quotas, scoring, turns, typed
 from .plans import levels, render
-from .plans.expr import Leaf, Node
+from .plans.binder import mixes_flows
+from .plans.expr import ANNUAL, Compiler, Leaf, Node
 from .queries import ATOMS, COLUMN_SQL, LOOKS_SQL, SHEET, USED_SQL, draw_sql, query, rank_sql, schema_columns, sheet_of, used_keys
 from .sources import files, generate, star
 
@@ -502,3 +503,44 @@ def generated_companies(spark, d):
 @query(_companies_sql(8, 1e6))
 def generated_big_companies(spark, d):
     return generate.annual_companies(spark, numbers(spark, d), 8, 1e6)
+
+
+@query(_companies_sql(7, 1.0).replace("with c0 as", "with made as (with c0 as", 1) + """), a as (select *, revenue - cost_of_goods_sold as gross_profit, cash + accounts_receivable + inventories + short_term_investments as current_assets from made),
+    b as (select *, gross_profit - operating_expenses as operating_income from a), c as (select *, operating_income - non_operating_expenses as pretax_income from b)
+    select company_name, year, gross_profit::double as gross_profit, operating_income::double as operating_income, pretax_income::double as pretax_income, round(pretax_income * income_tax, 4) as income_tax_expense, round(pretax_income - pretax_income * income_tax, 4) as net_income,
+           current_assets::double as current_assets, (total_assets - current_assets)::double as longterm_assets, (total_liabilities - current_liabilities)::double as longterm_liabilities from c""")
+def derived_annual(spark, d):
+    """The eight derived measures of the annual sheet, for a synthetic company of each supplier."""
+    sheet = Compiler(ANNUAL, "company_name", "year").derive(generate.annual_companies(spark, numbers(spark, d), 7))
+    return sheet.select("company_name", "year", *(F.round(c, 4).alias(c) for c in ANNUAL))
+
+
+@query(f"""with {SHEET}, r as (select entity, period, case period % 3 when 0 then null when 1 then taxes * 1.03 else taxes * 0.5 end as predicted, case when period % 5 = 0 then 0.0 else taxes end as truth from sheet)
+    select entity, period, round(abs((predicted - truth) / nullif(truth, 0)), 6) as relative_error, coalesce(abs((predicted - truth) / nullif(truth, 0)) <= 0.05, false) as within_tolerance from r""")
+def evaluation_errors(spark, d):
+    """Relative errors of predictions, none where the truth is 0 or a prediction is missing."""
+    k = F.col("period") % 3
+    predicted = F.when(k == 1, F.col("taxes") * 1.03).when(k == 2, F.col("taxes") * 0.5)
+    rows = sheet_of(spark, d).select("entity", "period", predicted.alias("predicted"), F.when(F.col("period") % 5 == 0, 0.0).otherwise(F.col("taxes")).alias("ground_truth"))
+    return files.with_errors(rows).select("entity", "period", "relative_error", "within_tolerance")
+
+
+@query("""with r as (select o_orderkey, (['Answer: TRUE', 'I think so. Answer: false.', 'Answer: True;', 'no answer', 'Answer: 12'])[1 + o_orderkey % 5] as response from orders)
+    select o_orderkey, case o_orderkey % 5 when 0 then true when 1 then false when 2 then true end as truth, case o_orderkey % 5 when 4 then 12.0 end as number from r""")
+def truth_answers(spark, d):
+    """Answers that are true or false, whatever their case and what trails them."""
+    said = F.array(*map(F.lit, ["Answer: TRUE", "I think so. Answer: false.", "Answer: True;", "no answer", "Answer: 12"]))
+    number, truth = scoring.parse_first(F.get(said, (F.col("o_orderkey") % 5).cast("int")))
+    return star.table(spark, d, "orders").select("o_orderkey", truth.alias("truth"), number.alias("number"))
+
+
+LABELS = ["Three Months Ended June 30, 2024", "Three Months Ended June 30, 2023", "Three Months Ended March 31, 2024", "Six Months Ended June 30, 2024", "June 30, 2024", "December 31, 2023"]
+
+
+@query("""with r as (select o_orderkey, (['three_6', 'three_6', 'three_3', 'six_6', null, null])[1 + o_orderkey % 6] as a, (['three_6', 'three_6', 'three_3', 'six_6', null, null])[1 + o_orderkey // 6 % 6] as b from orders)
+    select o_orderkey, coalesce(a <> b, false) as mixed from r""")
+def mixed_flows(spark, d):
+    """Whether two labels are flows that don't go together; instants go with any."""
+    key, labels = F.col("o_orderkey"), F.array(*map(F.lit, LABELS))
+    periods = F.array(F.get(labels, (key % 6).cast("int")), F.get(labels, (F.floor(key / 6) % 6).cast("int")))
+    return star.table(spark, d, "orders").select("o_orderkey", mixes_flows(periods).alias("mixed"))
