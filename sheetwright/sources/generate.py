@@ -50,6 +50,48 @@ PROFILES = {
 }
 
 
+#: Lines that a filing's totals are broken down into: those of every industry, and each industry's own, own wordings.
+COMMON_LINES = {
+    "operating_expenses": ["General and administrative"], "total_assets": ["Cash", "Receivables", "Property and equipment"], "total_liabilities": ["Payables", "Borrowings"],
+    "operating_cash": ["Net income", "Depreciation and amortization"],
+}
+INDUSTRY_LINES = {
+    "tech": {"operating_expenses": ["Research", "Selling"], "total_assets": ["Capitalized software"], "total_liabilities": ["Unearned subscriptions"], "operating_cash": ["Stock awards"]},
+    "retail": {"operating_expenses": ["Store payroll", "Advertising"], "total_assets": ["Merchandise"], "total_liabilities": ["Gift cards outstanding", "Store leases"], "operating_cash": ["Merchandise purchases"]},
+    "pharma": {"operating_expenses": ["Clinical trials", "Selling"], "total_assets": ["Acquired compounds"], "total_liabilities": ["Milestones owed"], "operating_cash": ["Rebate accruals"]},
+    "energy": {"operating_expenses": ["Exploration", "Depletion"], "total_assets": ["Reserves"], "total_liabilities": ["Well retirement"], "operating_cash": ["Dry holes"]},
+    "airline": {"operating_expenses": ["Crew pay", "Jet fuel", "Airport fees"], "total_assets": ["Aircraft", "Route rights"], "total_liabilities": ["Tickets sold ahead", "Mileage owed"], "operating_cash": ["Tickets sold ahead"]},
+    "wholesale": {"operating_expenses": ["Warehousing", "Freight out"], "total_assets": ["Goods for resale"], "total_liabilities": ["Vendor financing"], "operating_cash": ["Goods for resale"]},
+    "manufacturing": {"operating_expenses": ["Plant overhead", "Selling"], "total_assets": ["Raw materials", "Work in process"], "total_liabilities": ["Product warranty"], "operating_cash": ["Raw materials"]},
+    "finance": {"operating_expenses": ["Credit losses", "Branch costs"], "total_assets": ["Loans", "Securities"], "total_liabilities": ["Deposits"], "operating_cash": ["Credit losses"]},
+    "healthcare": {"operating_expenses": ["Clinical salaries", "Supplies"], "total_assets": ["Medical equipment"], "total_liabilities": ["Malpractice reserve"], "operating_cash": ["Patient accounts"]},
+    "construction": {"operating_expenses": ["Site overhead", "Bonding"], "total_assets": ["Unbilled contracts"], "total_liabilities": ["Billings ahead of work"], "operating_cash": ["Unbilled contracts"]},
+    "professional_services": {"operating_expenses": ["Consultant pay", "Travel"], "total_assets": ["Unbilled hours"], "total_liabilities": ["Bonuses owed"], "operating_cash": ["Unbilled hours"]},
+    "information": {"operating_expenses": ["Content costs", "Network operations"], "total_assets": ["Content rights"], "total_liabilities": ["Royalties owed"], "operating_cash": ["Content spending"]},
+}
+#: The map that holds a total's lines, and what their concepts begin with.
+BREAKDOWNS = {"operating_expenses": ("operating_lines", "opx_"), "total_assets": ("asset_lines", "ast_"), "total_liabilities": ("liability_lines", "lia_"), "operating_cash": ("cash_lines", "ocf_")}
+
+
+def with_breakdowns(filings: DataFrame, seed: int = 1) -> DataFrame:
+    """Filings with their totals broken down into lines of their industry: the maps of BREAKDOWNS, which add up to the totals.
+
+    Shares are draws; the last line takes what rounding leaves.
+    """
+    for total, (column, _) in BREAKDOWNS.items():
+        names = F.lit(None).cast("array<string>")
+        for industry, lines in INDUSTRY_LINES.items():
+            names = F.when(F.col("industry") == industry, F.array(*map(F.lit, [*lines[total], *COMMON_LINES[total]]))).otherwise(names)
+        weights = F.transform(names, lambda n: between(0.2, 1.2, seed + 60, F.col("id"), n))
+        rows = filings.withColumns({"__names__": names, "__weights__": weights})
+        all_of = F.aggregate("__weights__", F.lit(0.0), lambda a, x: a + x)
+        parts = F.transform(F.slice("__weights__", 1, F.size("__weights__") - 1), lambda w: F.round(F.col(total) * w / all_of, 2))
+        rows = rows.withColumn("__parts__", parts)
+        rest = F.round(F.col(total) - F.aggregate("__parts__", F.lit(0.0), lambda a, x: a + x), 2)
+        filings = rows.withColumn(column, F.map_from_arrays("__names__", F.concat("__parts__", F.array(rest)))).drop("__names__", "__weights__", "__parts__")
+    return filings
+
+
 def quarterly_filings(spark: SparkSession, filings: int, seed: int = 1, year: int = 2025) -> DataFrame:
     """One row a filing: breakdown maps, derived totals, balance and cash, prior-year figures by scaling, dates."""
     names = F.array(*map(F.lit, PROFILES))
@@ -81,7 +123,7 @@ def quarterly_filings(spark: SparkSession, filings: int, seed: int = 1, year: in
     words = F.element_at(F.array(F.lit("Three"), F.lit("Six"), F.lit("Nine")), F.col("quarter"))
     rows = rows.withColumns({"closing_cash": F.col("opening_cash") + F.col("net_change"), "prior_revenues": whole(F.col("total_revenues") / between(1.0, 1.2, seed + 9, who)), "period_end": ends})
     label = lambda w: F.concat(w, F.lit(" Months Ended "), F.date_format("period_end", "MMMM d, yyyy"))
-    return rows.withColumns({"quarter_label": label(F.lit("Three")), "ytd_label": label(words), "ytd_revenues": whole(F.col("total_revenues") * F.col("quarter")), "instant_label": F.date_format("period_end", "MMMM d, yyyy")}).drop("scale", "cost_share", "share", "tax", "sells", "dilution")
+    return rows.withColumns({"quarter_label": label(F.lit("Three")), "ytd_label": label(words), "ytd_revenues": whole(F.col("total_revenues") * F.col("quarter")), "instant_label": F.date_format("period_end", "MMMM d, yyyy")}).drop("scale", "cost_share", "share", "tax", "sells", "dilution").transform(with_breakdowns, seed)
 
 
 def map_total(column: str) -> Column:
@@ -123,7 +165,9 @@ def filing_facts(filings: DataFrame) -> DataFrame:
     )
     so_far = F.struct(F.lit("total_revenues").alias("concept"), F.col("ytd_label").alias("period"), F.lit("ytd").alias("period_type"), F.when(F.col("quarter") > 1, F.col("ytd_revenues")).alias("value"))
     lines = lambda m, prefix: F.transform(F.map_entries(m), lambda e: F.struct(F.concat(F.lit(prefix), snake_case(e["key"])).alias("concept"), F.col("quarter_label").alias("period"), F.lit("quarter").alias("period_type"), e["value"].alias("value")))
-    facts = filings.select(F.col("id").alias("entity"), F.inline(F.concat(fixed, F.array(so_far), lines("revenues", "rev_"), lines("costs", "cos_")))).where("value is not null")
+    balances = lambda m, prefix: F.transform(lines(m, prefix), lambda x: x.withField("period", F.col("instant_label")).withField("period_type", F.lit("instant")))
+    broken = [balances(c, prefix) if total in ("total_assets", "total_liabilities") else lines(c, prefix) for total, (c, prefix) in BREAKDOWNS.items() if c in filings.columns]
+    facts = filings.select(F.col("id").alias("entity"), F.inline(F.concat(fixed, F.array(so_far), lines("revenues", "rev_"), lines("costs", "cos_"), *broken))).where("value is not null")
     return facts.withColumns({"key": F.concat_ws("_", F.col("entity").cast("string"), "concept", "period_type"), "unit": F.lit("M_USD")})
 
 
@@ -133,6 +177,7 @@ def filing_checks(filings: DataFrame, tolerance: float = 1.0) -> DataFrame:
     cash = F.abs(F.col("closing_cash") - F.col("opening_cash") - F.col("net_change"))
     earnings = F.abs(F.col("eps_basic") * F.col("shares_basic") - F.col("net_income"))
     found = {"balances": balance <= tolerance, "reconciles": cash <= tolerance, "earns": earnings <= tolerance, "dilutes": F.col("shares_diluted") >= F.col("shares_basic")}
+    found |= {f"adds_up_{total}": F.abs(map_total(c) - F.col(total)) <= tolerance for total, (c, _) in BREAKDOWNS.items() if c in filings.columns}
     return filings.select("id", *(v.alias(k) for k, v in found.items())).where(f"not ({' and '.join(found)})")
 
 
@@ -150,6 +195,7 @@ def report_document(filings: DataFrame) -> DataFrame:
     section = lambda lines: F.struct(*(F.col(c).alias(c) for c in lines))
     statement = lambda parts: F.struct(*(section(lines).alias(name) for name, lines in parts.items()))
     head = ["ticker", "industry", "quarter", F.col("period_end").cast("string").alias("period_end")]
+    head += [F.struct(*(c for c, _ in BREAKDOWNS.values() if c in filings.columns)).alias("breakdowns")] if "asset_lines" in filings.columns else []
     return filings.select("id", F.to_json(F.struct(*head, *(statement(parts).alias(name) for name, parts in STATEMENTS.items()))).alias("document"))
 
 

@@ -168,6 +168,24 @@ def test_filings_of_twelve_industries(spark):
     assert [x for x in text.split("\n") if not x.startswith(" ")] == ["Operations", "Balance sheet", "Cash flows", "Shareholders equity"] and "Gross profit" not in text
 
 
+def test_breakdowns_by_industry(spark):
+    rows = generate.quarterly_filings(spark, 300).cache()
+    for r in rows.collect():
+        for total, (column, _) in generate.BREAKDOWNS.items():
+            own = getattr(r, column)
+            assert set(own) == {*generate.INDUSTRY_LINES[r.industry][total], *generate.COMMON_LINES[total]}
+            assert sum(own.values()) == pytest.approx(getattr(r, total), abs=0.01)
+    assert set(generate.INDUSTRY_LINES) == set(generate.PROFILES)
+    assert generate.filing_checks(rows.withColumn("total_assets", F.col("total_assets") + 2).withColumn("total_equity", F.col("total_equity") + 2)).count() == 300
+    facts = generate.filing_facts(rows)
+    kinds = {(r.concept, r.period_type) for r in facts.select("concept", "period_type").distinct().collect()}
+    assert {("opx_jet_fuel", "quarter"), ("ast_loans", "instant"), ("lia_deposits", "instant"), ("ocf_dry_holes", "quarter")} <= kinds
+    assert facts.where("concept = 'opx_jet_fuel'").count() == rows.where("industry = 'airline'").count()
+    assert facts.count() == facts.select("key").distinct().count()
+    document = json.loads(generate.report_document(rows.where("industry = 'finance'").limit(1)).first().document)
+    assert set(document["breakdowns"]["liability_lines"]) == {"Deposits", "Payables", "Borrowings"}
+
+
 def test_obstacle_names():
     assert obstacles.check_obstacles(["negation", "useless_info", "big_numbers"]) == ["useless_info", "negation"]
     assert obstacles.check_obstacles(["combined_all"]) == list(obstacles.REWORDINGS)
