@@ -109,3 +109,8 @@ def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def same_answers(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a)) == F.lower(F.trim(b))
+
+
+def kept_traces(rows: DataFrame, predicted: str, truth: str, tolerance: float) -> DataFrame:
+    """The rows whose answer is right, with their traces; a trace of a wrong or missing answer is not kept."""
+    return rows.where(correct(F.col(predicted), F.col(truth), tolerance))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prng import pick, uniform
 from .expr import Concept, Derived, canonical, expand, sum_terms
+from .sharing import cut
 
 ROW = {"path": "string", "want": "string", "budget": "int", "windows": "boolean", "open": "boolean", "op": "string", "concept": "string", "derived": "string"}
 #: First attempts of the batches; the last is the number of attempts.
@@ -155,7 +156,7 @@ def sample_trees(
         raise ValueError("bad depths or share")
     left, found = trees.select("tree"), None
     for first, end in zip(BATCHES, BATCHES[1:], strict=False):
-        own = attempts(left, first, end, seed, depths, amounts, rates, registry, balanced, require_derived, derived_share, stop)
+        own = cut(attempts(left, first, end, seed, depths, amounts, rates, registry, balanced, require_derived, derived_share, stop))  # the next batch does not repeat this one
         found = own if found is None else found.unionByName(own)
         left = left.join(own.select("tree"), "tree", "left_anti")
     if not distinct:

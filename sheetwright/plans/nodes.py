@@ -150,10 +150,10 @@ def tree_turns(nodes: DataFrame, questions: DataFrame, key: str = "question_id",
     expansion asks for its name, and others by their operation, first and last year.  A turn about no year has no text.
     """
     trees = tree_arrays(nodes).withColumn("values", evaluated(F.col("nodes")))
-    about = F.transform("nodes", lambda x: F.struct(x.alias("node"), facts_below(F.col("nodes"), x).alias("about")))
-    paired = F.zip_with(about, F.col("values"), lambda x, v: F.struct(x["node"].alias("node"), x["about"].alias("about"), v.alias("value")))
+    paired = F.zip_with("nodes", F.col("values"), lambda x, v: F.struct(x.alias("node"), v.alias("value")))
     nested = lambda n: n["op"].isin("min", "max") & n["parent_op"].eqNullSafe(n["op"])
     asked = F.filter(paired, lambda x: (x["node"]["arity"] > 0) & ~nested(x["node"]))
+    asked = F.transform(asked, lambda x: F.struct(x["node"].alias("node"), facts_below(F.col("nodes"), x["node"]).alias("about"), x["value"].alias("value")))
     rows = trees.select("tree", F.posexplode(asked).alias("at", "x")).withColumnRenamed("tree", key)
     node, years = F.col("x.node"), F.col("x.about.years")
     words = F.create_map(*(F.lit(t) for pair in WORDS.items() for t in pair))

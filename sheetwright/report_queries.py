@@ -544,3 +544,36 @@ def mixed_flows(spark, d):
     key, labels = F.col("o_orderkey"), F.array(*map(F.lit, LABELS))
     periods = F.array(F.get(labels, (key % 6).cast("int")), F.get(labels, (F.floor(key / 6) % 6).cast("int")))
     return star.table(spark, d, "orders").select("o_orderkey", mixes_flows(periods).alias("mixed"))
+
+
+ASKED_CONCEPTS = {"balance": ("amount", "USD", "balance", "component"), "orders": ("count", "orders", "volume", None)}
+
+
+@query("""with s as (select c_custkey, case when c_custkey % 3 = 0 then null else c_name end as company_name, case when c_custkey % 2 = 0 then '' else 'C' || c_custkey end as ticker, 'customer ' || c_custkey as entity,
+        cast(1990 + c_custkey % 9 as varchar) as period, case when c_custkey % 7 = 0 then 'n/a' else '$' || cast(cast(c_acctbal as decimal(12,2)) as varchar) end as balance, cast(c_nationkey as varchar) as orders from customer),
+    e as (select *, coalesce(company_name, nullif(ticker, ''), entity) as who from s)
+    select who || '_' || period || '_balance' as key, who as entity, period, 'balance' as concept, try_cast(replace(balance, '$', '') as double) as value, 'amount' as semantic_type, 'component' as role from e where try_cast(replace(balance, '$', '') as double) is not null
+    union all select who || '_' || period || '_orders', who, period, 'orders', cast(orders as double), 'count', null from e""")
+def atoms_named(spark, d):
+    """Facts of customers that are named by name, else by ticker, else by entity."""
+    key = F.col("c_custkey")
+    sheet = star.table(spark, d, "customer").select(
+        F.when(key % 3 != 0, F.col("c_name")).alias("company_name"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("C"), key.cast("string"))).alias("ticker"), F.concat(F.lit("customer "), key.cast("string")).alias("entity"),
+        (key % 9 + 1990).alias("year"), F.when(key % 7 == 0, "n/a").otherwise(F.concat(F.lit("$"), F.col("c_acctbal").cast("decimal(12,2)").cast("string"))).alias("balance"), F.col("c_nationkey").cast("string").alias("orders"),
+    )
+    return star.atomize(sheet, ASKED_CONCEPTS).select("key", "entity", "period", "concept", "value", "semantic_type", "role")
+
+
+KEPT_SQL = draw_sql(141, "entity", "period", "'trace'")
+
+
+@query(f"""with {SHEET}, t as (select entity, period, 'list_sales(' || {text_sql('list_sales')} || ') - taxes(' || {text_sql('taxes')} || ') = ' || {text_sql('round(list_sales - taxes, 2)')} as trace, list_sales - taxes as truth, (list_sales - taxes) * case when {KEPT_SQL} < 0.6 then 1.01 else 1.5 end as said from sheet)
+    select entity, period, trace from t where abs(said - truth) <= 0.05 * abs(truth)""")
+def traces_kept(spark, d):
+    """Traces of computations whose answers were right; the others are dropped."""
+    a, b = F.col("list_sales"), F.col("taxes")
+    factor = F.when(uniform(141, F.col("entity"), F.col("period"), F.lit("trace")) < 0.6, 1.01).otherwise(1.5)
+    text = F.round(a - b, 2).cast("decimal(38,2)").cast("string")
+    made = render.trace("subtract", F.lit("list_sales"), corrupt.cell_text(a), F.lit("taxes"), corrupt.cell_text(b), text)
+    rows = sheet_of(spark, d).select("entity", "period", made.alias("trace"), (a - b).alias("truth"), ((a - b) * factor).alias("predicted"))
+    return scoring.kept_traces(rows, "predicted", "truth", 0.05).select("entity", "period", "trace")

@@ -89,6 +89,25 @@ def atoms(sheet: DataFrame, concepts: list[str] | None = None) -> DataFrame:
     return typed.withColumn("key", F.concat_ws("_", F.col("entity").cast("string"), F.col("period").cast("string"), F.col("concept")))
 
 
+def atomize(sheet: DataFrame, concepts: dict[str, tuple], period: str = "year") -> DataFrame:
+    """Facts of a sheet at question time: as ``atoms``, with a label, for rows that name their entity in one of several columns.
+
+    The entity is a row's company name, else its ticker, else its entity: of those columns that the sheet has, the first that is not
+    empty.  ``concepts`` are as CONCEPTS; a sheet without the period or a concept, or without any of the three columns, is an error.  Cells
+    that are no numbers give no fact.
+    """
+    named = [c for c in ("company_name", "ticker", "entity") if c in sheet.columns]
+    if missing := sorted({period, *concepts} - set(sheet.columns)):
+        raise ValueError(f"a sheet without {', '.join(missing)}")
+    if not named:
+        raise ValueError("a sheet without company_name, ticker or entity")
+    entity = F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in named))
+    info = lambda k, i: F.lit(concepts[k][i]).cast("string")
+    cells = F.array(*(F.struct(F.lit(k).alias("concept"), F.regexp_replace(F.col(k).cast("string"), "[$,]", "").try_cast("double").alias("value"), *(info(k, i).alias(n) for i, n in enumerate(("semantic_type", "unit", "parent_concept", "role")))) for k in concepts))
+    rows = sheet.select(entity.alias("entity"), F.col(period).cast("string").alias("period"), F.inline(cells)).where("value is not null")
+    return rows.withColumns({"label": F.replace("concept", F.lit("_"), F.lit(" ")), "key": F.concat_ws("_", "entity", "period", "concept")})
+
+
 def repivot(facts: DataFrame, concepts: list[str]) -> DataFrame:
     """Facts back to a wide sheet."""
     return facts.groupBy("entity", "period").pivot("concept", concepts).agg(F.max("value"))
