@@ -2,8 +2,8 @@
 
 A template is a tree in JSON whose leaves are concepts (``expr.to_json``).  All its leaves share an entity and a period; growth takes an
 earlier period of its own, and windows take all periods of the concept.  Slices, the pairs of entity and period that have facts, are
-numbered once; a tree draws one for each attempt, its form is filled in as text, and a semijoin of its leaf keys with the facts tells
-whether all exist.  The first attempt that is whole is the tree's.  Nothing is compared with all slices, and no tree waits for another.
+numbered once; a tree draws one for each attempt, its form is filled in as text, and its leaf keys are looked up among its entity's,
+which come with the slice.  The first attempt that is whole is the tree's.  Nothing is compared with all slices, and no tree waits for another.
 
 Bound forms are those that ``nodes.node_table`` reads: growth has its earlier fact on the left, a window is a chain of facts in order
 of time, an average the sum of them over their number, and a derived measure keeps its name beside its expansion.
@@ -20,12 +20,15 @@ from ..functions.prng import rank_key, uniform
 from ..operators import quotas
 from ..operators.windows import period_group, period_kind
 from .expr import Concept, Derived, expand, to_json
+from .sharing import cut
 
 LEAF = '{"leaf": "%s", "depth": 0}'
 #: A growth and a window in a template, with their concept.
 GROWTH = r'\{"growth": \{"leaf": "(\w+)", "depth": 0\}, "back": 1, "depth": 1\}'
 OVER = r'\{"over": "(\w+)", "operand": \{"leaf": "(\w+)", "depth": 0\}, "back": null, "depth": 1\}'
 KEYS = r'"leaf": "([^"]+)"'
+#: So many slices, or facts, are broadcast.
+FEW = 65536
 
 
 def spelled_out(form: Column, registry: dict[str, Concept]) -> Column:
@@ -71,19 +74,23 @@ def bind(templates: DataFrame, facts: DataFrame, registry: dict[str, Concept], s
 
     ``facts`` has key (entity_period_concept), entity, period and concept, each fact once.
     """
-    rows = facts.select("entity", "period", "concept")
-    # an entity's periods, by concept: as many as it has facts
-    series = rows.groupBy("entity", "concept").agg(F.array_sort(F.collect_set("period")).alias("periods")).groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("concept", "periods"))).alias("series"))
-    slices = rows.select("entity", "period").distinct()
-    placed = quotas.numbered(slices, F.concat(rank_key(seed, F.col("entity"), F.col("period")), F.lit("/"), F.col("entity").cast("string"), F.lit("/"), F.col("period").cast("string"))).join(series, "entity")
+    # an entity's periods, by concept, and its keys: as many as it has facts
+    periods = facts.groupBy("entity", "concept").agg(F.array_sort(F.collect_set("period")).alias("periods"), F.collect_set("key").alias("keys"))
+    series = cut(periods.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("concept", "periods"))).alias("series"), F.flatten(F.collect_list("keys")).alias("known")))
+    slices = facts.select("entity", "period").distinct()
+    placed = cut(quotas.numbered(slices, F.concat(rank_key(seed, F.col("entity"), F.col("period")), F.lit("/"), F.col("entity").cast("string"), F.lit("/"), F.col("period").cast("string"))).drop("places"))
+    # Spark takes exploded templates for as small as their table, and would broadcast them; facts are, as far as they are few
+    places, keys = placed.count(), series.agg(F.sum(F.size("known"))).first()[0] or 0
+    small = lambda table, n: table.hint("broadcast" if n <= FEW else "merge")
     spelled = templates.select("tree", spelled_out(F.col("form"), registry).alias("template"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    drawn = spelled.withColumn("place", F.floor(uniform(seed + 1, F.col("tree"), F.col("attempt")) * slices.count()).cast("long"))
-    made = drawn.join(placed.drop("places"), "place")
+    drawn = spelled.withColumn("place", F.floor(uniform(seed + 1, F.col("tree"), F.col("attempt")) * places).cast("long"))
+    made = drawn.join(small(placed, places), "place").join(small(series, keys), "entity")
     draw = lambda concept: uniform(seed + 2, F.col("tree"), F.col("attempt"), concept)
-    made = made.select("tree", "attempt", "entity", "period", filled_in(F.col("template"), F.col("entity"), F.col("period"), F.col("series"), draw).alias("form")).where("form is not null")
-    keys = made.select("tree", "attempt", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(KEYS), F.lit(1)))).alias("key"))
-    gone = keys.join(facts.select("key"), "key", "left_anti").select("tree", "attempt").distinct()
-    whole = made.join(gone, ["tree", "attempt"], "left_anti")
+    form = filled_in(F.col("template"), F.col("entity"), F.col("period"), F.col("series"), draw)
+    # exploded, as the filters would be pushed below a projection, and each make the form again
+    made = made.select("tree", "attempt", "entity", "period", "known", F.explode(F.array(form)).alias("form")).where("form is not null")
+    # all leaves of a form are its entity's
+    whole = made.where(F.size(F.array_except(F.regexp_extract_all("form", F.lit(KEYS), F.lit(1)), "known")) == 0)
     return whole.groupBy("tree").agg(F.min_by(F.struct("attempt", "entity", "period", "form"), "attempt").alias("best")).select("tree", "best.*")
 
 
