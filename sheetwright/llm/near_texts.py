@@ -18,6 +18,8 @@ group, whose candidates are ``FORESTS`` spanning forests of least distances with
 distance connects, and again without any edge that fails.  A more crowded key, of a group with very many near
 copies, is dealt at random to groups of about ``CROWD``, each of which also gets the key's leaders, about ``LEADERS`` of its fingerprints chosen by hash:
 rows grow with the group, not its square, and what two groups hold is linked by way of leaders, or by the many other keys.
+Leaders and forests only save work: once links are verified, every other pair that shares a key, lies within the radius and is
+not in one class yet is looked for, in blocks of pairs of parts, and verified too.
 
 Candidates become links where the whole texts' sets of shingles, 64-bit hashes, have the similarity asked for.  Each text's
 closest candidate is verified first; then all candidates between texts that are not in one class yet.  Sets are fetched by
@@ -50,6 +52,8 @@ SPARE_BITS, LEAST_WIDTH = 8, 20
 #: The share of meetings within two differing bits that the least certain bits catch (measured .75 to .85).
 CAUGHT = 0.75
 CROWD, LEADERS, FORESTS = 256, 32, 2
+#: Parts of the blocks in which pairs are looked for that forests and leaders left out, in crowds.
+BLOCK = 4
 #: Pairs of one text that are verified in one task, about.
 SALTED = 1000
 #: More than any distance.
@@ -208,8 +212,8 @@ def candidates(points: DataFrame, plan: Plan, scratch: Scratch, crowd: int = CRO
     more = scratch.table(shared.where("n > 2").select("key", "n"), "more")
     held = KeyFilter(more, "key", more.count()).split(filed, "key").where("__maybe__").drop("__maybe__")
     held = scratch.table(held, "held")
-    held = look_up(held, more, "key", "n", held.count()).where("n is not null")
-    held = held.withColumn("parts", F.ceil(F.col("n") / crowd)).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
+    members = scratch.table(look_up(held, more, "key", "n", held.count()).where("n is not null").select("key", "node", "n"), "members")
+    held = members.withColumn("parts", F.ceil(F.col("n") / crowd)).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", "key", F.lit(SEED)), F.col("n")) < leaders)
     lead = held.where(leader).withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> own")
     dealt = held.select("key", "part", "node").unionByName(lead.select("key", "part", "node")).join(points.drop("close", "copies"), "node")
@@ -217,6 +221,41 @@ def candidates(points: DataFrame, plan: Plan, scratch: Scratch, crowd: int = CRO
     return found.union(grouped.mapInArrow(_group_candidates(plan), "a long, b long, apart long")).groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
+def _block_pairs(plan: Plan, batch_size: int = 100_000):
+    """Pairs within the radius, of different classes, of blocks that come sorted by (key, low, high): the pairs of a part, or between two."""
+
+    def work(batches):
+        for group in sorted_groups(batches, ["key", "low", "high"]):
+            nodes, roots, parts = (group[c].to_numpy() for c in ("node", "root", "part"))
+            prints = np.stack([group[c].to_numpy() for c in _columns(plan)], axis=1).view(np.uint64)
+            inside, out, size = group["low"][0] == group["high"][0], [], 0
+            for i in range(len(nodes) - 1):
+                other = np.flatnonzero((roots[i + 1 :] != roots[i]) & (inside or parts[i + 1 :] != parts[i])) + i + 1
+                near = other[np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64) <= plan.radius]
+                out.append(np.stack([np.minimum(nodes[near], nodes[i]), np.maximum(nodes[near], nodes[i])], axis=1))
+                size += len(near)
+                if size >= batch_size or i == len(nodes) - 2:
+                    ends, out, size = np.concatenate(out), [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in range(2)], names=["a", "b"])
+
+    return work
+
+
+def unmet(members: DataFrame, points: DataFrame, roots: DataFrame, plan: Plan, block: int) -> DataFrame:
+    """All pairs (a, b), a < b, within the radius that share a key and are in different classes, each once.
+
+    ``members`` has key, node and n, how many share the key; ``roots`` node and root.  Keys whose members are all in one class are left
+    out; the others are dealt to blocks of pairs of parts of about ``block``, so rows in a task are bounded and no pair is passed over.
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    dealt = rooted.join(mixed, "key", "left_semi").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", "node", "root", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high")).hint("merge").join(points.select("node", *_columns(plan)), "node")
+    blocks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return blocks.mapInArrow(_block_pairs(plan), "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, grams): the shingles of at least the rows of ``docs`` whose id is among ``nodes``, each once; no text is shuffled."""
 
@@ -275,8 +314,18 @@ def near_texts(
     nodes = scratch.table(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "nodes")
     sets = scratch.table(shingle_sets(docs, nodes, id_col, text_col, size), "sets")
     near = links(found, sets, scratch, similarity)
-    scratch.drop("sets", "candidates", "nodes", "closest", "left")
-    roots = components(near, scratch)
+    roots = scratch.table(components(near, scratch), "roots")
+    # what forests and leaders left out: every pair that meets, is within the radius, and is not yet in one class
+    rest = unmet(docs.sparkSession.read.parquet(scratch.path("members")), points, roots, plan, max(1, round(BLOCK * crowd))).join(found.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.table(rest, "rest")
+    if rest.count():
+        nodes = scratch.table(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "rest_nodes")
+        sets = scratch.table(shingle_sets(docs, nodes, id_col, text_col, size), "rest_sets")
+        late = scratch.table(verified(rest, sets, similarity), "rest_links")
+        if late.count():
+            roots = scratch.table(components(near.union(late), scratch), "all_roots")
+        scratch.drop("rest_sets", "rest_nodes")
+    scratch.drop("sets", "candidates", "nodes", "closest", "left", "members", "rest")
     labels = points.join(roots, "node", "left").select(F.struct(*_columns(plan)).alias("print"), "copies", F.coalesce("root", "node").alias("component_id"))
     rows = prints.select("id", F.struct(*_columns(plan)).alias("print"))
     return look_up(rows, labels, "print", "copies", prints.count()).select(F.col("id").alias(id_col), "component_id")

@@ -149,3 +149,35 @@ def test_odd_rows(spark):
         [("5", "5"), ("6", "5"), ("7", "5"), ("8", "8"), ("8", "8"), ("9", "8"), ("10", "10"), ("11", "11"), ("12", "11"), ("None", "8"), ("None", "None")]
     )
     assert near_texts(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_every_pair_that_meets_in_different_classes_is_looked_for(spark):
+    from sheetwright.llm.near_texts import _columns, unmet
+
+    rng, plan = np.random.default_rng(5), Plan.of(40)
+    used = plan.width * plan.segments
+    bits = np.zeros((40, plan.words * 64), dtype=np.uint8)
+    bits[:, :used] = rng.integers(0, 2, used)
+    for i in range(40):  # many of them more than the radius apart
+        flipped = rng.choice(used, rng.integers(0, plan.radius * 5 // 4), replace=False)
+        bits[i, flipped] ^= 1
+    prints = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    points = spark.createDataFrame([(i, *map(int, prints[i])) for i in range(40)], ", ".join(["node long", *(f"{c} long" for c in _columns(plan))]))
+    members = spark.createDataFrame([(key, i, 40 if key == 1 else 10) for key in (1, 2) for i in range(40 if key == 1 else 10)], "key long, node long, n long")
+    roots = {i: i // 3 * 3 for i in range(30)}
+    apart = lambda i, j: int((bits[i] != bits[j]).sum())
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if apart(i, j) <= plan.radius and roots.get(i, i) != roots.get(j, j)}
+    assert 0 < len(want) < 40 * 39 // 2 - 100
+    for block in (1, 7, 1000):
+        got = [tuple(r) for r in unmet(members, points, spark.createDataFrame(list(roots.items()), "node long, root long"), plan, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_crowds_dealt_apart_are_linked_all_the_same(spark):
+    rng = random.Random(8)
+    words = [rng.choice(VOCABULARY) for _ in range(400)]
+    texts = [" ".join(edited(rng, words, 0.004)) for _ in range(12)]
+    sets = [set(shingles(t).tolist()) for t in texts]
+    linked = [(i, j) for i in range(12) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    got = near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "near"), crowd=1e-4, leaders=0)
+    assert classes(got.collect()) == dict(enumerate(components_of(12, linked)))
