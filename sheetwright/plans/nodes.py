@@ -1,21 +1,20 @@
 """Expression trees as rows: tables of trees that all differ are parsed, evaluated and cut into turns in one plan.
 
-``node_table`` makes one row a node of trees in JSON.  Every level of the descent is a projection and an explode of the rows above,
-so it shuffles nothing; a node is known by its path, the places of its ancestors among their siblings.
+``node_table`` makes one row a node of trees in JSON.  Every level of the descent is a projection that puts each node's children behind
+it, each node parsed once, so it shuffles nothing; a node is known by its path, the places of its ancestors among their siblings.
 
-Paths give the usual numbers by sorting within a tree: in preorder a path comes before its extensions; in postorder, with a
-largest element after it, behind them.  With its level they give a subtree's size, so a subtree is an interval of postorder numbers,
-and its nodes are a slice of the tree's array.  ``evaluated`` runs over that array with a stack, once, and gives the value of every
+A tree's array is so in preorder, and subtrees' sizes are summed from its end; number, size and level give the postorder number.  A
+subtree is an interval of postorder numbers, and its nodes are a slice of the tree's array.  ``evaluated`` runs over that array with a stack, once, and gives the value of every
 node.  Only a tree's own nodes are ever gathered.
 
 JSON forms: ``{"leaf": key}``, ``{"literal": number}``, ``{"op": name, "left": .., "right": ..}``, ``{"op": name, "args": [.. or keys]}``,
 ``{"derived": name, "expanded": ..}`` (the expansion, which keeps the name).  Anything else is a node without operation, leaf or
-literal, whose value is NULL.  A missing operand, a zero denominator and an unknown operation give NULL, and so does everything above.
+literal, whose value is NULL; of a name that an object repeats the last counts.  A missing operand, a zero denominator and an unknown operation give NULL, and so does everything above.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What an operation is called in a turn's question.
@@ -25,8 +24,10 @@ WORDS = {
 }
 #: Operations over different measures: as a tree's root they are asked by the tree's own question.
 CROSS = ["mul", "add", "subtract", "divide", "sum", "diff", "ratio"]
-#: After every path that it follows.
-END = 2147483647
+#: So many facts are broadcast.
+FEW = 65536
+#: The fields of a node's object that are read.
+FIELDS = ["expanded", "derived", "leaf", "literal", "left", "right", "args", "op"]
 NODE = {"path": "array<int>", "parent_op": "string", "text": "string", "open": "boolean", "op": "string", "leaf": "string", "literal": "double", "derived": "string", "arity": "int"}
 
 
@@ -45,22 +46,54 @@ def _node(**fields: Column) -> Column:
     return F.struct(*(fields.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in NODE.items()))
 
 
-def _opened(rows: DataFrame) -> DataFrame:
-    """One level down: each open node is read, and its children are added, open."""
-    part = lambda text, name: F.get_json_object(text, f"$.{name}")
-    inner = F.coalesce(part(F.col("text"), "expanded"), F.col("text"))
-    read = rows.withColumn("body", F.when(F.col("open"), F.coalesce(part(inner, "expanded"), inner)))
-    read = read.withColumn("named", F.when(F.col("open"), F.coalesce(part(F.col("text"), "derived"), part(inner, "derived"))))
-    body, is_key = F.col("body"), ~F.col("text").startswith("{") & (F.size("path") > 0)
-    leaf, literal = F.when(is_key, F.col("text")).otherwise(part(body, "leaf")), part(body, "literal")
-    left, right = part(body, "left"), part(body, "right")
-    pair = F.when(left.isNotNull() & right.isNotNull(), F.array(left, right)).otherwise(F.from_json(part(body, "args"), "array<string>"))
-    read = read.withColumn("kids", F.when(F.col("open") & leaf.isNull() & literal.isNull(), F.filter(pair, lambda x: x.isNotNull())))
-    op = F.when(F.size("kids") > 0, part(body, "op"))
-    closed = _node(path=F.col("path"), parent_op=F.col("parent_op"), open=F.lit(False), op=op, leaf=leaf, literal=F.when(leaf.isNull(), literal.try_cast("double")), derived=F.col("named"), arity=F.greatest(F.coalesce(F.size("kids"), F.lit(0)), F.lit(0)))
-    children = F.transform("kids", lambda x, i: _node(path=F.concat("path", F.array(i)), parent_op=part(body, "op"), text=x, open=F.lit(True)))
-    kept = F.struct(*(F.col(c) for c in NODE))
-    return read.select("tree", F.inline(F.when(F.col("open"), F.concat(F.array(closed), F.coalesce(children, F.array().cast("array<" + read.select(kept.alias("x")).schema["x"].dataType.simpleString() + ">")))).otherwise(F.array(kept))))
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _read(text: Column) -> Column:
+    """The fields of a JSON object, each as text; of anything else none."""
+    return F.from_json(F.when(F.ltrim(text).startswith("{"), text), "struct<" + ", ".join(f"{c}: string" for c in FIELDS) + ">")
+
+
+def _expansion(body: Column) -> Column:
+    """The fields of what an object expands to, itself if it does not; its name where the expansion has none."""
+    named = lambda inner: F.struct(*(F.coalesce(body[c], inner[c]).alias(c) if c == "derived" else inner[c].alias(c) for c in FIELDS))
+    return F.when(body["expanded"].isNull(), body).otherwise(_let(_read(body["expanded"]), named))
+
+
+def _opened(node: Column) -> Column:
+    """A node, and its children behind it, open; a node that is not open stays."""
+
+    def family(body: Column) -> Column:
+        is_key = ~node["text"].startswith("{") & (F.size(node["path"]) > 0)
+        leaf, literal = F.when(is_key, node["text"]).otherwise(body["leaf"]), body["literal"]
+        pair = F.when(body["left"].isNotNull() & body["right"].isNotNull(), F.array(body["left"], body["right"])).otherwise(F.from_json(body["args"], "array<string>"))
+        kids = F.when(leaf.isNull() & literal.isNull(), F.filter(pair, lambda x: x.isNotNull()))
+
+        def made(kids: Column) -> Column:
+            op = F.when(F.size(kids) > 0, body["op"])
+            closed = _node(path=node["path"], parent_op=node["parent_op"], open=F.lit(False), op=op, leaf=leaf, literal=F.when(leaf.isNull(), literal.try_cast("double")), derived=body["derived"], arity=F.size(kids))
+            return F.concat(F.array(closed), F.transform(kids, lambda x, i: _node(path=F.concat(node["path"], F.array(i)), parent_op=body["op"], text=x, open=F.lit(True))))
+
+        return _let(F.coalesce(kids, F.array().cast("array<string>")), made)
+
+    # an expansion may be one more time expanded
+    read = _let(_let(_let(_read(node["text"]), _expansion), _expansion), family)
+    return F.when(node["open"], read).otherwise(F.array(node))
+
+
+def _sizes(nodes: Column) -> Column:
+    """The sizes of the subtrees of a tree's nodes in preorder, from the last to the first, by one pass with a stack."""
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("stack"), none.alias("out"))
+
+    def step(s: Column, node: Column) -> Column:
+        arity, height = F.coalesce(node["arity"], F.lit(0)), F.size(s["stack"])
+        size = F.aggregate(F.slice(s["stack"], F.greatest(height - arity + 1, F.lit(1)), arity), F.lit(1), lambda a, x: a + x)
+        return _let(size, lambda n: F.struct(F.concat(F.slice(s["stack"], 1, F.greatest(height - arity, F.lit(0))), F.array(n)).alias("stack"), F.concat(s["out"], F.array(n)).alias("out")))
+
+    return F.aggregate(F.reverse(nodes), start, step, lambda s: s["out"])
 
 
 def node_table(questions: DataFrame, key: str, form: str, levels: int | None = None) -> DataFrame:
@@ -71,19 +104,29 @@ def node_table(questions: DataFrame, key: str, form: str, levels: int | None = N
     if levels is None:
         levels = (questions.agg(F.max(nesting(F.col(form)))).first()[0] or 0) + 1
     top = _node(path=F.array().cast("array<int>"), text=F.col(form), open=F.lit(True))
-    rows = questions.select(F.col(key).alias("tree"), F.inline(F.array(top)))
+    rows = questions.select(F.col(key).alias("tree"), F.array(top).alias("nodes"))
     for _ in range(levels):
-        rows = _opened(rows)
-    tree = Window.partitionBy("tree")
-    post = F.row_number().over(tree.orderBy(F.concat("path", F.array(F.lit(END)))))
-    pre = F.row_number().over(tree.orderBy("path"))
+        rows = rows.select("tree", F.flatten(F.transform("nodes", _opened)).alias("nodes"))
+    # children stand behind their parent, so nodes are in preorder
+    rows = rows.withColumn("sizes", F.reverse(_sizes(F.col("nodes")))).select("tree", F.inline(F.transform("nodes", lambda x, i: x.withField("pre", i + 1).withField("size", F.get("sizes", i)))))
     level = F.size("path")
-    return rows.select("tree", "path", level.alias("level"), post.alias("post"), (post - pre + level + 1).alias("size"), "op", "parent_op", "leaf", "literal", "derived", "arity")
+    return rows.select("tree", "path", level.alias("level"), (F.col("pre") + F.col("size") - level - 1).alias("post"), "size", "op", "parent_op", "leaf", "literal", "derived", "arity")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the session's checkpoint folder and read again, where it has one: what is built on them does not repeat their plan."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
+def counted(facts: DataFrame) -> DataFrame:
+    """``facts``, to be broadcast if they are few: Spark cannot tell how many rows their aggregates leave, and would shuffle all nodes."""
+    rows = cut(facts)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def bound(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     """Nodes with the facts of their leaves; ``facts`` has ``key``, once each, and ``value``; its other columns are added."""
-    known = facts.withColumnRenamed("key", "leaf").withColumnRenamed("value", "fact_value")
+    known = counted(facts.withColumnRenamed("key", "leaf").withColumnRenamed("value", "fact_value"))
     return nodes.join(known, "leaf", "left").withColumn("value", F.coalesce("literal", "fact_value")).drop("fact_value")
 
 

@@ -11,14 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nodes import _apply, tree_arrays
-
-
-
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the session's checkpoint folder and read again, where it has one: what is built on them does not repeat their plan."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
-
+from .nodes import _apply, cut, tree_arrays
 
 #: Operations whose operands may be put in any order.
 UNORDERED = ["sum", "add", "mul", "min", "max", "avg", "average"]

@@ -341,7 +341,7 @@ _CLAUSE_SQL = "case family " + " ".join(f"when '{k}' then ({_quoted([c.replace(c
 def tree_clauses(spark, d):
     """Each question with a clause of the family of that concept of its own tree that fits its words best."""
     leaves = nodes.node_table(forms(spark, d, SHAPES), "tree", "form", DEEPEST + 1).where("leaf is not null").select("tree", F.col("leaf").alias("key"))
-    own = leaves.join(facts(spark, d).select("key", "concept", "parent"), "key").select("tree", "concept", "parent").distinct()
+    own = leaves.join(nodes.counted(facts(spark, d).select("key", "concept", "parent")), "key").select("tree", "concept", "parent").distinct()
     spaced = F.replace("concept", F.lit("_"), F.when(F.col("tree") % 2 == 0, " ").otherwise(" of "))
     named = own.groupBy("tree").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("concept", spaced.alias("t")))), lambda x: x["t"]), " and ").alias("named"))  # a tree's concepts
     asked = named.select("tree", F.when(F.col("tree") % 5 == 0, "What comes out?").otherwise(F.concat(F.lit("Regarding "), "named", F.lit(": what comes out?"))).alias("question"))

@@ -3,7 +3,7 @@
 import duckdb
 
 from sheetwright.operators import mentions
-from sheetwright.plans import binder
+from sheetwright.plans import binder, nodes
 from sheetwright.sources import files
 
 
@@ -57,3 +57,11 @@ def test_cells_beyond_the_precision_of_doubles_are_those_of_sql(spark):
     cells = [line.split(",")[1] for line in files.statement_text(facts, info).first().text.split("\n") if line.startswith("m")]
     sql = duckdb.connect().execute("select " + ", ".join(f"regexp_replace(cast(cast(cast('{v!r}' as double) as decimal(38,6)) as varchar), '0+$', '')" for v in values)).fetchall()[0]
     assert cells == list(sql)
+
+
+def test_nodes_are_numbered_without_a_shuffle(spark):
+    forms = spark.createDataFrame([(1, '{"op": "sum", "args": ["a", {"op": "min", "left": {"leaf": "b"}, "right": {"literal": 2}}, "c"]}'), (2, None)], "id int, form string")
+    table = nodes.node_table(forms, "id", "form", 3)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.tree, r.post, r.size, r.level, r.leaf or r.literal or r.op) for r in table.collect())
+    assert got == [(1, 1, 1, 1, "a"), (1, 2, 1, 2, "b"), (1, 3, 1, 2, 2.0), (1, 4, 3, 1, "min"), (1, 5, 1, 1, "c"), (1, 6, 6, 0, "sum"), (2, 1, 1, 0, None)]
