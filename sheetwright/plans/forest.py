@@ -1,19 +1,20 @@
-"""Sampling of many expression trees at once: trees grow as rows, level by level, and are rejected and deduplicated by joins.
+"""Sampling of many expression trees at once: each row grows its own tree, level by level, and rejects it or keeps it.
 
 A draw depends on the seed, the tree, the attempt, the node's path and what it is for, and on nothing else, so a tree is the same however
-rows are partitioned, and no tree waits for another.  Each level is a projection and an explode; what rejection needs to know (depths,
-leaves, canonical texts) is folded bottom-up over a tree's own nodes.  A tree takes its first valid attempt; attempts come in a few
-batches of growing size, and only trees that have none yet take part in the next one.
+rows are partitioned, and no tree waits for another.  A tree's nodes are an array of its row, in postorder; what rejection needs to know
+(depths, leaves, canonical texts) is folded over them with a stack.  A tree takes its first valid attempt, and later ones are not grown,
+so nothing is shuffled but what is left of trees that are alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prng import pick, uniform
 from .expr import Concept, Derived, canonical, expand, sum_terms
-from .sharing import cut
 
 ROW = {"path": "string", "want": "string", "budget": "int", "windows": "boolean", "open": "boolean", "op": "string", "concept": "string", "derived": "string"}
 #: First attempts of the batches; the last is the number of attempts.
@@ -39,47 +40,60 @@ def _definitions(registry: dict[str, Concept]) -> Column:
     return F.array(*out) if out else F.array().cast(f"array<{NAMED}>")
 
 
-def grown(rows: DataFrame, seed: int, amounts: list[str], rates: list[str], registry: dict[str, Concept], levels: int, derived_share: float, stop: float) -> DataFrame:
-    """The nodes of the trees that start as ``rows`` (tree, attempt and the columns of ROW), after so many levels."""
-    known = F.filter(_definitions({n: c for n, c in registry.items() if c.family == "amount"}), lambda d: d["depth"] <= F.col("budget"))
-    draw = lambda what: uniform(seed, F.col("tree"), F.col("attempt"), F.col("path"), F.lit(what))
-    for _ in range(levels):
-        amount, ratio = F.col("want") == "amount", F.col("want") == "ratio"
-        ends = amount & ((F.col("budget") == 0) | (draw("stop") < stop))
-        fit = F.transform(known, lambda d: d["name"])
-        derived = F.when(ends & (F.size(fit) > 0) & (draw("derived") < derived_share), F.get(fit, F.floor(draw("which") * F.size(fit)).cast("int")))
-        made = F.when(F.col("windows"), pick(["sum", "diff", "mul", "min", "max", "avg"], draw("op"))).otherwise(pick(["sum", "diff", "mul"], draw("op")))
-        op = F.when(ratio, pick(["ratio", "growth"], draw("op"))).when(amount & ~ends, made)
-        rows = rows.withColumns({"made_op": op, "made_derived": derived})
-        op, derived = F.col("made_op"), F.col("made_derived")
-        single = op.isNull() | op.isin("min", "max", "avg", "growth")
-        concept = F.when(F.col("want") == "rate", pick(rates, draw("which"))).when(single & derived.isNull(), pick(amounts, draw("which")))
-        closed = _row(path=F.col("path"), want=F.col("want"), budget=F.col("budget"), windows=F.col("windows"), open=F.lit(False), op=op, concept=concept, derived=derived)
-        kid = lambda at, want, windows: _row(path=F.concat("path", F.lit(at)), want=want, budget=F.col("budget") - 1, windows=windows, open=F.lit(True))
-        inherited = F.col("windows") & (op != "ratio")
-        second = F.when(op != "mul", "amount").when(F.col("budget") > 1, "ratio").otherwise("rate")
-        kids = F.when(single, F.array(closed)).otherwise(F.array(closed, kid("0", F.lit("amount"), inherited), kid("1", second, inherited)))
-        rows = rows.select("tree", "attempt", F.inline(F.when(F.col("open"), kids).otherwise(F.array(F.struct(*(F.col(c) for c in ROW))))))
-    return rows
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def grown(key: Column, start: Column, seed: int, amounts: list[str], rates: list[str], registry: dict[str, Concept], levels: int, derived_share: float, stop: float) -> Column:
+    """The nodes of the tree that starts as ``start`` (a struct of ROW), in postorder, after so many levels; ``key`` is the text of tree and attempt."""
+    heights = {n: expand(Derived(n), registry).depth for n, c in registry.items() if c.family == "amount"}
+    known = F.array(*(_text_array(*(F.lit(n) for n, depth in heights.items() if depth <= budget)) for budget in range(levels)))
+
+    def opened(n: Column) -> Column:
+        draw = lambda what: uniform(seed, key, n["path"], F.lit(what))
+        amount, ratio, fit = n["want"] == "amount", n["want"] == "ratio", known[n["budget"]]
+
+        def made(ends: Column) -> Column:
+            derived = F.when(ends & (F.size(fit) > 0) & (draw("derived") < derived_share), F.get(fit, F.floor(draw("which") * F.size(fit)).cast("int")))
+            own = F.when(n["windows"], pick(["sum", "diff", "mul", "min", "max", "avg"], draw("op"))).otherwise(pick(["sum", "diff", "mul"], draw("op")))
+            return F.struct(F.when(ratio, pick(["ratio", "growth"], draw("op"))).when(amount & ~ends, own).alias("op"), derived.alias("derived"))
+
+        def kids(m: Column) -> Column:
+            op, derived = m["op"], m["derived"]
+            single = op.isNull() | op.isin("min", "max", "avg", "growth")
+            concept = F.when(n["want"] == "rate", pick(rates, draw("which"))).when(single & derived.isNull(), pick(amounts, draw("which")))
+            closed = _row(path=n["path"], want=n["want"], budget=n["budget"], windows=n["windows"], open=F.lit(False), op=op, concept=concept, derived=derived)
+            kid = lambda at, want, windows: _row(path=F.concat(n["path"], F.lit(at)), want=want, budget=n["budget"] - 1, windows=windows, open=F.lit(True))
+            inherited = n["windows"] & (op != "ratio")
+            second = F.when(op != "mul", "amount").when(n["budget"] > 1, "ratio").otherwise("rate")
+            return F.when(single, F.array(closed)).otherwise(F.array(kid("0", F.lit("amount"), inherited), kid("1", second, inherited), closed))
+
+        return _let(amount & ((n["budget"] == 0) | (draw("stop") < stop)), lambda ends: _let(made(ends), kids))
+
+    level = lambda nodes, _: F.flatten(F.transform(nodes, lambda n: F.when(n["open"], opened(n)).otherwise(F.array(n))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(start), level)
 
 
 def _text_array(*items: Column) -> Column:
     return F.array(*items).cast("array<string>")
 
 
+def _definition(definitions: Column, name: Column) -> Column:
+    return F.get(F.filter(definitions, lambda d: d["name"] == name), F.lit(0))
+
+
 def _fold(**fields: Column) -> Column:
     return F.struct(*(fields[c].cast(kind).alias(c) for c, kind in FOLD.items()))
 
 
-def folded(nodes: Column, registry: dict[str, Concept]) -> Column:
+def folded(nodes: Column, registry: dict[str, Concept], definitions: Column) -> Column:
     """What is known of a tree from its nodes in postorder: its JSON form, canonical texts, depths, leaves, and flags."""
-    definitions = _definitions(registry)
     spelled = [canonical(expand(Derived(n), registry)) for n in registry]
     no, yes = F.lit(False), F.lit(True)
 
     def leaf(node: Column) -> Column:
         concept, op = node["concept"], node["op"]
-        found = F.get(F.filter(definitions, lambda d: d["name"] == node["derived"]), F.lit(0))
         plain = F.concat(F.lit('{"leaf": "'), concept, F.lit('", "depth": 0}'))
         over = F.concat(op, F.lit("_over("), concept, F.lit(", None)"))
         growth = F.concat(F.lit("growth("), concept, F.lit(", 1)"))
@@ -91,11 +105,11 @@ def folded(nodes: Column, registry: dict[str, Concept]) -> Column:
         depth = F.when(op.isNotNull(), 1).otherwise(0)
         own = _fold(form=form, own=shown, own_terms=_text_array(shown), whole=shown, whole_terms=_text_array(shown), depth=depth, whole_depth=depth, leaves=_text_array(concept), balanced=yes, restates=no, derived=no)
         name = node["derived"]
-        named = _fold(
+        named = lambda found: _fold(
             form=F.concat(F.lit('{"derived": "'), name, F.lit('", "depth": 0}')), own=name, own_terms=_text_array(name), whole=found["whole"], whole_terms=found["terms"], depth=F.lit(0), whole_depth=found["depth"],
             leaves=found["leaves"], balanced=yes, restates=no, derived=yes,
         )
-        return F.when(name.isNotNull(), named).otherwise(own)
+        return F.when(name.isNotNull(), _let(_definition(definitions, name), named)).otherwise(own)
 
     def pair(op: Column, a: Column, b: Column) -> Column:
         def text(terms: Column, left: Column, right: Column) -> Column:
@@ -103,14 +117,18 @@ def folded(nodes: Column, registry: dict[str, Concept]) -> Column:
             return F.concat(op, F.lit("("), F.array_join(listed, ", "), F.lit(")"))
 
         own_terms, whole_terms = F.concat(a["own_terms"], b["own_terms"]), F.concat(a["whole_terms"], b["whole_terms"])
-        own, whole = text(own_terms, a["own"], b["own"]), text(whole_terms, a["whole"], b["whole"])
-        depth = F.greatest(a["depth"], b["depth"]) + 1
-        form = F.concat(F.lit('{"op": "'), op, F.lit('", "left": '), a["form"], F.lit(', "right": '), b["form"], F.lit(', "depth": '), depth.cast("string"), F.lit("}"))
-        return _fold(
-            form=form, own=own, own_terms=F.when(op == "sum", own_terms).otherwise(F.array(own)), whole=whole, whole_terms=F.when(op == "sum", whole_terms).otherwise(F.array(whole)), depth=depth,
-            whole_depth=F.greatest(a["whole_depth"], b["whole_depth"]) + 1, leaves=F.concat(a["leaves"], b["leaves"]), balanced=a["balanced"] & b["balanced"] & (F.abs(a["depth"] - b["depth"]) <= 1),
-            restates=a["restates"] | b["restates"] | (whole.isin(*spelled) if spelled else no), derived=a["derived"] | b["derived"],
-        )
+        texts = F.struct(text(own_terms, a["own"], b["own"]).alias("own"), text(whole_terms, a["whole"], b["whole"]).alias("whole"), (F.greatest(a["depth"], b["depth"]) + 1).alias("depth"))
+
+        def made(t: Column) -> Column:
+            own, whole, depth = t["own"], t["whole"], t["depth"]
+            form = F.concat(F.lit('{"op": "'), op, F.lit('", "left": '), a["form"], F.lit(', "right": '), b["form"], F.lit(', "depth": '), depth.cast("string"), F.lit("}"))
+            return _fold(
+                form=form, own=own, own_terms=F.when(op == "sum", own_terms).otherwise(F.array(own)), whole=whole, whole_terms=F.when(op == "sum", whole_terms).otherwise(F.array(whole)), depth=depth,
+                whole_depth=F.greatest(a["whole_depth"], b["whole_depth"]) + 1, leaves=F.concat(a["leaves"], b["leaves"]), balanced=a["balanced"] & b["balanced"] & (F.abs(a["depth"] - b["depth"]) <= 1),
+                restates=a["restates"] | b["restates"] | (whole.isin(*spelled) if spelled else no), derived=a["derived"] | b["derived"],
+            )
+
+        return _let(texts, made)
 
     def step(stack: Column, node: Column) -> Column:
         single = node["concept"].isNotNull() | node["derived"].isNotNull()
@@ -122,24 +140,41 @@ def folded(nodes: Column, registry: dict[str, Concept]) -> Column:
     return F.get(F.aggregate(nodes, empty, step), F.lit(0))
 
 
-def attempts(
-    trees: DataFrame, first: int, end: int, seed: int, depths: tuple[int, int], amounts: list[str], rates: list[str], registry: dict[str, Concept], balanced: bool, require_derived: bool, derived_share: float, stop: float
-) -> DataFrame:
-    """The first valid attempt of each tree among ``first`` to ``end``: (tree, attempt, form, canonical, depth)."""
-    rows = trees.select("tree", F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("attempt"))
-    draw = lambda what: uniform(seed, F.col("tree"), F.col("attempt"), F.lit(""), F.lit(what))
-    budget = F.lit(depths[0]) + F.floor(draw("depth") * (depths[1] - depths[0] + 1)).cast("int")
-    rows = rows.withColumn("start", budget).withColumn("root", F.when((F.col("start") > 0) & (draw("root") < 0.3), "ratio").otherwise("amount"))
-    top = _row(path=F.lit(""), want=F.col("root"), budget=F.col("start"), windows=F.lit(True), open=F.lit(True))
-    nodes = grown(rows.select("tree", "attempt", F.inline(F.array(top))), seed, amounts, rates, registry, depths[1] + 1, derived_share, stop)
-    order = F.concat("path", F.lit("~")).alias("post")  # behind every path that it begins
-    gathered = nodes.groupBy("tree", "attempt").agg(F.sort_array(F.collect_list(F.struct(order, "op", "concept", "derived"))).alias("nodes"))  # a tree's nodes
-    found = gathered.select("tree", "attempt", folded(F.col("nodes"), registry).alias("f"))
-    fits = F.col("f.whole_depth").between(*depths) & ~F.col("f.restates") & (F.size("f.leaves") == F.size(F.array_distinct("f.leaves")))
-    fits = fits & F.col("f.balanced") if balanced else fits
-    fits = fits & F.col("f.derived") if require_derived else fits
-    best = found.where(fits).groupBy("tree").agg(F.min(F.struct("attempt", F.col("f.form").alias("form"), F.col("f.own").alias("canonical"), F.col("f.whole_depth").alias("depth"))).alias("best"))
-    return best.select("tree", "best.*")
+def first_valid(
+    tree: Column, seed: int, depths: tuple[int, int], amounts: list[str], rates: list[str], registry: dict[str, Concept], balanced: bool, require_derived: bool, derived_share: float, stop: float
+) -> Column:
+    """The first valid attempt of a tree: a struct of attempt, form, canonical and depth, all null if there is none."""
+    definitions = _definitions(registry)
+    nothing = F.lit(None).cast("struct<attempt: int, form: string, canonical: string, depth: int>")
+
+    def leaves(nodes: Column) -> Column:
+        named = lambda n: F.coalesce(_definition(definitions, n["derived"])["leaves"], _text_array())
+        return F.flatten(F.transform(nodes, lambda n: F.when(n["concept"].isNotNull(), _text_array(n["concept"])).otherwise(named(n))))
+
+    def judged(attempt: Column, f: Column) -> Column:
+        fits = f["whole_depth"].between(*depths) & ~f["restates"]
+        fits = fits & f["balanced"] if balanced else fits
+        fits = fits & f["derived"] if require_derived else fits
+        return F.when(fits, F.struct(attempt.alias("attempt"), f["form"].alias("form"), f["own"].alias("canonical"), f["whole_depth"].alias("depth"))).otherwise(nothing)
+
+    def tried(attempt: Column) -> Column:
+        def rooted(key: Column) -> Column:
+            draw = lambda what: uniform(seed, key, F.lit(""), F.lit(what))
+            budget = F.lit(depths[0]) + F.floor(draw("depth") * (depths[1] - depths[0] + 1)).cast("int")
+            want = lambda start: F.when((start > 0) & (draw("root") < 0.3), "ratio").otherwise("amount")
+            top = lambda start: _row(path=F.lit(""), want=want(start), budget=start, windows=F.lit(True), open=F.lit(True))
+            nodes = grown(key, _let(budget, top), seed, amounts, rates, registry, depths[1] + 1, derived_share, stop)
+            # most trees that fail have a leaf twice, which is known without their texts
+            once = lambda ns: _let(leaves(ns), lambda found: F.size(found) == F.size(F.array_distinct(found)))
+            return _let(nodes, lambda ns: F.when(once(ns), _let(folded(ns, registry, definitions), lambda f: judged(attempt, f))).otherwise(nothing))
+
+        return _let(F.concat_ws("/", F.coalesce(tree.cast("string"), F.lit("")), attempt.cast("string")), rooted)
+
+    def within(found: Column, first: Column, end: Column) -> Column:
+        return F.aggregate(F.sequence(first, end - 1), found, lambda best, attempt: F.when(best["attempt"].isNotNull(), best).otherwise(tried(attempt)))
+
+    batches = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("end")) for a, b in zip(BATCHES, BATCHES[1:], strict=False)))
+    return F.aggregate(batches, nothing, lambda best, batch: F.when(best["attempt"].isNotNull(), best).otherwise(within(best, batch["first"], batch["end"])))
 
 
 def sample_trees(
@@ -154,11 +189,10 @@ def sample_trees(
     """
     if not 0 <= depths[0] <= depths[1] or not 0 <= derived_share <= 1 or require_derived and depths[1] == 0:
         raise ValueError("bad depths or share")
-    left, found = trees.select("tree"), None
-    for first, end in zip(BATCHES, BATCHES[1:], strict=False):
-        own = cut(attempts(left, first, end, seed, depths, amounts, rates, registry, balanced, require_derived, derived_share, stop))  # the next batch does not repeat this one
-        found = own if found is None else found.unionByName(own)
-        left = left.join(own.select("tree"), "tree", "left_anti")
+    best = first_valid(F.col("tree"), seed, depths, amounts, rates, registry, balanced, require_derived, derived_share, stop)
+    # a narrow table of keys is few tasks where it is read, but much work
+    dealt = trees.select("tree").repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = dealt.select("tree", F.inline(F.filter(F.array(best), lambda b: b["attempt"].isNotNull())))
     if not distinct:
         return found
     return found.groupBy("canonical").agg(F.min_by(F.struct("tree", "attempt", "form", "depth"), "tree").alias("best")).select("best.tree", "best.attempt", "best.form", "canonical", "best.depth")
