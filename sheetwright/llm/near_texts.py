@@ -14,16 +14,19 @@ can be trusted to differ in one bit at most.  Instead:
   segments with the width, so that two texts of just the similarity ``SIMILARITY`` meet with a chance of ``RECALL`` at any size.
 
 Every meeting is measured on all bits.  A key that two fingerprints share is measured as a pair; one of up to ``CROWD`` as a
-group, whose candidates are ``FORESTS`` spanning forests of least distances without a common edge: they connect what any threshold of
-distance connects, and again without any edge that fails.  A more crowded key, of a group with very many near
+group, whose candidates are a spanning forest of least distances: it connects what any threshold of
+distance connects.  A more crowded key, of a group with very many near
 copies, is dealt at random to groups of about ``CROWD``, each of which also gets the key's leaders, about ``LEADERS`` of its fingerprints chosen by hash:
 rows grow with the group, not its square, and what two groups hold is linked by way of leaders, or by the many other keys.
-Leaders and forests only save work: once links are verified, every other pair that shares a key, lies within the radius and is
-not in one class yet is looked for, in blocks of pairs of parts, and verified too.
+What these leave apart is looked for in blocks of pairs of parts, of which only spanning forests are sent on.  So candidates make
+*circles*: all fingerprints that share a key and lie within the radius, in any number of steps, are of one circle.
 
-Candidates become links where the whole texts' sets of shingles, 64-bit hashes, have the similarity asked for.  Each text's
-closest candidate is verified first; then all candidates between texts that are not in one class yet.  Sets are fetched by
-keyed joins, and a text with very many candidates is copied to several tasks, so none holds all of its pairs.
+Candidates become links where the whole texts' sets of shingles, 64-bit hashes, have the similarity asked for.  First a spanning forest
+of each circle is verified pair by pair: it joins most near copies to one class.  Sets are fetched by keyed joins, and a text with
+very many candidates is copied to several tasks, so none holds all of its pairs.  Circles that are of several classes then are dealt
+to blocks of pairs of parts, with the texts' sets: there all pairs of two classes within the radius are verified in the task that holds both,
+and only links that join classes leave it, fewer than the block has texts.  A class of more than a part has parts of its own, which never meet each other.
+So no pair is a row but those of the forests; comparisons, not rows, grow with the square of a circle that is not of one class.
 
 Defined results: a null text, and one without words, has fingerprint zero, and such texts are linked to each other; a text of
 fewer words than a shingle is one shingle; copies of one fingerprint are one node; rows with a null id belong to the component
@@ -41,7 +44,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, Scratch, components, look_up, parallelism, sliced, sorted_groups
@@ -51,9 +54,13 @@ SEED, SHINGLE, SIMILARITY, RECALL = 42, 5, 0.8, 0.95
 SPARE_BITS, LEAST_WIDTH = 8, 20
 #: The share of meetings within two differing bits that the least certain bits catch (measured .75 to .85).
 CAUGHT = 0.75
-CROWD, LEADERS, FORESTS = 256, 32, 2
-#: Parts of the blocks in which pairs are looked for that forests and leaders left out, in crowds.
-BLOCK = 4
+CROWD, LEADERS = 256, 32
+#: Parts of blocks, in crowds: in which pairs are looked for that forests and leaders left out, and in which circles are verified.
+BLOCK, PART = 4, 2
+#: Shingles that weigh as much in a part as a text by itself does.
+WEIGHED = 1024
+#: Nodes of a circle for each group of its candidates whose forest is taken by itself.
+GROVE = 2000
 #: Pairs of one text that are verified in one task, about.
 SALTED = 1000
 #: More than any distance.
@@ -161,7 +168,7 @@ def entries(points: DataFrame, plan: Plan) -> DataFrame:
     return points.select("node", *_columns(plan), "close").mapInArrow(work, "key long, node long")
 
 
-def forests(prints: np.ndarray, radius: int, count: int = FORESTS) -> Iterator[tuple[int, int, int]]:
+def forests(prints: np.ndarray, radius: int, count: int = 1) -> Iterator[tuple[int, int, int]]:
     """Edges (i, j, distance) of ``count`` spanning forests of least distances up to ``radius``, each without the edges of those before."""
     apart = np.stack([np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int32) for p in prints])
     np.fill_diagonal(apart, FAR)
@@ -221,17 +228,29 @@ def candidates(points: DataFrame, plan: Plan, scratch: Scratch, crowd: int = CRO
     return found.union(grouped.mapInArrow(_group_candidates(plan), "a long, b long, apart long")).groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
-def _block_pairs(plan: Plan, batch_size: int = 100_000):
-    """Pairs within the radius, of different classes, of blocks that come sorted by (key, low, high): the pairs of a part, or between two."""
+def _joined(roots: np.ndarray, i: int, near: np.ndarray) -> np.ndarray:
+    """The first of ``near`` of each class, all of which become one with that of ``i`` in ``roots``."""
+    found, at = np.unique(roots[near], return_index=True)
+    roots[np.isin(roots, found)] = roots[i]
+    return near[at]
+
+
+def _block_pairs(plan: Plan, spanning: bool, batch_size: int = 100_000):
+    """Pairs within the radius, of different classes, of blocks that come sorted by (key, low, high): the pairs of a part, or between two.
+
+    With ``spanning`` only those of them that join classes which the block's pairs before do not join.
+    """
 
     def work(batches):
         for group in sorted_groups(batches, ["key", "low", "high"]):
-            nodes, roots, parts = (group[c].to_numpy() for c in ("node", "root", "part"))
+            nodes, roots, parts = (group[c].to_numpy().copy() for c in ("node", "root", "part"))
             prints = np.stack([group[c].to_numpy() for c in _columns(plan)], axis=1).view(np.uint64)
             inside, out, size = group["low"][0] == group["high"][0], [], 0
             for i in range(len(nodes) - 1):
                 other = np.flatnonzero((roots[i + 1 :] != roots[i]) & (inside or parts[i + 1 :] != parts[i])) + i + 1
                 near = other[np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64) <= plan.radius]
+                if spanning and len(near):
+                    near = _joined(roots, i, near)
                 out.append(np.stack([np.minimum(nodes[near], nodes[i]), np.maximum(nodes[near], nodes[i])], axis=1))
                 size += len(near)
                 if size >= batch_size or i == len(nodes) - 2:
@@ -241,9 +260,11 @@ def _block_pairs(plan: Plan, batch_size: int = 100_000):
     return work
 
 
-def unmet(members: DataFrame, points: DataFrame, roots: DataFrame, plan: Plan, block: int) -> DataFrame:
+def unmet(members: DataFrame, points: DataFrame, roots: DataFrame, plan: Plan, block: int, spanning: bool = False) -> DataFrame:
     """All pairs (a, b), a < b, within the radius that share a key and are in different classes, each once.
 
+    With ``spanning`` only so many of them as join the same classes: fewer than a block has classes.
+
     ``members`` has key, node and n, how many share the key; ``roots`` node and root.  Keys whose members are all in one class are left
     out; the others are dealt to blocks of pairs of parts of about ``block``, so rows in a task are bounded and no pair is passed over.
     """
@@ -253,7 +274,7 @@ def unmet(members: DataFrame, points: DataFrame, roots: DataFrame, plan: Plan, b
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("key", "node", "root", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high")).hint("merge").join(points.select("node", *_columns(plan)), "node")
     blocks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return blocks.mapInArrow(_block_pairs(plan), "a long, b long").distinct()
+    return blocks.mapInArrow(_block_pairs(plan, spanning), "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -283,20 +304,92 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.where(F.col("common") / F.nullif(F.col("both") - F.col("common"), F.lit(0)) >= similarity).select("a", "b").distinct()
 
 
-def links(found: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Verified links (a, b) that connect all that the verified ones of the candidates ``found`` (a, b, apart) connect."""
-    sided = found.select("a", "b", "apart", F.col("a").alias("node")).union(found.select("a", "b", "apart", F.col("b").alias("node")))
-    closest = sided.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    closest = scratch.table(closest, "closest")
-    first = scratch.table(verified(closest, sets, similarity), "first_links")
-    roots, n = components(first, scratch), found.count()
-    left = found.select("a", "b").join(closest, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        degree = found.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        table = degree.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c)
-        left = look_up(left, table, c, "n", n).drop("n")
-    left = scratch.table(left.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "left")
-    return scratch.table(first.union(verified(left, sets, similarity)), "all_links")
+def _groves(batches):
+    """The pairs of spanning forests of least distances, of groups that come sorted by (circle, grove, apart, a, b)."""
+    for group in sorted_groups(batches, ["circle", "grove"]):
+        ends, root, kept = np.stack([group[c].to_numpy() for c in ("a", "b")], axis=1), {}, []
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k, (a, b) in enumerate(ends.tolist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[a] = b
+                kept.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[kept, c])) for c in range(2)], names=["a", "b"])
+
+
+def forest(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the candidates ``found`` (a, b, apart), spanning forests of least distances of each circle's.
+
+    ``placed`` has node, circle and n, the circle's nodes.  Candidates of a large circle are dealt to several groups, each of which
+    keeps fewer pairs than the circle has nodes, so none holds a whole circle.
+    """
+    degree = found.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    rows = look_up(found, degree.join(placed.withColumnRenamed("node", "a"), "a"), "a", "degree", found.count())
+    rows = rows.select("a", "b", "apart", "circle", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / GROVE)).alias("grove"))
+    return rows.repartition("circle", "grove").sortWithinPartitions("circle", "grove", "apart", "a", "b").mapInArrow(_groves, "a long, b long")
+
+
+def _block_links(plan: Plan, similarity: float):
+    """Verified links (a, b) that join classes, of blocks that come sorted by (circle, low, high): of a part, or between two."""
+
+    def work(batches):
+        for group in sorted_groups(batches, ["circle", "low", "high"]):
+            nodes, roots, parts = (group[c].to_numpy().copy() for c in ("node", "root", "part"))
+            prints = np.stack([group[c].to_numpy() for c in _columns(plan)], axis=1).view(np.uint64)
+            grams = group["grams"].combine_chunks()
+            sizes = np.array(grams.value_lengths())
+            ends = np.cumsum(sizes)
+            own = np.unique(grams.flatten().to_numpy(), return_inverse=True)[1]  # the block's shingles, numbered
+            sets, held = [own[end - n : end] for n, end in zip(sizes, ends, strict=True)], np.zeros(len(own), dtype=bool)
+            inside, found = group["low"][0] == group["high"][0], []
+            for i in range(len(nodes) - 1):
+                other = np.flatnonzero((roots[i + 1 :] != roots[i]) & (inside or parts[i + 1 :] != parts[i]) & (sizes[i + 1 :] > 0)) + i + 1
+                near = other[np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1, dtype=np.int64) <= plan.radius]
+                if not len(near):
+                    continue
+                held[sets[i]] = True
+                starts = np.cumsum(sizes[near]) - sizes[near]
+                common = np.add.reduceat(held[np.concatenate([sets[j] for j in near])], starts, dtype=np.int64)
+                held[sets[i]] = False
+                near = near[common / (sizes[near] + sizes[i] - common) >= similarity]
+                if len(near):
+                    found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in _joined(roots, i, near)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return work
+
+
+def late_links(placed: DataFrame, roots: DataFrame, points: DataFrame, sets: DataFrame, plan: Plan, scratch: Scratch, similarity: float, part: int) -> DataFrame:
+    """Links (a, b) that join all classes which pairs of one circle within the radius, with the similarity, join.
+
+    ``placed`` has node and circle, ``roots`` node and root, its class.  Circles of one class are left out.  A text weighs 1, and as much
+    again for each ``WEIGHED`` shingles; a part weighs about ``part``, whatever the circle's size.
+    """
+    weights = sets.groupBy("node").agg(F.sum(1 + F.floor(F.size("grams") / WEIGHED)).alias("w"))
+    rows = placed.select("node", "circle").join(roots, "node", "left").join(weights, "node").withColumn("root", F.coalesce("root", "node"))
+    rows = scratch.table(rows, "classed")
+    classes = scratch.table(rows.groupBy("circle", "root").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")), "classes")
+    large = F.ceil(F.when(F.col("w") > part, F.col("w")) / part)  # a large class's own parts
+    pooled = F.ceil(F.sum(F.when(F.col("w") <= part, F.col("w"))) / part)
+    circles = classes.groupBy("circle").agg(F.coalesce(pooled, F.lit(0)).alias("pool"), F.coalesce(F.sum(large), F.lit(0)).alias("own"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    circles = circles.where("k > 1").drop("k")
+    before = F.sum("parts").over(Window.partitionBy("circle").orderBy("root").rowsBetween(Window.unboundedPreceding, -1))
+    places = classes.where(F.col("w") > part).select("circle", "root", large.alias("parts")).withColumn("first", F.coalesce(before, F.lit(0)))
+    dealt = look_up(rows.select("node", "circle", "root"), circles, "circle", "n", rows.count()).where("n is not null").drop("n")
+    sized = places.join(classes.select("circle", "root", "n"), ["circle", "root"]).select("root", "n", "parts", F.col("first").alias("at"))
+    dealt = look_up(dealt, sized, "root", "n", rows.count()).drop("n")
+    first, hashed = F.col("pool") + F.col("at"), F.xxhash64("node")
+    dealt = dealt.withColumn("part", F.coalesce(first + F.pmod(hashed, F.col("parts")), F.pmod(hashed, F.nullif("pool", F.lit(0)))))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("pool") + F.col("own") - 1), lambda q: F.coalesce((q < first) | (q >= first + F.col("parts")), F.lit(True)))
+    dealt = dealt.withColumn("q", others).hint("merge").join(points.select("node", *_columns(plan)), "node").hint("merge").join(sets, "node")
+    dealt = dealt.withColumn("q", F.explode("q")).select("circle", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "node", "root", *_columns(plan), "grams")
+    return dealt.repartition("circle", "low", "high").sortWithinPartitions("circle", "low", "high").mapInArrow(_block_links(plan, similarity), "a long, b long")
 
 
 def near_texts(
@@ -311,21 +404,22 @@ def near_texts(
     points = scratch.table(same.repartition(tasks), "points")
     found = scratch.table(candidates(points.where("node is not null"), plan, scratch, crowd, leaders), "candidates")
     scratch.drop("shared", "more", "held")
-    nodes = scratch.table(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), "nodes")
-    sets = scratch.table(shingle_sets(docs, nodes, id_col, text_col, size), "sets")
-    near = links(found, sets, scratch, similarity)
+    # circles: what forests and leaders left apart is looked for
+    circles = scratch.table(components(found, scratch), "circles")
+    members = docs.sparkSession.read.parquet(scratch.path("members"))
+    apart = scratch.table(unmet(members, points, circles, plan, max(1, round(BLOCK * crowd)), spanning=True), "apart")
+    if apart.count():
+        circles = scratch.table(components(found.select("a", "b").union(apart), scratch), "all_circles")
+    circles = circles.withColumnRenamed("root", "circle")
+    placed = scratch.table(look_up(circles, circles.groupBy("circle").agg(F.count(F.lit(1)).alias("n")), "circle", "n", circles.count()), "placed")
+    sets = scratch.table(shingle_sets(docs, placed.select("node"), id_col, text_col, size), "sets")
+    pairs = scratch.table(forest(found, placed).union(apart).distinct(), "pairs")
+    near = scratch.table(verified(pairs, sets, similarity), "links")
     roots = scratch.table(components(near, scratch), "roots")
-    # what forests and leaders left out: every pair that meets, is within the radius, and is not yet in one class
-    rest = unmet(docs.sparkSession.read.parquet(scratch.path("members")), points, roots, plan, max(1, round(BLOCK * crowd))).join(found.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.table(rest, "rest")
-    if rest.count():
-        nodes = scratch.table(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "rest_nodes")
-        sets = scratch.table(shingle_sets(docs, nodes, id_col, text_col, size), "rest_sets")
-        late = scratch.table(verified(rest, sets, similarity), "rest_links")
-        if late.count():
-            roots = scratch.table(components(near.union(late), scratch), "all_roots")
-        scratch.drop("rest_sets", "rest_nodes")
-    scratch.drop("sets", "candidates", "nodes", "closest", "left", "members", "rest")
+    late = scratch.table(late_links(placed, roots, points, sets, plan, scratch, similarity, max(1, round(PART * crowd))).distinct(), "late")
+    if late.count():
+        roots = scratch.table(components(near.union(late), scratch), "all_roots")
+    scratch.drop("sets", "candidates", "members", "apart", "circles", "all_circles", "placed", "pairs", "links", "late", "classed", "classes")
     labels = points.join(roots, "node", "left").select(F.struct(*_columns(plan)).alias("print"), "copies", F.coalesce("root", "node").alias("component_id"))
     rows = prints.select("id", F.struct(*_columns(plan)).alias("print"))
     return look_up(rows, labels, "print", "copies", prints.count()).select(F.col("id").alias(id_col), "component_id")

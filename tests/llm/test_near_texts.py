@@ -181,3 +181,60 @@ def test_crowds_dealt_apart_are_linked_all_the_same(spark):
     linked = [(i, j) for i in range(12) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
     got = near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "near"), crowd=1e-4, leaders=0)
     assert classes(got.collect()) == dict(enumerate(components_of(12, linked)))
+
+
+def test_rows_of_a_group_below_the_similarity_grow_with_it_and_not_its_square(spark, monkeypatch):
+    """Pairs of about .74 within the radius, which no link joins, and a few links over .8: no table of pairs has a row for each of them."""
+    rng, written = random.Random(11), {}
+    base, n = [rng.choice(VOCABULARY) for _ in range(400)], 240
+
+    def changed(words, times):
+        out = list(words)
+        for at in rng.sample(range(len(words)), times):
+            out[at] = rng.choice(VOCABULARY)
+        return out
+
+    texts = [changed(base, 7) for _ in range(n)]
+    texts = [" ".join(x) for x in [*texts, *(changed(x, 2) for x in texts[:20])]]
+    table = Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if out.columns[:2] == ["a", "b"]:
+            written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    docs, alike = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), alike_pairs(texts)
+    brute = components_of(len(texts), alike)
+    for crowd in (256, 20):
+        found = classes(near_texts(docs, Scratch(spark, "t"), crowd=crowd).collect())
+        assert all(brute[i] == brute[found[i]] for i in found) and sum(found[i] == found[j] for i, j in alike) >= 0.95 * len(alike)
+    assert len(set(brute)) > n // 2 and len(alike) >= 20
+    assert max(rows for name, rows in written.items() if name != "candidates") <= 2 * len(texts), written
+
+
+@pytest.mark.parametrize("part", [1, 7, 1000])
+def test_late_links_join_what_all_pairs_within_the_radius_join(spark, part):
+    """Classes of more than a part, small ones, circles of one class and a text of two sets, against all pairs."""
+    from pyspark.sql import functions as F
+
+    from sheetwright.llm.near_texts import _columns, late_links
+
+    rng, plan = np.random.default_rng(3), Plan.of(60)
+    sets = {i: sorted({*range(100), *map(int, rng.integers(1000, 9000, rng.integers(0, 30)))} - set(map(int, rng.integers(0, 100, 8)))) for i in range(60)}
+    sets[59] = []
+    circle, roots = {i: i % 3 for i in range(60)}, {i: i % 3 for i in range(60) if i % 3 == 2 or i < 30}
+    prints = np.zeros((60, plan.words), dtype=np.int64)
+    prints[50:, 0] = -1  # too far from the others, with all bits of many words
+    prints[50:] = -1
+    points = spark.createDataFrame([(i, *map(int, prints[i])) for i in range(60)], ", ".join(["node long", *(f"{c} long" for c in _columns(plan))]))
+    rows = spark.createDataFrame([(i, sets[i]) for i in range(60)] + [(3, sets[40])], "node long, grams array<long>")
+    alike = lambda x, y: len({*x} & {*y}) / max(1, len({*x} | {*y})) >= 0.8
+    held = {i: [sets[i], *([sets[40]] if i == 3 else [])] for i in range(60)}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if circle[i] == circle[j] and (i < 50) == (j < 50) and any(alike(x, y) for x in held[i] for y in held[j])}
+    pairs = lambda d: spark.createDataFrame(list(d.items()), "node long, root long")
+    known = [(i, r) for i, r in roots.items()]
+    got = [tuple(r) for r in late_links(pairs(circle).withColumnRenamed("root", "circle"), pairs(roots), points, rows, plan, Scratch(spark, "t"), 0.8, part).select(F.col("a"), F.col("b")).collect()]
+    assert got and set(got) <= want and all(circle[a] != 2 for a, _ in got)
+    assert components_of(60, [*known, *got]) == components_of(60, [*known, *want])
