@@ -204,6 +204,12 @@ def _group_candidates(plan: Plan):
     return work
 
 
+def printed(rows: DataFrame, points: DataFrame, plan: Plan, *columns: str) -> DataFrame:
+    """``rows`` with their nodes' fingerprints, which are joined once a node; a node has no more rows than its balls have keys."""
+    listed = rows.groupBy("node").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return listed.join(points.select("node", *_columns(plan)), "node").select("node", *_columns(plan), F.inline("rows"))
+
+
 def candidates(points: DataFrame, plan: Plan, scratch: Scratch, crowd: int = CROWD, leaders: int = LEADERS) -> DataFrame:
     """Pairs (a, b, apart), a < b, of nodes of ``points`` (node, f0, ..., close) within the radius, each once."""
     filed = entries(points, plan)
@@ -220,10 +226,10 @@ def candidates(points: DataFrame, plan: Plan, scratch: Scratch, crowd: int = CRO
     held = KeyFilter(more, "key", more.count()).split(filed, "key").where("__maybe__").drop("__maybe__")
     held = scratch.table(held, "held")
     members = scratch.table(look_up(held, more, "key", "n", held.count()).where("n is not null").select("key", "node", "n"), "members")
-    held = members.withColumn("parts", F.ceil(F.col("n") / crowd)).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
+    held = printed(members, points, plan, "key", "n").withColumn("parts", F.ceil(F.col("n") / crowd)).withColumn("part", F.pmod(F.xxhash64("key", "node"), F.col("parts")))
     leader = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", "key", F.lit(SEED)), F.col("n")) < leaders)
     lead = held.where(leader).withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> own")
-    dealt = held.select("key", "part", "node").unionByName(lead.select("key", "part", "node")).join(points.drop("close", "copies"), "node")
+    dealt = held.unionByName(lead.select(*held.columns)).select("key", "part", "node", *_columns(plan))
     grouped = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
     return found.union(grouped.mapInArrow(_group_candidates(plan), "a long, b long, apart long")).groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
@@ -270,9 +276,9 @@ def unmet(members: DataFrame, points: DataFrame, roots: DataFrame, plan: Plan, b
     """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    dealt = rooted.join(mixed, "key", "left_semi").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+    dealt = printed(rooted.join(mixed, "key", "left_semi"), points, plan, "key", "n", "root").withColumn("parts", F.ceil(F.col("n") / block)).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", "node", "root", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high")).hint("merge").join(points.select("node", *_columns(plan)), "node")
+    dealt = dealt.select("key", "node", "root", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), *_columns(plan))
     blocks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return blocks.mapInArrow(_block_pairs(plan, spanning), "a long, b long").distinct()
 
