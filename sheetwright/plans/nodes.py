@@ -96,8 +96,8 @@ def _sizes(nodes: Column) -> Column:
     return F.aggregate(F.reverse(nodes), start, step, lambda s: s["out"])
 
 
-def node_table(questions: DataFrame, key: str, form: str, levels: int | None = None) -> DataFrame:
-    """(tree, path, level, post, size, op, parent_op, leaf, literal, derived, arity), one row a node; ``key`` is a question's own.
+def node_arrays(questions: DataFrame, key: str, form: str, levels: int | None = None) -> DataFrame:
+    """(tree, nodes): the nodes of each question's tree in preorder, with their numbers ``level``, ``post`` and ``size``; ``key`` is a question's own.
 
     ``levels`` bounds the depth of all trees; if it is not given, the deepest is looked up.
     """
@@ -107,10 +107,23 @@ def node_table(questions: DataFrame, key: str, form: str, levels: int | None = N
     rows = questions.select(F.col(key).alias("tree"), F.array(top).alias("nodes"))
     for _ in range(levels):
         rows = rows.select("tree", F.flatten(F.transform("nodes", _opened)).alias("nodes"))
+
     # children stand behind their parent, so nodes are in preorder
-    rows = rows.withColumn("sizes", F.reverse(_sizes(F.col("nodes")))).select("tree", F.inline(F.transform("nodes", lambda x, i: x.withField("pre", i + 1).withField("size", F.get("sizes", i)))))
-    level = F.size("path")
-    return rows.select("tree", "path", level.alias("level"), (F.col("pre") + F.col("size") - level - 1).alias("post"), "size", "op", "parent_op", "leaf", "literal", "derived", "arity")
+    def numbered(nodes: Column, sizes: Column) -> Column:
+        def number(x: Column, i: Column) -> Column:
+            size, level = F.get(sizes, i), F.size(x["path"])
+            return F.struct(x["path"].alias("path"), level.alias("level"), (i + size - level).alias("post"), size.alias("size"), *(x[c].alias(c) for c in ("op", "parent_op", "leaf", "literal", "derived", "arity")))
+
+        return F.transform(nodes, number)
+
+    # in one expression: a column that a lambda of a later step reads may be made once for each element
+    return rows.select("tree", _let(F.col("nodes"), lambda nodes: _let(F.reverse(_sizes(nodes)), lambda sizes: numbered(nodes, sizes))).alias("nodes"))
+
+
+def node_table(questions: DataFrame, key: str, form: str, levels: int | None = None) -> DataFrame:
+    """(tree, path, level, post, size, op, parent_op, leaf, literal, derived, arity), one row a node of ``node_arrays``."""
+    # a tree has a node at least; plain ``inline`` would be given a filter that makes the nodes again
+    return node_arrays(questions, key, form, levels).select("tree", F.inline_outer("nodes"))
 
 
 def cut(rows: DataFrame) -> DataFrame:

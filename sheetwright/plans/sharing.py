@@ -3,7 +3,7 @@
 A node's signature is a hash of its operation and its operands' signatures, or of its leaf or number, so equal subtrees of any trees have
 the same one; operands of sums, products, minima and maxima are put in order first.  Signatures are folded over each tree's own nodes.
 The different nodes are then evaluated by height, from the leaves up: what a height costs grows with its different nodes, not with
-their uses, and only they meet the facts.
+their uses, and only they meet the facts.  Of trees in JSON (``form_values``) equal texts are parsed and signed once.
 """
 
 from __future__ import annotations
@@ -11,41 +11,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .nodes import _apply, cut, tree_arrays
+from .nodes import _apply, _let, cut, node_arrays, tree_arrays
 
 #: Operations whose operands may be put in any order.
 UNORDERED = ["sum", "add", "mul", "min", "max", "avg", "average"]
 SIGNED = "struct<sig: string, height: int>"
+#: What a signature stands for.
+MADE = ["height", "op", "leaf", "literal", "kids"]
 
 
 def signed(nodes: Column) -> Column:
-    """Of a tree's nodes in postorder: signature, height, operation, leaf, number and the operands' signatures of each."""
+    """Of a tree's nodes in postorder: signature, height, operation, leaf, number, the operands' signatures and whether it is the root, of each."""
     kinds = "array<struct<post: int, sig: string, height: int, op: string, leaf: string, literal: double, kids: array<string>>>"
     start = F.struct(F.array().cast(f"array<{SIGNED}>").alias("stack"), F.array().cast(kinds).alias("out"))
 
     def step(s: Column, node: Column) -> Column:
-        height = F.size(s["stack"])
-        args = F.slice(s["stack"], F.greatest(height - node["arity"] + 1, F.lit(1)), node["arity"])
-        found = F.transform(args, lambda a: a["sig"])
-        kids = F.when(node["op"].isin(*UNORDERED), F.array_sort(found)).otherwise(found)
+        height, is_op = F.size(s["stack"]), node["arity"] > 0
         own = F.coalesce(F.concat(F.lit("leaf "), node["leaf"]), F.concat(F.lit("number "), node["literal"].cast("string")), F.lit("nothing"))
-        sig = F.md5(F.when(node["arity"] > 0, F.concat(node["op"], F.lit("("), F.array_join(kids, ","), F.lit(")"))).otherwise(own))
-        high = F.when(node["arity"] > 0, F.array_max(F.transform(args, lambda a: a["height"])) + 1).otherwise(0)
         below = F.slice(s["stack"], 1, F.greatest(height - node["arity"], F.lit(0)))
-        row = F.struct(node["post"].cast("int").alias("post"), sig.alias("sig"), high.cast("int").alias("height"), node["op"].alias("op"), node["leaf"].alias("leaf"), node["literal"].alias("literal"), kids.alias("kids"))
-        return F.struct(F.concat(below, F.array(F.struct(sig.alias("sig"), high.cast("int").alias("height")))).alias("stack"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(nodes, start, step, lambda s: s["out"])
+        def row(args: Column, kids: Column) -> Column:
+            sig = F.md5(F.when(is_op, F.concat(node["op"], F.lit("("), F.array_join(kids, ","), F.lit(")"))).otherwise(own))
+            high = F.when(is_op, F.array_max(F.transform(args, lambda a: a["height"])) + 1).otherwise(0)
+            return F.struct(node["post"].cast("int").alias("post"), sig.alias("sig"), high.cast("int").alias("height"), node["op"].alias("op"), node["leaf"].alias("leaf"), node["literal"].alias("literal"), kids.alias("kids"))
+
+        def pushed(row: Column) -> Column:
+            return F.struct(F.concat(below, F.array(F.struct(row["sig"].alias("sig"), row["height"].alias("height")))).alias("stack"), F.concat(s["out"], F.array(row)).alias("out"))
+
+        in_order = lambda found: F.when(node["op"].isin(*UNORDERED), F.array_sort(found)).otherwise(found)
+        args = F.slice(s["stack"], F.greatest(height - node["arity"] + 1, F.lit(1)), node["arity"])
+        return _let(args, lambda a: _let(in_order(F.transform(a, lambda x: x["sig"])), lambda kids: _let(row(a, kids), pushed)))
+
+    return F.aggregate(nodes, start, step, lambda s: F.transform(s["out"], lambda x: x.withField("root", x["post"] == F.size(s["out"]))))
+
+
+def _signed_rows(trees: DataFrame) -> DataFrame:
+    """``signatures`` of (tree, nodes), nodes in postorder."""
+    # a tree has a node at least; plain ``inline`` would be given a filter that signs the nodes again
+    return trees.select("tree", F.inline_outer(signed(F.col("nodes"))))
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
     """(tree, post, sig, height, op, leaf, literal, kids, root) of every node of ``node_table``."""
-    return tree_arrays(nodes).withColumn("made", signed(F.col("nodes"))).select("tree", F.size("made").alias("n"), F.inline("made")).withColumn("root", F.col("post") == F.col("n")).drop("n")
+    return _signed_rows(tree_arrays(nodes))
 
 
 def different(signs: DataFrame) -> DataFrame:
     """One row for each different subtree: (sig, height, op, leaf, literal, kids, uses)."""
-    return signs.groupBy("sig").agg(*(F.any_value(c).alias(c) for c in ("height", "op", "leaf", "literal", "kids")), F.count(F.lit(1)).alias("uses"))
+    return signs.groupBy("sig").agg(*(F.any_value(c).alias(c) for c in MADE), F.count(F.lit(1)).alias("uses"))
 
 
 def values_of(shared: DataFrame, facts: DataFrame, growth_base: str = "left", highest: int | None = None) -> DataFrame:
@@ -68,3 +81,20 @@ def shared_values(nodes: DataFrame, facts: DataFrame, growth_base: str = "left",
     signs = signatures(nodes)
     roots = signs.where("root").select("tree", "sig")
     return roots.join(values_of(cut(different(signs)), facts, growth_base), "sig").select("tree", F.round("value", digits).alias("value"))
+
+
+def form_values(questions: DataFrame, key: str, form: str, facts: DataFrame, growth_base: str = "left", digits: int = 6, levels: int | None = None) -> DataFrame:
+    """(tree, value) of every question, by way of the different subtrees of its tree in JSON; ``levels`` as in ``node_arrays``.
+
+    Equal texts, told by their MD5, are parsed as one: a question itself is a short row that meets the value of its text.
+    """
+    named = questions.select(F.col(key).alias("tree"), F.col(form).alias("form"))
+    text = F.unhex(F.md5("form")).alias("text")
+    arrays = node_arrays(named.select("form").distinct().select(text, "form"), "text", "form", levels)
+    fields = lambda x: F.struct(*(x[c].alias(c) for c in ("post", "arity", "op", "leaf", "literal")))
+    signs = _signed_rows(arrays.select("tree", F.sort_array(F.transform("nodes", fields)).alias("nodes")))
+    # texts are parsed once: of a subtree stays a row for each text that it is the whole of, and one for all others
+    kept = cut(signs.groupBy("sig", F.when(F.col("root"), F.col("tree")).alias("text")).agg(*(F.any_value(c).alias(c) for c in MADE)))
+    values = values_of(cut(different(kept).drop("uses")), facts, growth_base)
+    known = kept.where("text is not null").select("sig", "text").join(values, "sig").select("text", "value")
+    return named.select("tree", text).join(known, "text", "left").select("tree", F.round("value", digits).alias("value"))

@@ -153,7 +153,7 @@ def tree_turns(spark, d):
 @query(START + f"""{_forms_sql(SHAPES)}, {NODES_SQL}, {_values_sql()} select tree, round(v, 6) + 0 as value from valued where level = 0""")
 def shared_values(spark, d):
     """The value of every tree, each different subtree evaluated once."""
-    return sharing.shared_values(nodes.node_table(forms(spark, d, SHAPES), "tree", "form", DEEPEST + 1), facts(spark, d))
+    return sharing.form_values(forms(spark, d, SHAPES), "tree", "form", facts(spark, d), levels=DEEPEST + 1)
 
 
 def _signatures_sql() -> str:

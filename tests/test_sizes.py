@@ -3,7 +3,8 @@
 import duckdb
 
 from sheetwright.operators import mentions
-from sheetwright.plans import binder, nodes
+from sheetwright import tree_queries
+from sheetwright.plans import binder, nodes, sharing
 from sheetwright.sources import files
 
 
@@ -65,3 +66,31 @@ def test_nodes_are_numbered_without_a_shuffle(spark):
     assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.tree, r.post, r.size, r.level, r.leaf or r.literal or r.op) for r in table.collect())
     assert got == [(1, 1, 1, 1, "a"), (1, 2, 1, 2, "b"), (1, 3, 1, 2, 2.0), (1, 4, 3, 1, "min"), (1, 5, 1, 1, "c"), (1, 6, 6, 0, "sum"), (2, 1, 1, 0, None)]
+
+
+def test_equal_texts_are_parsed_once(spark, monkeypatch):
+    """Trees of 2,000 orders, whose texts are 40: the parser is given 40 rows."""
+    form = lambda i: '{"op": "diff", "left": {"leaf": "a"}, "right": {"op": "min", "args": ["b", {"literal": %d}]}}' % (i % 39)
+    orders = spark.createDataFrame([(i, form(i) if i % 40 else None) for i in range(2000)], "tree int, form string").distinct()
+    facts = spark.createDataFrame([("a", 5.0), ("b", 20.0)], "key string, value double")
+    parsed = []
+
+    def read(questions, *rest, own=nodes.node_arrays):
+        parsed.append(questions.count())
+        return own(questions, *rest)
+
+    for module in (nodes, sharing):
+        monkeypatch.setattr(module, "node_arrays", read)
+    monkeypatch.setattr(tree_queries, "forms", lambda *_: orders)
+    monkeypatch.setattr(tree_queries, "facts", lambda *_: facts)
+    got = tree_queries.shared_values(spark, None).collect()
+    assert parsed == [40]
+    assert {r.tree: r.value for r in got} == {i: 5.0 - min(20.0, i % 39) if i % 40 else None for i in range(2000)}
+    assert len(got) == 2000
+
+
+def test_nodes_are_made_once_for_their_signatures(spark):
+    forms = spark.createDataFrame([(1, '{"op": "sum", "left": {"leaf": "a"}, "right": {"literal": 2}}'), (2, None)], "id int, form string").distinct()
+    for rows in (nodes.node_table(forms, "id", "form", 3), sharing.signatures(nodes.node_table(forms, "id", "form", 3))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" not in plan  # it would parse or sign a second time

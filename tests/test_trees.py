@@ -180,3 +180,20 @@ def test_equal_subtrees_are_one(spark, forest):
     two = spark.createDataFrame([(1, '{"op": "sum", "left": {"leaf": "a"}, "right": {"literal": 2}}'), (2, '{"op": "sum", "left": {"literal": 2.0}, "right": {"leaf": "a"}}'), (3, '{"op": "diff", "left": {"leaf": "a"}, "right": {"literal": 2}}'), (4, '{"op": "diff", "left": {"literal": 2}, "right": {"leaf": "a"}}')], "k int, f string")
     roots = {r.tree: r.sig for r in sharing.signatures(nodes.node_table(two, "k", "f")).where("root").collect()}
     assert roots[1] == roots[2] and len(set(roots.values())) == 3
+
+
+def test_values_by_texts_are_those_by_trees(spark, forest):
+    trees, facts, questions, _ = forest
+    table = spark.createDataFrame(list(facts.values()), FACTS)
+    again = questions.select((questions.question_id + len(trees)).alias("question_id"), "form")
+    found = sharing.form_values(questions.select("question_id", "form").union(again), "question_id", "form", table)
+    got = {r.tree: r.value for r in found.collect()}
+    assert sorted(got) == list(range(2 * len(trees)))
+    for i, value in got.items():
+        assert value == pytest.approx(value_of(trees[i % len(trees)], facts), abs=1e-6)
+    # texts that differ, and subtrees that are whole texts too
+    forms = ['{"leaf": "a"}', '{ "leaf": "a" }', '{"op": "sum", "args": ["a", {"literal": 2}]}', '{"op": "sum", "args": [{"literal": 2}, "a"]}', '{"op": "diff", "left": {"leaf": "a"}, "right": {"op": "sum", "args": ["a", {"literal": 2}]}}', "{", "", None, None, '{"leaf": "no"}']
+    table = spark.createDataFrame([("a", 5.0)], "key string, value double")
+    found = sharing.form_values(spark.createDataFrame(list(enumerate(forms)), "k int, f string"), "k", "f", table).collect()
+    assert [r.value for r in sorted(found)] == [5.0, 5.0, 7.0, 7.0, -2.0, None, None, None, None, None]
+    assert sharing.form_values(spark.createDataFrame([], "k int, f string"), "k", "f", table).count() == 0
