@@ -83,6 +83,12 @@ def shared_values(nodes: DataFrame, facts: DataFrame, growth_base: str = "left",
     return roots.join(values_of(cut(different(signs)), facts, growth_base), "sig").select("tree", F.round("value", digits).alias("value"))
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """Rounded as SQL engines round doubles, by way of the scaled double: ``round`` of Spark has other last digits for large values."""
+    scaled = F.round(value * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(value)
+
+
 def form_values(questions: DataFrame, key: str, form: str, facts: DataFrame, growth_base: str = "left", digits: int = 6, levels: int | None = None) -> DataFrame:
     """(tree, value) of every question, by way of the different subtrees of its tree in JSON; ``levels`` as in ``node_arrays``.
 
@@ -90,11 +96,14 @@ def form_values(questions: DataFrame, key: str, form: str, facts: DataFrame, gro
     """
     named = questions.select(F.col(key).alias("tree"), F.col(form).alias("form"))
     text = F.unhex(F.md5("form")).alias("text")
-    arrays = node_arrays(named.select("form").distinct().select(text, "form"), "text", "form", levels)
+    session = questions.sparkSession
+    # a text takes long for its few bytes: partitions sized by bytes, about one a core, would leave cores without work
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    arrays = node_arrays(named.select("form").distinct().select(text, "form").repartition(parts, "text"), "text", "form", levels)
     fields = lambda x: F.struct(*(x[c].alias(c) for c in ("post", "arity", "op", "leaf", "literal")))
     signs = _signed_rows(arrays.select("tree", F.sort_array(F.transform("nodes", fields)).alias("nodes")))
     # texts are parsed once: of a subtree stays a row for each text that it is the whole of, and one for all others
     kept = cut(signs.groupBy("sig", F.when(F.col("root"), F.col("tree")).alias("text")).agg(*(F.any_value(c).alias(c) for c in MADE)))
     values = values_of(cut(different(kept).drop("uses")), facts, growth_base)
-    known = kept.where("text is not null").select("sig", "text").join(values, "sig").select("text", "value")
-    return named.select("tree", text).join(known, "text", "left").select("tree", F.round("value", digits).alias("value"))
+    known = kept.where("text is not null").select("sig", "text").join(values, "sig").select("text", _rounded(F.col("value"), digits).alias("value"))
+    return named.select("tree", text).join(known, "text", "left").select("tree", "value")

@@ -94,3 +94,12 @@ def test_nodes_are_made_once_for_their_signatures(spark):
     for rows in (nodes.node_table(forms, "id", "form", 3), sharing.signatures(nodes.node_table(forms, "id", "form", 3))):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter" not in plan  # it would parse or sign a second time
+
+
+def test_values_of_texts_are_rounded_as_in_sql(spark):
+    values = [53647234.5567015, 547215757.5200005, 4377445368.43, 11891715403.792099, 13395433774.715311, 1189602085.2415045, -4455327522.72, 2.6146845810437427e18, 1e305, 0.0000005, -1e-9, 1.0000005]
+    forms = spark.createDataFrame([(i, '{"leaf": "k%d"}' % i) for i in range(len(values))], "tree int, form string")
+    facts = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)], "key string, value double")
+    got = [r.value for r in sharing.form_values(forms, "tree", "form", facts).orderBy("tree").collect()]
+    sql = duckdb.connect().execute("select " + ", ".join(f"round(cast('{v!r}' as double), 6) + 0" for v in values)).fetchall()[0]
+    assert list(map(repr, got)) == list(map(repr, sql))
